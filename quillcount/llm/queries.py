@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprint, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_quality_classifier": quality.op6_quality_classifier,
+        "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
     }
 
 
