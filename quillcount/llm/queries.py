@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, quality
+from . import fingerprint, mixing, packing, quality
 
 
 def queries() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op5_mix_sources": mixing.OP5_SQL,
     }
