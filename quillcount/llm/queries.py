@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, quality
+from . import fingerprint, mixing, packing, quality, substring
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
+        "op8_substring_dedup": substring.op8_substring_dedup,
     }
 
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op5_mix_sources": mixing.OP5_SQL,
+        "op8_substring_dedup": substring.OP8_SQL,
     }
