@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, packing, quality, substring
+from . import fingerprint, mixing, near_dup, packing, quality, substring
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_minhash_near_dedup": near_dup.op2_minhash_near_dedup,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
@@ -18,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_minhash_near_dedup": near_dup.OP2_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
         "op8_substring_dedup": substring.OP8_SQL,
     }
