@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, mixing, near_dup, packing, quality, substring
+from . import fingerprint, html_text, mixing, near_dup, packing, quality, substring
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_quality_classifier": quality.op6_quality_classifier,
         "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
         "op8_substring_dedup": substring.op8_substring_dedup,
+        "op9_html_extraction": html_text.op9_html_extraction,
     }
 
 
