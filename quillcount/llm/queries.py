@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_text, mixing, near_dup, packing, quality, substring, warc
+from . import fingerprint, html_text, licenses, mixing, near_dup, packing, quality, substring, warc
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_minhash_near_dedup": near_dup.op2_minhash_near_dedup,
+        "op3_license_scan": licenses.op3_license_scan,
         "op4_warc_round_trip": warc.op4_warc_round_trip,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_classifier": quality.op6_quality_classifier,
@@ -22,6 +23,7 @@ def oracle_sql() -> dict:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_minhash_near_dedup": near_dup.OP2_SQL,
+        "op3_license_scan": licenses.OP3_SQL,
         "op4_warc_round_trip": warc.OP4_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
         "op8_substring_dedup": substring.OP8_SQL,
