@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_text, licenses, mixing, near_dup, packing, quality, substring, warc
+from . import fingerprint, html_text, licenses, mixing, near_dup, packing, quality, substring, vectors, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_document_fingerprints": fingerprint.op7_document_fingerprints,
         "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_html_extraction": html_text.op9_html_extraction,
+        "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict:
         "op4_warc_round_trip": warc.OP4_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
         "op8_substring_dedup": substring.OP8_SQL,
+        "op10_embedding_near_dedup": vectors.OP10_SQL,
     }
