@@ -139,3 +139,18 @@ SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size,
        (whole + CASE WHEN size > 0 AND rest - before >= size THEN 1 ELSE 0 END)::INT AS repeats
 FROM running
 """
+
+
+def materialised(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int = SEED) -> DataFrame:
+    """The mix itself: each document (doc_id, text, source, n_chars, ...) as often as it is
+    taken, and the one that its source's target cuts with the first of its words."""
+    plan = mixed(docs, share, max_epochs, seed)
+    whole = F.transform(F.when(F.col("repeats") > 0, F.sequence(F.lit(1), F.col("repeats"))).otherwise(F.array().cast("array<int>")), lambda i: F.lit(0).cast("long"))
+    copies = F.concat(whole, F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>")))
+    rows = plan.withColumn("_words", F.explode(copies))
+    # a word with the white space before it, as often as words are taken
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1), F.lit(1), F.col("_words").cast("int")), "")
+    rows = rows.withColumn("text", F.when(F.col("_words") > 0, first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
