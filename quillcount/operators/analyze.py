@@ -10,7 +10,9 @@ bounded request at a time.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,15 +121,24 @@ def _constant_count(counters: Counters, tokenizer: str, text: str) -> Column:
     return heuristic(FAMILIES[tokenizer], {k: F.lit(v).cast("long") for k, v in values.items()})
 
 
-@dataclass(frozen=True)
 class Results:
-    """What an analysis yields; every part is lazy."""
+    """What an analysis yields; every part is lazy, and the planned parts are built when asked for."""
+
+    def __init__(self, models: DataFrame, scenarios: DataFrame, plan: Callable[[], DataFrame]):
+        self.models, self.scenarios, self._plan = models, scenarios, plan
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        """A row per source and model: status, warnings, provider part."""
+        return self._plan()
 
-    models: DataFrame
-    scenarios: DataFrame
-    components: DataFrame
-    sources: DataFrame
-    plan: DataFrame
+    @cached_property
+    def components(self) -> DataFrame:
+        return planning.components(self.plan)
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        return planning.source_totals(self.components)
 
 
 def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(), counters: Counters | None = None, extras: DataFrame | None = None, verified: DataFrame | None = None, with_media: bool = True) -> Results:
@@ -171,13 +182,16 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
         "system_tokens": c("system_count.tokens"), "tool_tokens": c("tools_count.tokens"), "runtime_tokens": F.lit(runtime).cast("long"),
     })
     # components of requests with media; text-only requests count their joined text instead
-    by_tokenizer = F.map_from_entries(F.array(*[F.struct(F.lit(t), (counters.of_sums(t, {k: c("text_bytes" if k == "bytes" else k) for k in CLASSES}) if counters.additive(t) else counters.of_text(t, c("text"))).cast(COUNT)) for t in tokenizers]))
-    ordered = base.withColumn("ordinal", F.struct("kind", "label")).withColumn("counts", by_tokenizer)
-    plan = planning.planned(ordered, models, options.processing, options.image_detail, options.document_detail, options.overrides)
-    comps = planning.components(plan)
-    states = plan.groupBy("request_id", "model").agg(planning.worst_status(c("status")).alias("status"), F.flatten(F.collect_list("warnings")).alias("plan_warnings"))
-    totals = comps.where("unit = 'tokens'").groupBy("request_id", "model").agg(F.sum("expected").alias("part_tokens"), F.sum("low").alias("part_low"), F.sum("high").alias("part_high"), F.min("confidence").alias("part_confidence"))
+    def plan_sources() -> DataFrame:
+        by_tokenizer = F.map_from_entries(F.array(*[F.struct(F.lit(t), (counters.of_sums(t, {k: c("text_bytes" if k == "bytes" else k) for k in CLASSES}) if counters.additive(t) else counters.of_text(t, c("text"))).cast(COUNT)) for t in tokenizers]))
+        ordered = base.withColumn("ordinal", F.struct("kind", "label")).withColumn("counts", by_tokenizer)
+        return planning.planned(ordered, models, options.processing, options.image_detail, options.document_detail, options.overrides)
+
     if with_media:
+        plan = plan_sources()
+        comps = planning.components(plan)
+        states = plan.groupBy("request_id", "model").agg(planning.worst_status(c("status")).alias("status"), F.flatten(F.collect_list("warnings")).alias("plan_warnings"))
+        totals = comps.where("unit = 'tokens'").groupBy("request_id", "model").agg(F.sum("expected").alias("part_tokens"), F.sum("low").alias("part_low"), F.sum("high").alias("part_high"), F.min("confidence").alias("part_confidence"))
         rows = rows.join(states, ["request_id", "model"], "left").join(totals, ["request_id", "model"], "left")
     else:
         none = {"status": "string", "plan_warnings": "array<string>", "part_tokens": "long", "part_low": "long", "part_high": "long", "part_confidence": "double"}
@@ -213,11 +227,11 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     rows = rows.withColumn("stale", stale_column(options.now) if options.now else F.lit(False))
 
     # requests with media price their components at the tiers of their modalities, then the overhead at the text rate
-    bound = "high" if options.bound == "high" else "expected"
-    keyed = comps.join(rows.where(media & ~c("verified")).select("request_id", "model", "tiers", "modality_tiers", "decision_tokens", "cached_tokens"), ["request_id", "model"])
-    priced = priced_components(keyed, ["request_id", "model"], ["ordinal", "part_no"], bound, c("cached_tokens"), c("decision_tokens"))
-    spent = priced.groupBy("request_id", "model").agg(F.sum("input_micros").alias("parts_input"), F.sum("cached_micros").alias("parts_cached"), F.sum("cached_n").alias("parts_cached_n"))
     if with_media:
+        bound = "high" if options.bound == "high" else "expected"
+        keyed = comps.join(rows.where(media & ~c("verified")).select("request_id", "model", "tiers", "modality_tiers", "decision_tokens", "cached_tokens"), ["request_id", "model"])
+        priced = priced_components(keyed, ["request_id", "model"], ["ordinal", "part_no"], bound, c("cached_tokens"), c("decision_tokens"))
+        spent = priced.groupBy("request_id", "model").agg(F.sum("input_micros").alias("parts_input"), F.sum("cached_micros").alias("parts_cached"), F.sum("cached_n").alias("parts_cached_n"))
         rows = rows.join(spent, ["request_id", "model"], "left")
     else:
         rows = rows.withColumns({k: F.lit(None).cast("long") for k in ("parts_input", "parts_cached", "parts_cached_n")})
@@ -237,7 +251,7 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
         _warnings(options, over_assets).alias("warnings"),
     )
     keep = ["request_id", "model", "scenario", "scenario_no", "decision_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "input_micros", "cached_micros", "output_micros", "reasoning_micros", "cost_micros", "over_output"]
-    return Results(result, priced_rows.select(*keep), comps, planning.source_totals(comps), plan)
+    return Results(result, priced_rows.select(*keep), plan_sources)
 
 
 def _warnings(options: Options, over_assets: Column) -> Column:

@@ -151,7 +151,8 @@ def components(plan: DataFrame) -> DataFrame:
     """A row per component of a planned source: token bounds, method, confidence, planned size."""
     c = F.col
     rows = plan.select("request_id", "model", "tokenizer", "ordinal", "label", "asset_id", "processing", "detail", "count", "image_rule", "audio", "audio_tokens_per_second", "audio_formula", F.posexplode("parts").alias("part_no", "part"))
-    rows = rows.withColumn("image_count", F.when(c("part.modality") == "image", image_tokens(c("image_rule"), c("detail"), c("part.w"), c("part.h"))))
+    # behind explode, the formula is evaluated once and not copied into each column that reads it
+    rows = rows.withColumn("image_count", F.explode(F.array(F.when(c("part.modality") == "image", image_tokens(c("image_rule"), c("detail"), c("part.w"), c("part.h"))))))
     audio = F.when(c("part.modality") == "audio", audio_tokens(c("audio.duration_ms"), c("audio_tokens_per_second")))
     text = c("part.modality") == "text"
     expected = F.when(text, c("count.tokens")).otherwise(F.coalesce("image_count.tokens", audio))
