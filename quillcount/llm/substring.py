@@ -189,32 +189,28 @@ def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _windows_of(batches, min_words: int, hot: bool):
     """Segments with their words, or single windows with 128-bit hashes, of candidate places."""
     for batch in batches:
-        k1, k2 = batch.column(0), batch.column(1)
-        places = batch.column(3)
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        column = batch.column(3)
+        places = column.flatten()
+        anchor, start, windows, is_hot = (places.field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "start", "windows", "hot"))
+        owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+        mine = is_hot if hot else ~is_hot
         for row, n, w in tb.chunks(batch.column(2)):
-            out: list[list] = [[], [], [], [], [], []]
-            for i in range(n):
-                words = w.hash[w.first[i] : w.first[i + 1]]
-                a, b = k1[row + i].as_py(), k2[row + i].as_py()
-                if hot:
-                    h1 = h2 = None
-                for p in places[row + i].as_py():
-                    if p["hot"] != hot:
-                        continue
-                    s, m = p["start"], p["windows"]
-                    if hot:
-                        part = words[s : s + m + min_words - 1]
-                        h1, h2 = tb.gram_hashes(part, min_words), tb.gram_hashes(part ^ np.uint64(0xA5A5A5A55A5A5A5A), min_words)
-                        out[0].append(h1.view(np.int64)), out[1].append(h2.view(np.int64))
-                        out[2].append(np.full(m, a)), out[3].append(np.full(m, b)), out[4].append(np.arange(s, s + m, dtype=np.int32))
-                    else:
-                        out[0].append(p["anchor"]), out[1].append(a), out[2].append(b), out[3].append(s)
-                        out[4].append(words[s : s + m + min_words - 1].tobytes())
-            if hot and out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out[:5]], names=["w1", "w2", "k1", "k2", "start"])
-            elif out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:5], kinds, strict=True)], names=["anchor", "k1", "k2", "start", "words"])
+            own = np.flatnonzero(mine & (owner >= row) & (owner < row + n))
+            if not len(own):
+                continue
+            rows, at, m = owner[own], start[own], windows[own]
+            first = w.first[rows - row] + at
+            if hot:
+                place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                index = np.repeat(first, m) + place
+                h1, h2 = (tb.gram_hashes(x, min_words)[index].view(np.int64) for x in (w.hash, w.hash ^ np.uint64(0xA5A5A5A55A5A5A5A)))
+                columns = (h1, h2, np.repeat(k1[rows], m), np.repeat(k2[rows], m), (np.repeat(at, m) + place).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "k1", "k2", "start"])
+            else:
+                words = [w.hash[a : a + k + min_words - 1].tobytes() for a, k in zip(first.tolist(), m.tolist(), strict=True)]
+                columns = [pa.array(anchor[own]), pa.array(k1[rows]), pa.array(k2[rows]), pa.array(at.astype(np.int32)), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["anchor", "k1", "k2", "start", "words"])
 
 
 def _shards(batches, min_words: int):

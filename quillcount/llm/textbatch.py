@@ -105,12 +105,20 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False):
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k consecutive words that start at each place but the last k - 1."""
+    """Hashes of the k consecutive words that start at each place but the last k - 1.
+
+    Grams of powers of two come from pairs of shorter ones, so the passes grow with log k.
+    """
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for j in range(k):
-        out = (out * np.uint64(0xD6E8FEB86659FD93)) ^ mix64(words[j : j + n] + np.uint64(j + 1))
-        out = out + (out >> np.uint64(29))
-    return mix64(out)
+    out, at, part, size = None, 0, words, 1
+    while True:
+        if k & size:
+            own = part[at : at + n]
+            out = mix64(own + np.uint64(size)) if out is None else mix64(out * np.uint64(0xD6E8FEB86659FD93) + own + np.uint64(size))
+            at += size
+        if size * 2 > k:
+            return out
+        part = mix64(part[:-size] * np.uint64(0x9FB21C651E98DF25) + part[size:])
+        size *= 2
