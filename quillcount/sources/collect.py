@@ -214,11 +214,13 @@ def read_files(spark: SparkSession, events: list[tuple], request_id: str = "requ
     """Discovered files with content, inspected media, normalised text and predicates."""
     listed = spark.createDataFrame([(e[0], e[1], e[2], e[3]) for e in events if e[1] is not None], "sequence long, abs string, label string, size long")
     names = [e[1] for e in events if e[1] is not None]
-    if not names:
-        content = spark.createDataFrame([], "abs string, content binary")
-    else:
+    # Spark's file scans leave out names that start with a dot or an underscore: those few are read here
+    hidden = [n for n in names if os.path.basename(n)[0] in "._"]
+    content = spark.createDataFrame([(n, open(n, "rb").read()) for n in hidden], "abs string, content binary")
+    if shown := [n for n in names if n not in set(hidden)]:
         plain = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
-        content = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\,])", r"\\\1", n) for n in names]).select(F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))).alias("abs"), "content")
+        scan = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\,])", r"\\\1", n) for n in shown])
+        content = content.unionByName(scan.select(F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))).alias("abs"), "content"))
     files = listed.join(content, "abs").withColumn("asset", media.inspected(F.col("content")))
     text = normalized(F.col("content").cast("string"))
     is_media = F.col("asset.mime") != ""
