@@ -32,7 +32,7 @@ def shingle_words(text: Column) -> Column:
 
 def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE_WORDS) -> Column:
     """struct(n long, kept array<long>): number of shingles and the distinct hashes kept, ascending."""
-    below = F.lit(int(-(2**63) + fraction * 2**64))
+    below = F.lit(min(2**63 - 1, int(-(2**63) + fraction * 2**64)))
     return F.transform(
         F.array(shingle_words(F.coalesce(text, F.lit("")))),
         lambda words: F.struct(
@@ -49,8 +49,8 @@ def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE_WORDS) ->
 
 
 def fingerprint(s: Column) -> Column:
-    """Text form of a sketch. Kept hashes are negative, so all have 16 digits."""
-    return F.concat(s["n"].cast("string"), F.lit(":"), F.array_join(F.transform(s["kept"], lambda h: F.hex(h)), ""))
+    """Text form of a sketch."""
+    return F.concat(s["n"].cast("string"), F.lit(":"), F.array_join(F.transform(s["kept"], lambda h: F.lpad(F.hex(h), 16, "0")), ""))
 
 
 def merged(a: Column, b: Column) -> Column:

@@ -33,7 +33,7 @@ SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "merchantability": "merchantability",
     "minimise": "minimize", "modelled": "modeled", "noncommercial": "noncommercial", "offence": "offense", "optimisation": "optimization",
     "organisation": "organization", "organisations": "organizations", "practise": "practice", "programme": "program",
-    "realise": "realize", "recognise": "recognize", "recognised": "recognized", "signalling": "signaling", "utilise": "utilize",
+    "realise": "realize", "recognise": "recognize", "recognised": "recognized", "signalling": "signaling", "sublicence": "sublicense", "utilise": "utilize",
     "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http",
 }
 

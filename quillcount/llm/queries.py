@@ -22,7 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
-        "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_minhash_near_dedup": near_dup.OP2_SQL,
         "op3_license_scan": licenses.OP3_SQL,
         "op4_warc_round_trip": warc.OP4_SQL,

@@ -323,12 +323,12 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             texts, keep = [], []
             for text, copies, found in zip(columns["text"], columns["copies"].to_pylist(), columns["spans"], strict=True):
                 raw = text.as_py()
-                if not copies and not found.is_valid:
+                data = raw.encode()
+                places = [m.span() for m in word.finditer(data)] if copies or found.is_valid else []
+                if not places:
                     texts.append(raw)
                     keep.append(True)
                     continue
-                data = raw.encode()
-                places = [m.span() for m in word.finditer(data)]
                 gone = _removed(len(places), copies, found.as_py(), min_words)
                 out, cut = [], 0
                 for (start, _), g, following in zip(places, gone.tolist(), [p[0] for p in places[1:]] + [len(data)], strict=True):
@@ -337,7 +337,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         cut = following
                 out.append(data[cut:])
                 texts.append(b"".join(out).decode())
-                keep.append(not len(places) or not gone.all())
+                keep.append(not gone.all())
             columns["text"] = pa.array(texts, pa.string())
             arrays = [columns[n] for n in names]
             if counted is not None:
