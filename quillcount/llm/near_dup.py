@@ -14,11 +14,16 @@ linked documents keeps the one with the least id.
    dropped as soon as the posterior probability (uniform prior) that its
    similarity reaches the threshold falls below ``MISS``. Survivors are verified
    on their full shingle sets.
-4. Where a bucket then still holds classes of different components, all its
-   pairs across components are compared, in blocks of bounded size that are
-   dealt to many tasks, with the same pruning and verification. So every
-   candidate pair is decided or already connected, and a bucket of thousands of
-   copies costs as many comparisons as it has members.
+4. Where a bucket then still holds classes of different components, its pairs
+   across components are compared, in blocks of bounded size that are dealt to
+   many tasks, with the same pruning. A task verifies plausible pairs in order
+   of their estimated similarity and passes over those that its own links have
+   connected meanwhile, so it emits fewer links than it has classes. Every
+   candidate pair is thus refuted, linked or connected, and no set of all pairs
+   of a group is ever made.
+
+Candidates grow with the corpus, so their texts and sets meet by sorted joins at
+every size and are never broadcast.
 
 Defined results: null or empty texts have an empty set and link with nothing;
 rows that share a doc_id count as one document (linked); a null doc_id gets a
@@ -28,6 +33,8 @@ are carried along.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -71,6 +78,7 @@ def signature(kinds: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+@lru_cache(maxsize=4)
 def least_matches(threshold: float = THRESHOLD / 100, miss: float = MISS) -> list[tuple[int, int]]:
     """(hashes compared, matches below which a pair is dropped) after each batch."""
     grid = (np.arange(20000) + 0.5) / 20000
@@ -140,25 +148,55 @@ def _plausible_pairs(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(plausible(a, b)))
 
 
-def _block_pairs(batches):
-    """Plausible pairs across components within groups that come sorted by (band, i, j)."""
+def linked_sets(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted shingle sets reach the threshold, on the full sets."""
+    if not len(x) or 100 * min(len(x), len(y)) < threshold * max(len(x), len(y)):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
+def _block_links(batches, threshold: int):
+    """Verified links across components within groups that come sorted by (band, i, j)."""
 
     def settle(rows):
         if len(rows) < 2:
             return
-        ids = np.array([r[1] for r in rows])
-        comp = np.array([r[2] for r in rows])
-        part = np.array([r[3] for r in rows])
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), HASHES)
         (_, i, j) = rows[0][0]
-        left = np.flatnonzero(part == i)
-        right = np.flatnonzero(part == j)
-        for x in left:
-            y = right[(comp[right] != comp[x]) & ((ids[right] > ids[x]) | (i != j))]
-            if len(y):
-                y = y[plausible(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y])]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
+        ids, comp, part = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
+        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), HASHES)
+        kinds = [np.frombuffer(r[5], np.uint64) for r in rows]
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        apart = comp[left][:, None] != comp[right][None, :]
+        if i == j:
+            apart &= ids[left][:, None] < ids[right][None, :]
+        x, y = np.nonzero(apart)
+        found = []
+        for at in range(0, len(x), 16_384):
+            p, q = left[x[at : at + 16_384]], right[y[at : at + 16_384]]
+            keep = plausible(sig[p], sig[q])
+            found.append((p[keep], q[keep], (sig[p[keep]] == sig[q[keep]]).sum(axis=1)))
+        if not found:
+            return
+        p, q, alike = (np.concatenate(c) for c in zip(*found, strict=True))
+        root: dict = {}
+
+        def top(c):
+            while c in root:
+                c = root[c]
+            return c
+
+        out = []
+        for k in np.argsort(-alike, kind="stable").tolist():
+            u, v = int(p[k]), int(q[k])
+            a, b = top(int(comp[u])), top(int(comp[v]))
+            if a != b and linked_sets(kinds[u], kinds[v], threshold):
+                root[max(a, b)] = min(a, b)
+                out.append(sorted((int(ids[u]), int(ids[v]))))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     held = []
     for batch in batches:
@@ -170,32 +208,28 @@ def _block_pairs(batches):
     yield from settle(held)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold. ``texts``: (doc_id, text)."""
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+def _full_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, kinds): the shingle sets of the documents ``ids`` (cid)."""
 
-    def full(batches):
+    def run(batches):
         for batch in batches:
             out = []
             for _, n, w in tb.chunks(batch.column(1), lower=True):
                 out += [shingles(w.hash[w.first[i] : w.first[i + 1]]).tobytes() for i in range(n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cid", "kinds"])
 
-    own = texts.join(ids, texts["doc_id"] == ids["cid"]).select("cid", "text").mapInArrow(full, "cid long, kinds binary")
-    own = staged(own, "near-sets")
-    rows = pairs.join(own.withColumnRenamed("cid", "a").withColumnRenamed("kinds", "ka"), "a")
-    rows = rows.join(own.withColumnRenamed("cid", "b").withColumnRenamed("kinds", "kb"), "b").select("a", "b", "ka", "kb")
+    chosen = texts.join(ids.withColumnRenamed("cid", "doc_id").hint("merge"), "doc_id").select(F.col("doc_id").alias("cid"), "text")
+    return staged(chosen.mapInArrow(run, "cid long, kinds binary"), "near-sets")
+
+
+def _verified(own: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets, of ``own`` (cid, kinds), reach the threshold."""
+    of = lambda c: own.select(F.col("cid").alias(c), F.col("kinds").alias(f"k{c}")).hint("merge")
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ka", "kb")
 
     def check(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = 0
-                if 100 * min(len(x), len(y)) >= threshold * max(len(x), len(y)) and len(x):
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(both > 0 and 100 * both >= threshold * (len(x) + len(y) - both))
+            keep = [linked_sets(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)), threshold) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return staged(rows.mapInArrow(check, "a long, b long").distinct(), "near-links")
@@ -219,23 +253,24 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     signed = pairs.join(with_sig.select(F.col("cid").alias("a"), F.col("sig").alias("sa")), "a").join(with_sig.select(F.col("cid").alias("b"), F.col("sig").alias("sb")), "b")
     stars = staged(signed.select("a", "b", "sa", "sb").mapInArrow(_plausible_pairs, "a long, b long").distinct(), "near-stars")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    links = _verified(texts, stars, threshold)
+    full = _full_sets(texts, members.select("cid").distinct())
+    links = _verified(full, stars, threshold)
     groups = connected_components(links)
 
     # buckets in which classes of different components are left that were not compared
     split = members.where("size > 2").join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     split = staged(split, "near-split")
     apart = split.where("cid <> rep").groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    left = split.join(staged(apart, "near-apart"), "band").join(with_sig, "cid")
+    # the least member has been compared with all others already
+    left = split.where("cid <> rep").join(staged(apart, "near-apart"), "band").join(with_sig, "cid").join(full.hint("merge"), "cid")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     left = left.withColumn("part", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "component", "part", "sig")
+    left = left.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "component", "part", "sig", "kinds")
     dealt = left.repartition(shuffle_partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
-    more = staged(dealt.mapInArrow(_block_pairs, "a long, b long").distinct(), "near-more")
+    more = staged(dealt.mapInArrow(lambda x: _block_links(x, threshold), "a long, b long").distinct(), "near-more-links")
     if not more.isEmpty():
-        links = links.unionByName(_verified(texts, more, threshold))
-        groups = connected_components(links)
+        groups = connected_components(links.unionByName(more))
     of_class = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select(*digest, F.coalesce("component", "cid").alias("component"))
     of_class = staged(of_class, "near-components")
     found = own.select("doc_id", *digest).join(of_class, digest, "left")
