@@ -10,7 +10,8 @@ is left.
 
 At scale, pieces are dealt at random to blocks of a bounded number of pieces,
 each packed by one task. The underfull bins of all blocks are then dealt to
-fewer blocks and packed again, until they fit one block or a round frees none.
+fewer blocks and packed again, until they fit one block or a round frees less
+than a tenth of them.
 
 Defined results: a null or empty text is one piece of length 1 (the end id);
 repeated rows are packed each; null doc_ids are packed like others; an empty
@@ -20,6 +21,7 @@ table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 import zlib
 from functools import lru_cache
@@ -39,6 +41,8 @@ BLOCK_PIECES = 16_384
 UNDERFULL = 0.97
 #: Bins looked at for a piece, and passes over the underfull bins, in a local search.
 LOOK_AT, PASSES = 48, 6
+#: Rounds are numbered in the upper bits of a sequence id.
+LAST_ROUND = 127
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, fill long"
@@ -218,7 +222,7 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     """``rows`` (PIECES, staged) with sequence_id, offset and fill."""
     done: list[DataFrame] = []
     bins_before = None
-    for round_ in range(8):
+    for round_ in itertools.count():
         n = rows.count()
         blocks = max(1, math.ceil(n / block_pieces))
         # ids by file and place, so that equal rows are dealt apart
@@ -230,7 +234,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
             break
         under = F.col("fill") < UNDERFULL * capacity
         left = out.where(under).agg(F.count("*").alias("rows"), F.sum(F.when(F.col("offset") == 0, 1).otherwise(0)).alias("bins")).first()
-        if not left["rows"] or (bins_before is not None and left["bins"] > 0.9 * bins_before):
+        # the last number that a sequence id has room for is a whole round too: nothing is left over
+        if not left["rows"] or (bins_before is not None and left["bins"] > 0.9 * bins_before) or round_ == LAST_ROUND:
             done.append(out)
             break
         bins_before = left["bins"]
