@@ -359,13 +359,49 @@ def bpe_count(spark, d):
     return _spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", c.alias("c")).select("doc_id", "c.tokens", "c.low", "c.high", "c.method")
 
 
+def _little(n: Column, size: int) -> Column:
+    """The lowest ``size`` bytes of a whole number, least first, as hexadecimal digits."""
+    return F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)])
+
+
+def _as_pdf(html: Column) -> Column:
+    """A page that shows a text. Brackets become spaces, as the reader's operands hold none; a backslash is escaped."""
+    shown = F.replace(F.translate(html, "()", "  "), F.lit("\\"), F.lit("\\\\"))
+    return F.concat(F.lit("%PDF-1.4\n/Type /Page /MediaBox [0 0 612 792] (").cast("binary"), shown.cast("binary"), F.lit(") Tj").cast("binary"))
+
+
+def _as_wav(raw: Column) -> Column:
+    """Bytes as samples of 8 bits, 8000 a second, on one channel."""
+    n = F.octet_length(raw).cast("long")
+    odd = F.repeat(F.lit("00"), (n % 2).cast("int"))
+    number = lambda x, size: _little(F.lit(x).cast("long"), size)
+    sound = F.concat(number(1, 2), number(1, 2), number(8_000, 4), number(8_000, 4), number(1, 2), number(8, 2))
+    head = F.concat(F.hex(F.lit("RIFF")), _little(n + n % 2 + 36, 4), F.hex(F.lit("WAVEfmt ")), number(16, 4), sound, F.hex(F.lit("data")), _little(n, 4))
+    return F.concat(F.unhex(head), raw, F.unhex(odd))
+
+
+def _as_gif(raw: Column, width: Column) -> Column:
+    """Bytes as the data blocks, of at most 255 bytes, of one frame of height 1."""
+    digits, n = F.hex(raw), F.octet_length(raw)
+    whole = n - n % 255
+    blocks = F.regexp_replace(F.substring(digits, F.lit(1), whole * 2), "(.{510})", "FF$1")
+    rest = F.when(n % 255 > 0, F.concat(_little((n % 255).cast("long"), 1), F.substring(digits, whole * 2 + 1, F.lit(508)))).otherwise(F.lit(""))
+    size = F.concat(_little(width, 2), F.lit("0100"))
+    return F.unhex(F.concat(F.hex(F.lit("GIF89a")), size, F.lit("0000002C00000000"), size, F.lit("0008"), blocks, rest, F.lit("003B")))
+
+
 def media_inspect(spark, d):
-    """Inspection of pages' bytes behind headers that make them PDFs, WAVs and GIFs, and of plain pages."""
-    pages = _spread(_t(spark, d, "pages").select("page_id", "html"))
-    raw = F.coalesce("html", F.lit("")).cast("binary")
-    pdf = F.concat(F.lit("%PDF-1.4\n/Type /Page /MediaBox [0 0 612 792] (").cast("binary"), F.regexp_replace(F.substring(F.coalesce("html", F.lit("")), 1, 200), "[()]", " ").cast("binary"), F.lit(") Tj").cast("binary"))
-    rows = pages.withColumn("content", F.when(F.col("page_id") % 2 == 0, pdf).otherwise(raw)).withColumn("a", media.inspected(F.col("content")))
-    return rows.select("page_id", "a.mime", "a.source_kind", F.col("a.document.pages").alias("pages"), F.col("a.document.extracted_bytes").alias("extracted_bytes"), "a.error")
+    """Inspection of each page's bytes as they are, and whole behind headers that make them a PDF, a WAV and a GIF."""
+    html = F.coalesce("html", F.lit(""))
+    raw = html.cast("binary")
+    width = F.coalesce(F.pmod("page_id", F.lit(1_500)), F.lit(0)).cast("long") + 1
+    forms = {"plain": raw, "pdf": _as_pdf(html), "wav": _as_wav(raw), "gif": _as_gif(raw, width)}
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), c.alias("content")) for k, c in forms.items()]))
+    rows = _spread(_t(spark, d, "pages").select("page_id", "html")).select("page_id", each.alias("x")).select("page_id", "x.form", media.inspected(F.col("x.content")).alias("a"))
+    return rows.select(
+        "page_id", "form", "a.mime", "a.source_kind", F.col("a.document.pages").alias("pages"), F.col("a.document.extracted_bytes").alias("extracted_bytes"),
+        F.col("a.audio.duration_ms").alias("duration_ms"), F.col("a.image.width").alias("width"), F.col("a.image.frames").alias("frames"), "a.error",
+    )
 
 
 ALL = (
