@@ -6,8 +6,10 @@ made one) and its SHA-256 is joined to the digests of known licence texts. The
 lines of a document that speak of a licence are looked up in the same way among
 the digests of known one-line notices.
 
-The known texts are constants of this module, so the tables that are broadcast
-have a fixed size.
+The known texts are constants of this module and the files of ``license_texts``
+(a folder a licence, a file for each edition of its text), so the tables that
+are broadcast have a fixed size. Texts that are not there, such as AGPL-3.0 and
+the Creative Commons licences but CC0 and CC BY-SA, can be given as a table.
 
 Defined results: a null text counts as empty, an empty canonical text matches
 nothing; repeated rows are looked up each; a null doc_id is kept; an empty table
@@ -17,6 +19,7 @@ gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +106,8 @@ SOFTWARE.""",
 }
 #: A licence's title line is often left out.
 BARE = {name: text.split("\n\n", 1)[1] for name, text in TEXTS.items()}
+#: Where the texts of long licences lie, and the line after which some say how to apply them, which is often left out.
+LONG, TERMS_END = Path(__file__).with_name("license_texts"), "END OF TERMS AND CONDITIONS"
 
 # Names under which notices speak of licences.
 NAMES = {
@@ -115,7 +120,9 @@ NAMES = {
     "CC0-1.0": ("CC0 1.0",),
 }
 OPENINGS = ("Licensed under", "Released under a license:", "Released under", "This work is licensed under", "This software is licensed under", "Distributed under a license:")
-#: Every known notice has this in its canonical text, so other lines need no digest.
+#: Every known notice has the first and one of the others in its text, so other lines need no digest.
+KEYWORDS = ("under", "licen", "released")
+#: The SQL knows only those notices that have this in their text.
 KEYWORD = "licen"
 
 _COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
@@ -140,7 +147,19 @@ def digest(lower: Column) -> Column:
 
 def notices() -> dict[str, str]:
     """Known one-line notices and the licences they name."""
-    return {f"{o} {a}{n}": i for o, a, (i, names) in product(OPENINGS, ("", "the "), NAMES.items()) for n in names if KEYWORD in f"{o}{n}".lower()}
+    return {f"{o} {a}{n}": i for o, a, (i, names) in product(OPENINGS, ("", "the "), NAMES.items()) for n in names}
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the files of ``LONG``, whole and up to the end of the terms."""
+    texts = [(f.parent.name, f.read_text(encoding="utf-8")) for f in sorted(LONG.glob("*/*.txt"))]
+    return texts + [(i, t[: t.index(TERMS_END) + len(TERMS_END)]) for i, t in texts if TERMS_END in t]
+
+
+def speaks(lower: Column) -> Column:
+    """Whether a text that ``lowered`` has been applied to may hold a known notice."""
+    first, *others = (F.contains(lower, F.lit(w)) for w in KEYWORDS)
+    return first & (others[0] | others[1])
 
 
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -149,17 +168,19 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFram
     return rows.select(digest(lowered(F.col("text"))).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, canonical_sha256, license_id, notices) of documents (doc_id, text)."""
+def scanned(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """(doc_id, canonical_sha256, license_id, notices) of documents (doc_id, text). ``more``: further known texts (text, license_id)."""
     spark = docs.sparkSession
-    whole = known_digests(spark, [*TEXTS.items(), *BARE.items()])
+    whole = F.broadcast(known_digests(spark, [*TEXTS.items(), *BARE.items(), *long_texts()]))
+    if more is not None:
+        more = more.where("license_id is not null").select(digest(lowered(F.coalesce("text", F.lit("")))).alias("digest"), "license_id")
+        whole = whole.unionByName(more.where(F.col("digest") != F.sha2(F.lit("").cast("binary"), 256))).groupBy("digest").agg(F.min("license_id").alias("license_id"))
     lines = {r["digest"]: r["license_id"] for r in known_digests(spark, [(i, t) for t, i in notices().items()]).collect()}  # constants
     of_line = F.create_map(*[F.lit(x) for pair in sorted(lines.items()) for x in pair])
     low = docs.select("doc_id", lowered(F.coalesce("text", F.lit(""))).alias("low"))
-    speaking = F.filter(F.split("low", "\n"), lambda x: F.contains(x, F.lit(KEYWORD)))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(speaking, lambda x: F.try_element_at(of_line, digest(x))), lambda x: x.isNotNull())))
-    rows = low.select("doc_id", digest(F.col("low")).alias("digest"), F.when(F.contains("low", F.lit(KEYWORD)), F.array_join(found, ",")).otherwise(F.lit("")).alias("notices"))
-    return rows.join(F.broadcast(whole), "digest", "left").select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", "notices")
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(F.filter(F.split("low", "\n"), speaks), lambda x: F.try_element_at(of_line, digest(x))), lambda x: x.isNotNull())))
+    rows = low.select("doc_id", digest(F.col("low")).alias("digest"), F.when(speaks(F.col("low")), F.array_join(found, ",")).otherwise(F.lit("")).alias("notices"))
+    return rows.join(whole, "digest", "left").select("doc_id", F.col("digest").alias("canonical_sha256"), "license_id", "notices")
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -167,6 +188,7 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    """SQL for texts whose licences are short and whose notices hold ``KEYWORD``: it knows no others."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     spell = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in SPELLINGS.items()) + "}"
     low = lambda x: f"translate({x}, {quote(_UPPER)}, {quote(_LOWER)})"
@@ -174,9 +196,10 @@ def _sql() -> str:
     form = lambda x: f"sha256(coalesce(array_to_string(list_transform(list_filter({words(x)}, lambda w: w <> ''), lambda w: coalesce({spell}[w], w)), ' '), ''))"
     values = lambda rows: ", ".join(f"({quote(t)}, {quote(i)})" for t, i in rows)
     texts = [(t, i) for d in (TEXTS, BARE) for i, t in d.items()]
+    known = [(t, i) for t, i in notices().items() if KEYWORD in t.lower()]
     return f"""
 WITH known AS (SELECT {form(low('t'))} AS d, min(i) AS license_id FROM (VALUES {values(texts)}) k(t, i) GROUP BY 1),
-lines AS (SELECT {form(low('t'))} AS d, min(i) AS license_id FROM (VALUES {values(notices().items())}) k(t, i) GROUP BY 1),
+lines AS (SELECT {form(low('t'))} AS d, min(i) AS license_id FROM (VALUES {values(known)}) k(t, i) GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS r, doc_id, {low("coalesce(text, '')")} AS l FROM documents),
 spoken AS (SELECT r, unnest(string_split(l, chr(10))) AS x FROM docs),
 found AS (
