@@ -1,15 +1,18 @@
 """Document fingerprints: threshold-scaled sketches of word shingles (native).
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the hash
-range, so its size follows the document's. Sketches of one fraction merge by
+range, so its size follows the document's; where none lies there, as in most
+texts of one shingle, it keeps the least one. Sketches of one fraction merge by
 set union, and the share of one sketch's hashes found in another estimates
 containment even between very unequal documents.
 
 A fingerprint is the text form of a sketch: the number of shingles, a colon and
 the kept hashes as 16 hexadecimal digits each, ascending. Texts are lower-cased
 and cut into words; a shingle is five words, or all of a shorter text. An empty
-or null text has no shingle and the fingerprint ``0:``. Two sketches without
-hashes count as alike (1.0) if their fingerprints are equal, else as unlike.
+or null text has no shingle and the fingerprint ``0:``; only such sketches have
+no hashes, are alike (1.0) and lie within every other. A least hash above the
+fraction compares only with its equal: of a text that has no other, a sketch of
+hashes below the fraction cannot tell whether it lies within, and 0.0 is given.
 """
 
 from __future__ import annotations
@@ -31,19 +34,22 @@ def shingle_words(text: Column) -> Column:
 
 
 def sketch(text: Column, fraction: float = FRACTION, k: int = SHINGLE_WORDS) -> Column:
-    """struct(n long, kept array<long>): number of shingles and the distinct hashes kept, ascending."""
+    """struct(n long, kept array<long>, above boolean): number of shingles, the distinct hashes
+    kept, ascending, and whether that is a least one above the fraction."""
     below = F.lit(min(2**63 - 1, int(-(2**63) + fraction * 2**64)))
-    return F.transform(
+    hashed = F.transform(
         F.array(shingle_words(F.coalesce(text, F.lit("")))),
-        lambda words: F.struct(
-            F.when(F.size(words) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.size(words) - (k - 1))).cast("long").alias("n"),
-            F.array_sort(F.array_distinct(F.filter(
-                F.transform(
-                    F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (k - 1)))),
-                    lambda i: F.xxhash64(F.slice(words, i, F.lit(k))),
-                ),
-                lambda h: h < below,
-            ))).alias("kept"),
+        lambda words: F.transform(
+            F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (k - 1)))),
+            lambda i: F.xxhash64(F.slice(words, i, F.lit(k))),
+        ),
+    )
+    return F.transform(
+        hashed,
+        lambda hashes: F.struct(
+            F.size(hashes).cast("long").alias("n"),
+            F.when(F.array_min(hashes) >= below, F.array(F.array_min(hashes))).otherwise(F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < below)))).alias("kept"),
+            F.coalesce(F.array_min(hashes) >= below, F.lit(False)).alias("above"),
         ),
     )[0]
 
@@ -54,8 +60,9 @@ def fingerprint(s: Column) -> Column:
 
 
 def merged(a: Column, b: Column) -> Column:
-    """Kept hashes of the union of two documents."""
-    return F.array_sort(F.array_union(a["kept"], b["kept"]))
+    """Kept hashes of the union of two documents; one above the fraction stays only if it is the least of both."""
+    both = F.array_sort(F.array_union(a["kept"], b["kept"]))
+    return F.when(a["above"] & b["above"], F.slice(both, 1, 1)).when(a["above"] & (F.size(b["kept"]) > 0), b["kept"]).when(b["above"] & (F.size(a["kept"]) > 0), a["kept"]).otherwise(both)
 
 
 def likeness(a: Column, b: Column) -> Column:
