@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch; texts may be long, so batches are kept short.
+#: Rows of an Arrow batch while a table is staged; texts may be long, so batches are kept short.
 BATCH_ROWS = 512
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def configured(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches bounded by rows, its Python workers finding this package where the driver does."""
+    """The session, its Python workers finding this package where the driver does."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, known] if known else [root])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the cluster names none, as in tests on one machine, a new temporary
-    folder is used for the whole session.
+    On a local master, where driver and executors are one machine, a new
+    temporary folder stands in for it; on a cluster it has to be set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillcount-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -46,12 +48,36 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read again.
 
     This cuts the lineage with files that outlive a lost executor, gives later
-    joins exact sizes, and keeps Python stages from running twice.
+    joins exact sizes, and keeps Python stages from running twice. Arrow batches
+    are short while the table is written; the session's own size comes back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def word_count(text):

@@ -15,11 +15,12 @@ import pyarrow as pa
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63 - 1, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C13)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_POWERS = np.ones(1, dtype=np.uint64)
+_POWERS = {}
 #: Bytes of text that are worked on at once, unless a single text is longer.
 CHUNK_BYTES = 1 << 21
 
@@ -33,13 +34,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(max(n, 64), _BASE, dtype=np.uint64)
+def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
+    """The first n or more powers of an odd number, modulo 2**64."""
+    if len(_POWERS.get(base, ())) < n:
+        out = np.full(1 << max(6, n.bit_length()), base, dtype=np.uint64)
         out[0] = 1
-        _POWERS = np.cumprod(out)
-    return _POWERS
+        _POWERS[base] = np.cumprod(out)
+    return _POWERS[base]
+
+
+def range_hashes(words: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of the ``length`` words from each ``start`` on; equal ranges have equal hashes anywhere.
+
+    Differences of prefix sums of word hashes times powers, shifted to place 0 by the inverse power.
+    """
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(len(words))[: len(words)], dtype=np.uint64)))
+    return mix64((total[start + length] - total[start]) * powers(len(words) + 1, _INVERSE)[start] + length.astype(np.uint64))
 
 
 @dataclass

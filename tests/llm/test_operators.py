@@ -317,9 +317,9 @@ def removed_words(texts, m):
     return words, out
 
 
-@pytest.mark.parametrize("shard", [100, 2])
+@pytest.mark.parametrize("shard", [100_000, 150, 1])
 def test_substring(spark, where, corpus, monkeypatch, shard):
-    monkeypatch.setattr(substring, "SHARD_SEGMENTS", shard)
+    monkeypatch.setattr(substring, "SHARD_WORDS", shard)
     texts = [t for _, t, *_ in corpus]
     words, kept = removed_words(texts, 35)
     want = sorted((k, len(w), len(w) - len(x), hashlib.sha256(" ".join(x).encode()).hexdigest()) for (k, *_), w, x in zip(corpus, words, kept, strict=True))
@@ -334,9 +334,11 @@ def test_suffix_automaton():
     rng = np.random.default_rng(4)
     texts = [rng.integers(0, 3, n).tolist() for n in (40, 30, 5, 0, 25)]
     a = substring.SuffixAutomaton()
-    for t in texts:
+    for t in texts[:-1]:
         a.add(t)
+    a.add(texts[-1], 3)
     a.finish(times=2)
+    texts += texts[-1:] * 2
     times = {}
     for t in texts:
         for i in range(len(t)):
@@ -348,12 +350,13 @@ def test_suffix_automaton():
     assert substring.spans([0, 1, 3, 4, 0, 3], 3) == [(0, 4), (3, 3)] or substring.spans([0, 1, 3, 4, 0, 3], 3) == [(0, 6)]
 
 
-def test_reference_spans(spark):
+def test_reference_spans(spark, monkeypatch):
     df = spark.createDataFrame([(1, "x " + " ".join(map(str, range(40))) + " y"), (2, "nothing here"), (3, None)], "doc_id long, text string")
-    got = substring.remove_reference_spans(df, [" ".join(map(str, range(60)))]).collect()
-    assert [(r.doc_id, [(s.start, s.n) for s in r.spans]) for r in got] == [(1, [(1, 40)])]
-    with pytest.raises(ValueError):
-        substring.remove_reference_spans(df, ["w " * (substring.BROADCAST_WORDS + 1)])
+    texts = spark.createDataFrame([(" ".join(map(str, range(60))),), (None,), ("w " * 50,), ("v " * 50,)], "text string")
+    for most in (200_000, 60):
+        monkeypatch.setattr(substring, "BROADCAST_WORDS", most)
+        got = substring.remove_reference_spans(df, texts).collect()
+        assert [(r.doc_id, [(s.start, s.n) for s in r.spans]) for r in got] == [(1, [(1, 40)])]
 
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header class="top"><h1>Site</h1></header><nav>menu</nav><div class="cookie-notice">cookies</div>
