@@ -152,8 +152,9 @@ def spans(statistics, least: int) -> list[tuple[int, int]]:
 
 
 def _segments(n: int, w: tb.Words, min_words: int):
-    """(text, anchor, digest, start, windows, lead) of the segments of n texts; ``lead`` is the
-    anchor's place in the first window."""
+    """(text, anchor, digest, start, windows, lead, times) of the segments of n texts; ``lead`` is the
+    anchor's place in the first window. Of equal segments of one text, which are repeated whatever
+    other texts hold, the first one stands for all; what they cover follows as (text, start, words)."""
     total = len(w.hash)
     if total < min_words:
         return None
@@ -182,12 +183,31 @@ def _segments(n: int, w: tb.Words, min_words: int):
     at, own, anchor = starts[first], own[first], anchor[first]
     digest = tb.range_hashes(w.hash, at, windows + (min_words - 1))
     start = at - w.first[own]
-    return own, grams[w.first[own] + anchor].view(np.int64), digest.view(np.int64), start, windows, anchor - start
+    columns = [own, grams[w.first[own] + anchor].view(np.int64), digest.view(np.int64), start, windows, anchor - start, np.ones(len(own), np.int64)]
+    same = tb.mix64(digest ^ tb.mix64(columns[1].view(np.uint64))) + own.astype(np.uint64) * _OTHER
+    order = np.argsort(same, kind="stable")
+    change = np.flatnonzero(np.append(True, same[order][1:] != same[order][:-1]))
+    times = np.diff(np.append(change, len(order)))
+    if len(times) == len(own):
+        return columns, [np.empty(0, np.int64)] * 3
+    stands = order[change]
+    columns[-1][stands] = times
+    several = np.repeat(times > 1, times)
+    covered = np.sort(order[several])
+    # spans that touch are one
+    a, b = at[covered], at[covered] + windows[covered] + (min_words - 1)
+    upto = np.maximum.accumulate(b)
+    new = np.append(True, (a[1:] > upto[:-1]) | (own[covered][1:] != own[covered][:-1]))
+    first = np.flatnonzero(new)
+    ends = upto[np.append(first[1:] - 1, len(upto) - 1)]
+    stands = np.sort(stands)
+    return [c[stands] for c in columns], [own[covered][first], start[covered][first], ends - a[first]]
 
 
 def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(anchor, d, k1, k2, start, windows, lead) of every segment, d digesting its words; ``docs``
-    has k1, k2 and text."""
+    """(anchor, d, k1, k2, start, windows, lead, n) of every segment, d digesting its words and n its
+    number in the text; ``docs`` has k1, k2 and text. Rows with n = 0 are spans of ``windows`` words
+    that are repeated within their text."""
     configured(docs.sparkSession)
 
     def run(batches):
@@ -195,11 +215,12 @@ def anchors(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
             for row, n, w in tb.chunks(batch.column(2)):
                 if got := _segments(n, w, min_words):
-                    text, anchor, digest, *places = got
-                    columns = [pa.array(anchor), pa.array(digest), pa.array(k1[row + text]), pa.array(k2[row + text]), *[pa.array(c.astype(np.int32)) for c in places]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["anchor", "d", "k1", "k2", "start", "windows", "lead"])
+                    none = np.zeros(len(got[1][0]), np.int64)
+                    for text, anchor, digest, *places in (got[0], [got[1][0], none, none, *got[1][1:], none, none]):
+                        columns = [pa.array(anchor), pa.array(digest), pa.array(k1[row + text]), pa.array(k2[row + text]), *[pa.array(c.astype(np.int32)) for c in places]]
+                        yield pa.RecordBatch.from_arrays(columns, names=["anchor", "d", "k1", "k2", "start", "windows", "lead", "n"])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, d long, k1 long, k2 long, start int, windows int, lead int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "anchor long, d long, k1 long, k2 long, start int, windows int, lead int, n int")
 
 
 #: Kinds of a shard: c1 and c2 name its core, d the kind, n how often it occurs; ``lead`` is the place
@@ -311,32 +332,33 @@ def _settled(kinds: DataFrame, min_words: int, splits=SPLITS) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(k1, k2, copies, spans array<struct<start, n>>) of the texts (k1, k2, text) that lose words."""
+    groups = staged(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("row").alias("row")), "substring-texts")
+    copied = groups.where("copies > 1").select("k1", "k2", "copies")
     segments = staged(anchors(docs, min_words), "substring-segments")
     several = [F.min(c) != F.max(c) for c in ("k1", "k2", "start")]
-    repeated = segments.groupBy("anchor").agg((several[0] | several[1] | several[2]).alias("several")).where("several").select("anchor")
-    place = F.struct("k1", "k2", "start", "windows", "lead")
-    candidates = segments.join(staged(repeated, "substring-anchors"), "anchor")
-    kinds = staged(candidates.groupBy("anchor", "d").agg(F.count("*").alias("n"), F.min(place).alias("place")), "substring-kinds")
+    repeated = segments.where("n > 0").groupBy("anchor").agg((several[0] | several[1] | several[2] | (F.max("n") > 1)).alias("several")).where("several").select("anchor")
+    candidates = staged(segments.where("n > 0").join(staged(repeated, "substring-anchors"), "anchor"), "substring-candidates")
+    kinds = staged(candidates.groupBy("anchor", "d").agg(F.sum("n").alias("n"), F.min("windows").alias("windows")), "substring-kinds")
     # an anchor with one kind has no automaton, and where all kinds occur twice nothing is left to find
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 AND least = 1").select("anchor")
-    open_ = staged(open_, "substring-open")
-    wanted = kinds.join(open_, "anchor").select("anchor", "d", "n", "place.*")
+    place = F.struct("k1", "k2", "start", "windows", "lead")
+    wanted = candidates.join(staged(open_, "substring-open"), "anchor").groupBy("anchor", "d").agg(F.sum("n").alias("n"), F.min(place).alias("place")).select("anchor", "d", "n", "place.*")
     wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "d", "n", "start", "windows", "lead")).alias("places"))
-    groups = staged(docs.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.min("row").alias("row")), "substring-texts")
     wanted = staged(wanted.join(groups, ["k1", "k2"]).select("k1", "k2", "row", "places"), "substring-wanted")
     # of equal texts the one of least row; repeated rows of it give the same kinds once more, dropped below
     texts = docs.join(wanted, ["k1", "k2", "row"]).select("text", "places")
     known = staged(texts.mapInArrow(lambda b: _kinds_with_words(b, min_words), KINDS).dropDuplicates(["c1", "c2", "d"]), "substring-words")
     found = _settled(known, min_words).select(F.col("c1").alias("anchor"), "d", "spans")
     # kinds that occur twice are repeated as a whole, with or without an automaton
-    whole = kinds.where("n > 1").select("anchor", "d", F.array(F.struct(F.lit(0).alias("start"), (F.col("place.windows") + F.lit(min_words - 1)).alias("n"))).alias("spans"))
+    whole = kinds.where("n > 1").select("anchor", "d", F.array(F.struct(F.lit(0).alias("start"), (F.col("windows") + F.lit(min_words - 1)).alias("n"))).alias("spans"))
     kinds_spans = staged(whole.unionByName(found.join(whole, ["anchor", "d"], "left_anti")), "substring-kind-spans")
-    placed = segments.join(kinds_spans, ["anchor", "d"]).select("k1", "k2", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), s["n"].alias("n"))).alias("spans"))
-    copied = groups.where("copies > 1").select("k1", "k2", "copies")
     # a text with a copy loses all its words, so its own spans need not be gathered
-    placed = placed.join(copied, ["k1", "k2"], "left_anti").groupBy("k1", "k2").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    placed = candidates.select("k1", "k2", "anchor", "d", "start").join(copied, ["k1", "k2"], "left_anti").join(kinds_spans, ["anchor", "d"])
+    placed = placed.select("k1", "k2", F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), s["n"].alias("n"))).alias("spans"))
+    inside = segments.where("n = 0").join(copied, ["k1", "k2"], "left_anti").select("k1", "k2", F.array(F.struct("start", F.col("windows").alias("n"))).alias("spans"))
+    placed = placed.unionByName(inside).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = staged(copied.withColumn("spans", F.lit(None).cast(_SPANS)).unionByName(placed.withColumn("copies", F.lit(None).cast("long"))), "substring-spans")
-    discard(segments, kinds, open_, wanted, known, kinds_spans)
+    discard(groups, segments, candidates, kinds, wanted, known, kinds_spans)
     return out
 
 
