@@ -2,28 +2,35 @@
 
 Documents are tokenised, closed with an end id and, if longer than a sequence,
 cut into full pieces behind a shorter first one. Pieces are packed by best fit,
-longest first, and a local search then moves single pieces, or exchanges one
-for one, two for one and one for two, from emptier into fuller underfull bins.
-Every accepted step raises the sum of squared fills, so bins drain until some
-are empty; it stops at the lower bound ceil(tokens / capacity) or when no step
-is left.
+longest first, and a swap-based local search then moves single pieces, or
+exchanges one for one, two for one and one for two, from emptier into fuller
+underfull bins. Every accepted step raises the sum of squared fills, so bins
+drain until some are empty. Partners are found through tables of the lengths,
+and sums of two lengths, that underfull bins can give, so every bin is tried;
+the search ends at the lower bound ceil(tokens / capacity) or in a local
+optimum, when a pass over all underfull bins finds no step.
 
 At scale, pieces are dealt at random to blocks of a bounded number of pieces,
 each packed by one task. The underfull bins of all blocks are then dealt to
 fewer blocks and packed again, until they fit one block or a round frees less
 than a tenth of them.
 
-Defined results: a null or empty text is one piece of length 1 (the end id);
-repeated rows are packed each; null doc_ids are packed like others; an empty
-table gives an empty table; other columns are not read.
+Defined results: a null or empty text is one piece of length 1 (the end id); a
+very long text becomes as many full pieces as it needs; of pieces of equal
+length the one of the lower id is placed first; repeated rows are packed each;
+null doc_ids are packed like others; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import itertools
+import json
 import math
+import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +46,6 @@ END_ID = 0
 BLOCK_PIECES = 16_384
 #: A bin below this share of the capacity is packed again in a later round.
 UNDERFULL = 0.97
-#: Bins looked at for a piece, and passes over the underfull bins, in a local search.
-LOOK_AT, PASSES = 48, 6
 #: Rounds are numbered in the upper bits of a sequence id.
 LAST_ROUND = 127
 
@@ -50,7 +55,7 @@ PACKED = PIECES + ", sequence_id long, offset long, fill long"
 
 @lru_cache(maxsize=2)
 def encoder(rank_file: str, pattern: str):
-    """A byte-pair encoder from a rank file; special strings in a text are ordinary text."""
+    """A fast byte-pair encoder from a rank file, for text between a tokenizer's added tokens."""
     import tiktoken
 
     with open(rank_file, "rb") as lines:
@@ -59,12 +64,21 @@ def encoder(rank_file: str, pattern: str):
 
 
 @lru_cache(maxsize=2)
-def _plain_tokenizer(json_file: str):
+def tokenizer(json_file: str):
+    """The tokenizer of the contract, as it is."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(json_file)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(json_file)
+
+
+@lru_cache(maxsize=2)
+def added_tokens(json_file: str) -> tuple[re.Pattern, dict[str, int], bool]:
+    """(pattern, ids, whether they are plain strings) of a tokenizer's added tokens."""
+    with open(json_file, encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    plain = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    names = sorted((t["content"] for t in added), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")" if names else "(?!)()"), {t["content"]: t["id"] for t in added}, plain
 
 
 def default_vocabulary() -> tuple[str, str, str]:
@@ -75,12 +89,20 @@ def default_vocabulary() -> tuple[str, str, str]:
 
 
 def token_ids(text: str, vocabulary: tuple[str, str, str]) -> list[int]:
+    """The ids of the tokenizer file with add_special_tokens=False: text is split at the added
+    tokens, and the faster encoder of the same vocabulary encodes what lies between them."""
+    pattern, added, plain = added_tokens(vocabulary[2])
+    if not plain:
+        return tokenizer(vocabulary[2]).encode(text, add_special_tokens=False).ids
     try:
-        return encoder(*vocabulary[:2]).encode_ordinary(text)
+        encode = encoder(*vocabulary[:2]).encode_ordinary
+        if not pattern.search(text):
+            return encode(text)
+        return [i for part in pattern.split(text) if part for i in ([added[part]] if part in added else encode(part))]
     except BaseException as error:  # its regular expression gives up (a panic or ValueError) on some extreme runs of white space
         if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
             raise
-        return _plain_tokenizer(vocabulary[2]).encode(text, add_special_tokens=False).ids
+        return tokenizer(vocabulary[2]).encode(text, add_special_tokens=False).ids
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -130,66 +152,96 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
+def sums(bin_: list[int], lengths: list[int]) -> tuple[list[int], list[int]]:
+    """Distinct lengths of a bin's pieces, and distinct sums of two of them."""
+    kinds = Counter(lengths[i] for i in bin_)
+    single = sorted(kinds)
+    pairs = {x + y for at, x in enumerate(single) for y in single[at + 1 :]} | {2 * x for x, n in kinds.items() if n > 1}
+    return single, sorted(pairs)
+
+
+def _pick(bin_: list[int], lengths: list[int], total: int, pieces: int) -> list[int]:
+    """One piece of that length, or two of that sum."""
+    if pieces == 1:
+        return [next(i for i in bin_ if lengths[i] == total)]
+    place: dict[int, int] = {}
+    for i in bin_:
+        if (other := place.get(total - lengths[i])) is not None:
+            return [other, i]
+        place.setdefault(lengths[i], i)
+    raise LookupError
+
+
+class _Partners:
+    """For each amount that a bin can give back, the roomiest bin that can give it."""
+
+    def __init__(self, capacity: int):
+        self.room, self.bin = np.full(2 * capacity + 1, -1, np.int64), np.full(2 * capacity + 1, -1, np.int64)
+
+    def put(self, b: int, room: int, amounts: list[int]) -> None:
+        own = np.asarray(amounts, np.int64)
+        own = own[self.room[own] <= room]
+        self.room[own], self.bin[own] = room, b
+
+    def drop(self, b: int) -> None:
+        own = self.bin == b
+        self.room[own], self.bin[own] = -1, -1
+
+    def best(self, gives: list[int], capacity: int) -> tuple[int, int, int] | None:
+        """(gain, given, taken) of the largest gain that fits the partner's room."""
+        if not gives:
+            return None
+        back = np.flatnonzero(self.room >= 0)
+        if not len(back):
+            return None
+        gain = np.asarray(gives, np.int64)[:, None] - back[None, :]
+        gain = np.where((gain > 0) & (gain <= self.room[back][None, :]), gain, 0)
+        at = int(gain.argmax())
+        g, t = divmod(at, len(back))
+        return (int(gain[g, t]), gives[g], int(back[t])) if gain[g, t] else None
+
+
 def local_search(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     """Drain emptier bins into fuller ones by moves and exchanges that raise the squared fill."""
     bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
     least = math.ceil(sum(fill) / capacity)
     used = sum(1 for b in bins if b)
-
-    def step(a: int, b: int) -> bool:
-        """One improving step from bin a into the fuller bin b."""
-        room = capacity - fill[b]
-        best = None  # (gain for b, leaving a, leaving b)
-        own = sorted(bins[a], key=lambda i: -lengths[i])
-        other = sorted(bins[b], key=lambda i: -lengths[i])
-        for i in own:
-            if lengths[i] <= room and (best is None or lengths[i] > best[0]):
-                best = (lengths[i], (i,), ())
-        for i in own:  # one for one
-            for j in other:
-                d = lengths[i] - lengths[j]
-                if 0 < d <= room and (best is None or d > best[0]):
-                    best = (d, (i,), (j,))
-        if best is None or best[0] < room:
-            for x, i in enumerate(own):  # two for one
-                for k in own[x + 1 :]:
-                    for j in other:
-                        d = lengths[i] + lengths[k] - lengths[j]
-                        if 0 < d <= room and (best is None or d > best[0]):
-                            best = (d, (i, k), (j,))
-            for x, j in enumerate(other):  # one for two
-                for k in other[x + 1 :]:
-                    for i in own:
-                        d = lengths[i] - lengths[j] - lengths[k]
-                        if 0 < d <= room and (best is None or d > best[0]):
-                            best = (d, (i,), (j, k))
-        if best is None:
-            return False
-        d, out, back = best
-        bins[a] = [i for i in bins[a] if i not in out] + list(back)
-        bins[b] = [j for j in bins[b] if j not in back] + list(out)
-        fill[a] -= d
-        fill[b] += d
-        return True
-
-    for _ in range(PASSES):
-        if used <= least:
-            break
+    changed = True
+    while changed and used > least:
         changed = False
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: fill[b])
-        for at, a in enumerate(under):
+        # what fuller bins can give back: nothing or one piece, and two pieces
+        one, two = _Partners(capacity), _Partners(capacity)
+
+        def put(b):
+            if 0 < fill[b] < capacity:
+                single, pairs = sums(bins[b], lengths)
+                one.put(b, capacity - fill[b], [0, *single])
+                two.put(b, capacity - fill[b], pairs)
+
+        for a in sorted((b for b in range(len(bins)) if 0 < fill[b] < capacity), key=lambda b: -fill[b]):
+            while bins[a]:
+                single, pairs = sums(bins[a], lengths)
+                steps = [(s, n, m, table) for n, m, table, s in ((1, 1, one, one.best(single, capacity)), (2, 1, one, one.best(pairs, capacity)), (1, 2, two, two.best(single, capacity))) if s]
+                if not steps:
+                    break
+                (gain, given, taken), n, m, table = max(steps, key=lambda s: s[0][0])
+                b = int(table.bin[taken])
+                if fill[b] + gain <= fill[a]:
+                    break  # b has given to others meanwhile and is the emptier one; the next pass comes to it
+                out, back = _pick(bins[a], lengths, given, n), _pick(bins[b], lengths, taken, m) if taken else []
+                bins[a] = [i for i in bins[a] if i not in out] + back
+                bins[b] = [j for j in bins[b] if j not in back] + out
+                fill[a] -= gain
+                fill[b] += gain
+                changed = True
+                one.drop(b)
+                two.drop(b)
+                put(b)
+            used -= not bins[a]
             if used <= least:
                 break
-            fuller = sorted((b for b in under[at + 1 :] if fill[a] <= fill[b] < capacity), key=lambda b: fill[b])[:LOOK_AT]
-            for b in fuller:
-                while bins[a] and fill[b] < capacity and len(bins[a]) * len(bins[b]) <= 4096 and step(a, b):
-                    changed = True
-                if not bins[a]:
-                    used -= 1
-                    break
-        if not changed:
-            break
+            put(a)
     return [b for b in bins if b]
 
 
@@ -227,7 +279,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         blocks = max(1, math.ceil(n / block_pieces))
         # ids by file and place, so that equal rows are dealt apart
         dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(blocks)).cast("int"))
-
+        # each block is a task of its own
+        dealt = dealt.repartition(blocks, "block") if blocks > 1 else dealt
         out = staged(dealt.groupBy("block").applyInPandas(_block_packer(round_, capacity), PACKED), f"packing-{round_}")
         if blocks == 1:
             done.append(out)

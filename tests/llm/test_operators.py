@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillcount.llm import fingerprint, graph, html_text, licenses, mixing, near_dup, packing, quality, queries, substring, vectors, warc
 from quillcount.llm import textbatch as tb
@@ -82,7 +83,7 @@ def test_words_of_batches():
 def test_packing(spark, where, corpus):
     rows = [r.asDict() for r in packing.op1_best_fit_packing(spark, where).collect()]
     vocabulary = packing.default_vocabulary()
-    plain = packing._plain_tokenizer(vocabulary[2])
+    plain = Tokenizer.from_file(vocabulary[2])
     ids_of = {k: plain.encode(t or "", add_special_tokens=False).ids + [0] for k, t, *_ in corpus}
     assert sum(r["length"] for r in rows) == sum(len(ids_of[k]) for k, *_ in corpus)
     for r in rows:
@@ -117,8 +118,9 @@ def test_packing_rounds_and_search(spark):
 
 def test_special_strings_and_extreme_space():
     v = packing.default_vocabulary()
-    plain = packing._plain_tokenizer(v[2])
-    for t in ("<|endoftext|> a", " " * 50_000 + "x", "\u0000​ ☃'s 12345 don't", "a\n\n\n b"):
+    plain = Tokenizer.from_file(v[2])
+    assert packing.token_ids("a <|endoftext|> b", v) == [64, 220, 50256, 275]
+    for t in ("<|endoftext|> a", "x  <|endoftext|><|endoftext|>\n\n<|endoftext", " " * 50_000 + "x", "\u0000​ ☃'s 12345 don't", "a\n\n\n b"):
         assert packing.token_ids(t, v) == plain.encode(t, add_special_tokens=False).ids
 
 
