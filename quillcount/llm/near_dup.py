@@ -15,18 +15,19 @@ linked documents keeps the one with the least id.
    similarity reaches the threshold falls below ``MISS``. Survivors are verified
    on their full shingle sets.
 4. Where a bucket then still holds classes of different components, its pairs
-   across components are compared, in blocks of bounded size that are dealt to
-   many tasks, with the same pruning. A task verifies plausible pairs in order
-   of their estimated similarity and passes over those that its own links have
-   connected meanwhile, so it emits fewer links than it has classes. Every
-   candidate pair is thus refuted, linked or connected, and no set of all pairs
-   of a group is ever made.
+   across components are compared, in blocks of bounded rows and bytes that are
+   dealt to many tasks, with the same pruning, each pair in the first band that
+   it shares. A task verifies plausible pairs in order of their estimated
+   similarity and passes over those that its own links have connected meanwhile,
+   so it emits fewer links than it has classes. Every candidate pair is thus
+   refuted, linked or connected, and no set of all pairs of a group is ever made.
 
 Candidates grow with the corpus, so their texts and sets meet by sorted joins at
 every size and are never broadcast.
 
 Defined results: null or empty texts have an empty set and link with nothing;
-rows that share a doc_id count as one document (linked); a null doc_id gets a
+very long texts have all their shingles; of equal sets the least id stands for
+all; rows that share a doc_id count as one document (linked); a null doc_id gets a
 null component and is kept; an empty table gives an empty table; other columns
 are carried along.
 """
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbatch as tb
-from .common import configured, shuffle_partitions, staged, table
+from .common import configured, discard, shuffle_partitions, staged, table
 from .graph import connected_components
 
 SHINGLE_WORDS = 5
@@ -52,8 +53,8 @@ HASHES = BANDS * BAND_ROWS
 BATCH_HASHES = 32
 #: Posterior probability of reaching the threshold below which a pair is dropped.
 MISS = 1e-6
-#: Classes of a bucket that one task compares with as many others at a time.
-BLOCK = 256
+#: Classes of a bucket, and bytes of their shingle sets, that one task compares with as many others at a time.
+BLOCK, BLOCK_BYTES = 2048, 32 << 20
 
 _RNG = np.random.default_rng(75)
 _FACTOR = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,7 +140,9 @@ def _bands(batches):
             for r in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
                 key = tb.mix64(key * np.uint64(0x9FB21C651E98DF25) + sig[:, r])
             keys[:, b] = key
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(ids, BANDS))], names=["band", "cid"])
+        sizes = batch.column(2).to_numpy()
+        columns = (keys.ravel().view(np.int64), np.repeat(ids, BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(ids)), np.repeat(sizes, BANDS))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "cid", "no", "n_shingles"])
 
 
 def _plausible_pairs(batches):
@@ -164,19 +167,23 @@ def _block_links(batches, threshold: int):
         if len(rows) < 2:
             return
         (_, i, j) = rows[0][0]
-        ids, comp, part = (np.array([r[k] for r in rows]) for k in (1, 2, 3))
-        sig = np.frombuffer(b"".join(r[4] for r in rows), np.uint32).reshape(len(rows), HASHES)
-        kinds = [np.frombuffer(r[5], np.uint64) for r in rows]
+        ids, no, comp, part = (np.array([r[k] for r in rows]) for k in (1, 2, 3, 4))
+        sig = np.frombuffer(b"".join(r[5] for r in rows), np.uint32).reshape(len(rows), HASHES)
+        kinds = [np.frombuffer(r[6], np.uint64) for r in rows]
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        apart = comp[left][:, None] != comp[right][None, :]
-        if i == j:
-            apart &= ids[left][:, None] < ids[right][None, :]
-        x, y = np.nonzero(apart)
         found = []
-        for at in range(0, len(x), 16_384):
-            p, q = left[x[at : at + 16_384]], right[y[at : at + 16_384]]
+        for u in left.tolist():
+            q = right[comp[right] != comp[u]]
+            if i == j:
+                q = q[ids[q] > ids[u]]
+            p = np.full(len(q), u)
             keep = plausible(sig[p], sig[q])
-            found.append((p[keep], q[keep], (sig[p[keep]] == sig[q[keep]]).sum(axis=1)))
+            p, q = p[keep], q[keep]
+            alike = sig[p] == sig[q]
+            # a pair that shares an earlier band is compared there
+            first = alike.reshape(len(p), BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == no[0]
+            if first.any():
+                found.append((p[first], q[first], alike[first].sum(axis=1)))
         if not found:
             return
         p, q, alike = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -243,10 +250,12 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     filled = own.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(filled.groupBy(*digest).agg(F.min("doc_id").alias("cid")), "near-classes")
     with_sig = filled.select(*digest, F.col("doc_id").alias("cid"), "sig").join(classes, [*digest, "cid"])
-    with_sig = staged(with_sig.select("cid", "sig").dropDuplicates(["cid", "sig"]), "near-class-signatures")
-    bands = staged(with_sig.select("cid", "sig").mapInArrow(_bands, "band long, cid long"), "near-bands")
-    buckets = staged(bands.groupBy("band").agg(F.min("cid").alias("rep"), F.count("*").alias("size")).where("size > 1"), "near-buckets")
+    with_sig = staged(with_sig.select("cid", "sig", "n_shingles").dropDuplicates(["cid", "sig"]), "near-class-signatures")
+    bands = staged(with_sig.mapInArrow(_bands, "band long, cid long, no int, n_shingles long"), "near-bands")
+    buckets = bands.groupBy("band").agg(F.min("cid").alias("rep"), F.count("*").alias("size"), (8 * F.sum("n_shingles")).alias("bytes"))
+    buckets = staged(buckets.where("size > 1"), "near-buckets")
     members = staged(bands.join(buckets, "band"), "near-members")
+    discard(bands, buckets)
 
     # a pair is compared first with the member of least id of its bucket
     pairs = members.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
@@ -262,17 +271,18 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     split = staged(split, "near-split")
     apart = split.where("cid <> rep").groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
     # the least member has been compared with all others already
-    left = split.where("cid <> rep").join(staged(apart, "near-apart"), "band").join(with_sig, "cid").join(full.hint("merge"), "cid")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    left = split.where("cid <> rep").join(staged(apart, "near-apart"), "band").join(with_sig.select("cid", "sig"), "cid").join(full.hint("merge"), "cid")
+    blocks = F.ceil(F.greatest(F.col("size") / F.lit(BLOCK), F.col("bytes") / F.lit(BLOCK_BYTES))).cast("int")
     left = left.withColumn("part", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "component", "part", "sig", "kinds")
+    left = left.select("band", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cid", "no", "component", "part", "sig", "kinds")
     dealt = left.repartition(shuffle_partitions(spark), "band", "i", "j").sortWithinPartitions("band", "i", "j")
     more = staged(dealt.mapInArrow(lambda x: _block_links(x, threshold), "a long, b long").distinct(), "near-more-links")
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more))
     of_class = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").select(*digest, F.coalesce("component", "cid").alias("component"))
     of_class = staged(of_class, "near-components")
+    discard(classes, with_sig, members, stars, full, links, split, more)
     found = own.select("doc_id", *digest).join(of_class, digest, "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
@@ -286,7 +296,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stand for their group; of rows that share a kept id, all stay."""
     groups = near_groups(docs)
     gone = staged(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 OP2_SQL = """
