@@ -1,7 +1,7 @@
 """License scans by canonical digest lookup (native).
 
-A text is canonicalised (ASCII letters lower-cased, copyright lines dropped,
-punctuation and white space reduced to single spaces, equivalent spellings
+A text is canonicalised (ASCII letters lower-cased, copyright lines and
+the marks of list items dropped, punctuation and white space reduced to single spaces, equivalent spellings
 made one) and its SHA-256 is joined to the digests of known licence texts. The
 lines of a document that speak of a licence are looked up in the same way among
 the digests of known one-line notices.
@@ -13,7 +13,8 @@ the Creative Commons licences but CC0 and CC BY-SA, can be given as a table.
 
 Defined results: a null text counts as empty, an empty canonical text matches
 nothing; repeated rows are looked up each; a null doc_id is kept; an empty table
-gives an empty table; other columns are not read.
+gives an empty table; very long texts are digested whole; of known texts with
+one digest the licence of the least name counts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SPELLINGS = {
     "cancelled": "canceled", "catalogue": "catalog", "centre": "center", "customised": "customized", "defence": "defense",
     "emphasised": "emphasized", "favour": "favor", "fulfil": "fulfill", "fulfilment": "fulfillment", "honour": "honor",
     "initialise": "initialize", "judgement": "judgment", "labelled": "labeled", "labelling": "labeling", "labour": "labor",
-    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "merchantability": "merchantability",
-    "minimise": "minimize", "modelled": "modeled", "noncommercial": "noncommercial", "offence": "offense", "optimisation": "optimization",
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing",
+    "minimise": "minimize", "modelled": "modeled", "offence": "offense", "optimisation": "optimization",
     "organisation": "organization", "organisations": "organizations", "practise": "practice", "programme": "program",
     "realise": "realize", "recognise": "recognize", "recognised": "recognized", "signalling": "signaling", "sublicence": "sublicense", "utilise": "utilize",
     "utilisation": "utilization", "whilst": "while", "wilful": "willful", "https": "http",
@@ -89,6 +90,22 @@ subject to the following restrictions:
 an acknowledgment in the product documentation would be appreciated but is not required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
+    "Unlicense": """The Unlicense
+
+This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication
+to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS
+FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>""",
     "BSL-1.0": """Boost Software License - Version 1.0 - August 17th, 2003
 
 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
@@ -125,7 +142,10 @@ KEYWORDS = ("under", "licen", "released")
 #: The SQL knows only those notices that have this in their text.
 KEYWORD = "licen"
 
-_COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+#: A copyright line begins with the sign, or with the word and has a year, the sign or a blank to fill in; "copyright notice" in running text has none.
+_COPYRIGHT = r"(^|\n)[ \t]*(copyright[^\n]*(\(c\)|©|[12][0-9]{3}|[\[<{]|[ \t]by[ \t])|\(c\)|©)[^\n]*"
+#: Marks of list items, all spelt alike: as nothing.
+_MARKER = r"(^|\n)[ \t]*([*+•-]|\(?[0-9]{1,2}[.)]|\(?[a-z][.)])[ \t]+"
 _PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ“”‘’–—•… ", "abcdefghijklmnopqrstuvwxyz         "
 
@@ -136,7 +156,8 @@ def lowered(text: Column) -> Column:
 
 def canonical(lower: Column) -> Column:
     """Canonical form of a text that ``lowered`` has been applied to."""
-    words = F.split(F.regexp_replace(F.regexp_replace(lower, _COPYRIGHT, "\n"), _PUNCTUATION, " "), " ")
+    plain = F.regexp_replace(F.regexp_replace(lower, _COPYRIGHT, "\n"), _MARKER, "\n")
+    words = F.split(F.regexp_replace(plain, _PUNCTUATION, " "), " ")
     spell = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     return F.array_join(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(spell, w), w)), " ")
 
@@ -192,7 +213,7 @@ def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     spell = "MAP {" + ", ".join(f"{quote(a)}: {quote(b)}" for a, b in SPELLINGS.items()) + "}"
     low = lambda x: f"translate({x}, {quote(_UPPER)}, {quote(_LOWER)})"
-    words = lambda x: f"string_split(regexp_replace(regexp_replace({x}, {quote(_COPYRIGHT)}, chr(10), 'g'), {quote(_PUNCTUATION)}, ' ', 'g'), ' ')"
+    words = lambda x: f"string_split(regexp_replace(regexp_replace(regexp_replace({x}, {quote(_COPYRIGHT)}, chr(10), 'g'), {quote(_MARKER)}, chr(10), 'g'), {quote(_PUNCTUATION)}, ' ', 'g'), ' ')"
     form = lambda x: f"sha256(coalesce(array_to_string(list_transform(list_filter({words(x)}, lambda w: w <> ''), lambda w: coalesce({spell}[w], w)), ' '), ''))"
     values = lambda rows: ", ".join(f"({quote(t)}, {quote(i)})" for t, i in rows)
     texts = [(t, i) for d in (TEXTS, BARE) for i, t in d.items()]
