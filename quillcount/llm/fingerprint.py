@@ -13,6 +13,11 @@ or null text has no shingle and the fingerprint ``0:``; only such sketches have
 no hashes, are alike (1.0) and lie within every other. A least hash above the
 fraction compares only with its equal: of a text that has no other, a sketch of
 hashes below the fraction cannot tell whether it lies within, and 0.0 is given.
+
+Defined results: very long texts are sketched whole, as other texts; equal
+texts, and repeated rows, have equal sketches; rows of one doc_id follow each
+other in any order; null ids come first; an empty table gives an empty table;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,13 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import shuffle_partitions, staged, table
 
 SHINGLE_WORDS = 5
 #: A kept hash lies in the lowest quarter of the signed 64-bit range.
 FRACTION = 0.25
-#: Ranges of ids into which documents are dealt to find each one's successor.
-ID_RANGES = 2048
+#: Bytes of texts that a range of ids has, to find each one's successor within; ranges for each shuffle partition at least.
+RANGE_BYTES, RANGES_EACH = 64 << 20, 16
 
 
 def shingle_words(text: Column) -> Column:
@@ -78,34 +83,42 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(F.size(a["kept"]) == 0, (a["n"] <= b["n"]).cast("double")).otherwise(F.try_divide(both, F.size(a["kept"]))).cast("double")
 
 
-def with_next(docs: DataFrame, carried: list[str], ranges: int = ID_RANGES) -> DataFrame:
-    """``docs`` with ``next_<column>`` of the document that follows by ascending doc_id
-    (after the last, the first).
+def id_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row with the array ``cuts`` between ranges of ids, a row per range that holds an id:
+    ``first``, the least id, and ``to``, the range before it, the last one before the first).
 
-    Documents are dealt once, by ranges of ids between quantiles; the first one
-    of a range is also sent to the range before it. Of the driver's data, only
-    the quantiles and each range's first id are collected, ``ranges`` numbers
-    each. Null ids come first and are nobody's successor at the end.
+    The number of ranges follows the bytes of the texts; ranges lie between quantiles of the ids.
+    """
+    ids = staged(docs.select("doc_id", F.octet_length("text").alias("bytes")), "fingerprint-ids")
+    total = ids.agg(F.sum("bytes")).first()[0] or 0
+    ranges = max(RANGES_EACH * shuffle_partitions(docs.sparkSession), -(-total // RANGE_BYTES))
+    quantiles = F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))
+    cuts = ids.agg(F.array_sort(F.array_distinct(F.coalesce(quantiles, F.array().cast("array<bigint>")))).alias("cuts"))
+    cuts = staged(cuts, "fingerprint-cuts")
+    firsts = ids.withColumn("cuts", cuts.scalar()).groupBy(range_of("doc_id", "cuts").alias("own")).agg(F.min("doc_id").alias("first")).where("first IS NOT NULL")
+    order = Window.orderBy("own")  # over a row per range
+    firsts = firsts.select("first", F.coalesce(F.lag("own").over(order), F.max("own").over(Window.partitionBy())).alias("to"), (F.row_number().over(order) == 1).alias("wraps"))
+    return cuts, staged(firsts, "fingerprint-ranges")
+
+
+def range_of(value: str, cuts: str) -> Column:
+    """How many of the ascending ``cuts`` do not exceed a value, by bisection."""
+    x, c = F.col(value), F.col(cuts)
+    halves = F.transform(F.sequence(F.lit(30), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(halves, F.lit(0), lambda i, s: F.when((i + s <= F.size(c)) & (F.try_element_at(c, F.greatest(F.lit(1), F.least(i + s, F.size(c)))) <= x), i + s).otherwise(i))
+
+
+def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with ``next_<column>`` of the document that follows by ascending
+    doc_id (after the last, the first).
+
+    Documents are dealt once, by ranges of ids; the first one of a range is also sent to the range
+    before it. Null ids come first and are nobody's successor at the end.
     """
-    ids = staged(docs.select("doc_id"), "fingerprint-ids")
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = ids.agg(F.percentile_approx("doc_id", steps, 100_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    halves = [1 << i for i in reversed(range(max(1, len(cuts).bit_length())))]
-    cut = F.array(*[F.lit(x) for x in cuts]).cast("array<long>")
-    fits = lambda i, s: (i + s <= len(cuts)) & (F.try_element_at(cut, F.greatest(F.lit(1), i + s)) <= F.col("doc_id"))
-    placed = F.aggregate(F.array(*[F.lit(x) for x in halves]), F.lit(0), lambda i, s: F.when(fits(i, s), i + s).otherwise(i))
-    firsts = {r["b"]: r["first"] for r in ids.groupBy(placed.alias("b")).agg(F.min("doc_id").alias("first")).collect() if r["first"] is not None}
-    full = sorted(firsts)
-    before = {b: full[i - 1] for i, b in enumerate(full)}  # the first range's is the last one
-    lookup = lambda of, kind: F.array(*[F.lit(of.get(b)).cast(kind) for b in range(len(cuts) + 1)])
-    rows = docs.withColumn("_range", placed)
-    is_first = F.col("doc_id") == lookup(firsts, "long")[F.col("_range")]
-    own = F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest"))
-    wraps = F.col("_range") == F.lit(full[0] if full else 0)
-    guest = F.struct(lookup(before, "int")[F.col("_range")].alias("r"), F.when(wraps, F.lit(2)).otherwise(F.lit(1)).alias("guest"))
-    rows = rows.withColumn("_to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))
-    rows = rows.withColumns({"_range": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_to")
+    cuts, firsts = id_ranges(docs)
+    own = docs.withColumn("_cuts", cuts.scalar()).withColumn("_range", range_of("doc_id", "_cuts")).drop("_cuts")
+    guests = docs.join(firsts, F.col("doc_id") == F.col("first")).withColumnRenamed("to", "_range").withColumn("_guest", F.when(F.col("wraps"), F.lit(2)).otherwise(F.lit(1))).drop("first", "wraps")
+    rows = own.withColumn("_guest", F.lit(0)).unionByName(guests)
     order = Window.partitionBy("_range").orderBy(F.greatest(F.col("_guest"), F.lit(1)), F.col("doc_id").asc_nulls_first(), "_guest")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     return rows.where(F.col("_guest") == 0).drop("_range", "_guest")
