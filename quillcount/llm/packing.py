@@ -279,8 +279,8 @@ def packed(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
         blocks = max(1, math.ceil(n / block_pieces))
         # ids by file and place, so that equal rows are dealt apart
         dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(round_)), F.lit(blocks)).cast("int"))
-        # each block is a task of its own
-        dealt = dealt.repartition(blocks, "block") if blocks > 1 else dealt
+        # ranges of whole numbers, so that each block is a task of its own
+        dealt = dealt.repartitionByRange(blocks, "block") if blocks > 1 else dealt
         out = staged(dealt.groupBy("block").applyInPandas(_block_packer(round_, capacity), PACKED), f"packing-{round_}")
         if blocks == 1:
             done.append(out)
