@@ -13,13 +13,15 @@ a row per document.
 
 Defined results: null and empty texts are scored as texts without words; a null
 doc_id is never labelled and not held out; labels other than 0 and 1 are not
-learned from; repeated rows are scored, and learned from, each; where a class
-has no training row, every score is 0.5.
+learned from; repeated rows are scored, and learned from, each; very long texts
+are measured whole; equal texts have equal scores; an empty table gives an empty
+table; other columns are not read, and carried along where rows are kept; where
+a class has no training row, every score is 0.5.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -119,14 +121,15 @@ class Discriminant:
     means: tuple
     factors: tuple  # lower triangles, or () if a class was never seen
     log_dets: tuple
+    inverses: tuple  # of the factors, taken once, so that scoring a batch is two products
     slope: float = 1.0
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         """Log density under class 1 less that under class 0."""
         density = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)  # factors are small and triangular
+        for mean, inverse, log_det in zip(self.means, self.inverses, self.log_dets, strict=True):
+            z = inverse @ (x - mean).T
             density.append(-0.5 * ((z * z).sum(axis=0) + log_det))
         return density[1] - density[0]
 
@@ -140,7 +143,7 @@ class Discriminant:
 def discriminant(sums: dict[int, tuple], shrinkage: float = SHRINKAGE) -> Discriminant:
     """From (count, sum, sum of outer products) of each class."""
     if any(sums.get(k, (0,))[0] < 1 for k in (0, 1)):
-        return Discriminant((), (), ())
+        return Discriminant((), (), (), ())
     total = sum(sums[k][0] for k in (0, 1))
     pooled_mean = sum(sums[k][1] for k in (0, 1)) / total
     scale = np.maximum(np.diag(sum(sums[k][2] for k in (0, 1)) / total) - pooled_mean**2, 1e-6)
@@ -156,7 +159,7 @@ def discriminant(sums: dict[int, tuple], shrinkage: float = SHRINKAGE) -> Discri
         means.append(mean)
         factors.append(factor)
         log_dets.append(2 * np.log(np.diag(factor)).sum())
-    return Discriminant(tuple(means), tuple(factors), tuple(log_dets))
+    return Discriminant(tuple(means), tuple(factors), tuple(log_dets), tuple(np.linalg.inv(f) for f in factors))
 
 
 def logistic_curve(bins: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
@@ -234,7 +237,7 @@ def fit(rows: DataFrame) -> Discriminant:
         counts[r["label"], r["bin"]] = r["n"]
     middle = (np.arange(BINS) + 0.5) / BINS * 2 * REACH - REACH
     slope, shift = logistic_curve(middle, counts[1], counts[0])
-    return Discriminant(model.means, model.factors, model.log_dets, slope, shift)
+    return replace(model, slope=slope, shift=shift)
 
 
 def fit_labelled(stats: DataFrame, labels: DataFrame) -> Discriminant:
@@ -261,7 +264,7 @@ def kept_by_quality(docs: DataFrame, model: Discriminant, cut: float = CUT) -> D
     def run(batches):
         for batch in batches:
             keep = model.score(statistics(batch.column(at))) >= cut
-            yield batch.filter(pa.array(keep))
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
