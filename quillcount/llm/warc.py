@@ -18,7 +18,8 @@ Defined results: a null html is an empty payload; of repeated rows of one
 page_id and payload one is the response and the others revisit it; a null
 page_id is written without that field, comes last in the choice of the response
 and is read back as null; an empty table writes no record; a record that fails
-its checks has a ``problem`` and no payload.
+its checks has a ``problem`` and no payload; very long pages become as many
+segments as they need; other columns are not read.
 """
 
 from __future__ import annotations
@@ -159,7 +160,8 @@ def parse(archive: bytes):
 
 
 def archive_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row (RECORD) per record of the archives under ``path``, segments apart."""
+    """A row (RECORD) per record of the archives under ``path``, segments apart; a record that is
+    not segmented has no number. An archive is read whole, so it has to be below 2 GB."""
     configured(spark)
 
     def run(batches):
@@ -168,8 +170,9 @@ def archive_records(spark: SparkSession, path: str) -> DataFrame:
                 columns: list[list] = [[] for _ in range(10)]
                 for f, block in parse(content.as_py()):
                     page, total = f.get("page-id"), f.get("warc-segment-total-length")
+                    number = f.get("warc-segment-number", 1 if f["warc-type"] == "continuation" else None)
                     values = (f["warc-record-id"], f["warc-type"], page and int(page), f.get("warc-target-uri"), f.get("refers-to-page-id"), f.get("warc-payload-digest"),
-                              int(f.get("warc-segment-number", 1)), f.get("warc-segment-origin-id", f["warc-record-id"]), total and int(total), block)
+                              number and int(number), f.get("warc-segment-origin-id", f["warc-record-id"]), total and int(total), block)
                     for c, v in zip(columns, values, strict=True):
                         c.append(v)
                 kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary())
@@ -184,13 +187,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ``digest`` is the payload's, recomputed for responses; a revisit has its
     response's digest and length, and no payload.
     """
-    part = F.struct("number", "block", "total", "type", "page_id", "uri", "refers_to", "digest")
-    whole = archive_records(spark, path).groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    found = staged(archive_records(spark, path), "warc-records")
+    names = ("type", "page_id", "uri", "refers_to", "digest")
+    # only segments are shuffled: records of their own are whole already
+    single = found.where("number IS NULL").select(F.col("origin").alias("record_id"), *names, F.array(F.lit(1)).alias("numbers"), F.array("block").alias("blocks"), "total")
+    part = F.struct("number", "block", "total", *names)
+    whole = found.where("number IS NOT NULL").groupBy("origin").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     first = F.col("parts")[0]
-    whole = whole.select(
-        F.col("origin").alias("record_id"), *[first[c].alias(c) for c in ("type", "page_id", "uri", "refers_to", "digest")],
+    whole = single.unionByName(whole.select(
+        F.col("origin").alias("record_id"), *[first[c].alias(c) for c in names],
         F.col("parts.number").alias("numbers"), F.col("parts.block").alias("blocks"), F.element_at("parts", -1)["total"].alias("total"),
-    )
+    ))
 
     def run(batches):
         for batch in batches:
