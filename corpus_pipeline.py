@@ -19,7 +19,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier, learned from the labelled ones of ``docs``, rejects.
 
-    Empty and null texts are scored like others; without labels of both classes nothing is rejected.
+    Empty, null and very long texts are scored like others, repeated rows each, equal texts alike; a
+    null doc_id is never labelled; without labels of both classes nothing is rejected; an empty table
+    stays empty. Here as in the other stages, columns beside those of documents are left out.
     """
     configured(spark)
     stats = staged(quality.with_statistics(docs), "quality-statistics")
@@ -28,25 +30,39 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies, the document of least id."""
+    """Keeps, of each group of near copies, the document of least id.
+
+    Null and empty texts and rows with a null doc_id stay, as do all rows that share a kept id; very
+    long texts are compared whole; an empty table stays empty.
+    """
     return near_dup.without_near_copies(docs.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of 35 words or more that start at two places; a text that loses all its words goes."""
+    """Cuts passages of 35 words or more that start at two places; a text that loses all its words goes.
+
+    Null and empty texts stay; repeated rows are copies of each other; very long texts are cut whole;
+    an empty table stays empty.
+    """
     return substring.without_repeats(docs.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents whole, and of one document for each source a first part, up to the source's target.
 
-    A document that is taken 0 times is not in the mix; n_chars is renewed where a part is taken.
+    A document that is taken 0 times is not in the mix, so null and empty texts go; n_chars is renewed
+    where a part is taken. Null sources form one source; repeated rows are rows of their own; of rows
+    with equal keys any may be the one that is cut; an empty table stays empty.
     """
     return mixing.materialised(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    """Pieces of the documents and their places in sequences of 2048 tokens.
+
+    A null or empty text is one piece, the end id; a very long one as many as it needs; repeated rows
+    are packed each; of equally long pieces the lower id goes first; an empty table gives an empty table.
+    """
     pieces = staged(packing.pieces(docs), "packing-pieces")
     return packing.packed(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
