@@ -160,13 +160,26 @@ class Vocabulary:
     pattern: str
 
 
+def byte_pair_ids(vocabulary: Vocabulary, text: str) -> list[int]:
+    """The ids of one text. The encoder's own splitting gives up (a panic or ValueError) on some
+    extreme runs of white space; such a text is split by the same pattern here, piece by piece."""
+    encoding = _encoding(vocabulary.rank_file, vocabulary.pattern)
+    try:
+        return encoding.encode_ordinary(text)
+    except BaseException as error:
+        if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
+            raise
+    import regex
+
+    return [i for piece in regex.findall(vocabulary.pattern, text) for i in encoding._encode_single_piece(piece)]
+
+
 def byte_pair(vocabulary: Vocabulary, text: Column) -> Column:
     """Exact number of ids; an Arrow-batched UDF whose encoder is kept by each worker."""
 
     @F.pandas_udf("bigint")
     def run(texts: pd.Series) -> pd.Series:
-        encoding = _encoding(vocabulary.rank_file, vocabulary.pattern)
-        return pd.Series([len(encoding.encode_ordinary(t or "")) for t in texts], dtype="int64")
+        return pd.Series([len(byte_pair_ids(vocabulary, t or "")) for t in texts], dtype="int64")
 
     return run(F.coalesce(text, F.lit("")))
 

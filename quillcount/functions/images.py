@@ -60,8 +60,10 @@ def image_tokens(rule: Column, detail: Column, width: Column, height: Column) ->
                 return count(x, y) <= most
 
             steps = F.aggregate(F.array(*[_long(1 << i) for i in reversed(range(20))]), _long(0), lambda k, n: F.when((k + n <= s["w"] + s["h"]) & ~fits(k + n - 1), k + n).otherwise(k))
-            x, y = _sides(s["w"], s["h"], steps)
-            return F.struct(F.when(s["over"], x).otherwise(s["w"]).alias("w"), F.when(s["over"], y).otherwise(s["h"]).alias("h"))
+            # no step where the image is within the limit
+            taken = F.when(s["over"], steps).otherwise(_long(0))
+            side = lambda k: F.struct(*[x.alias(n) for n, x in zip("wh", _sides(s["w"], s["h"], k), strict=True)])
+            return F.transform(F.array(taken), side)[0]
 
         # one-element transforms bind each step's struct once
         return F.transform(F.transform(F.transform(F.array(first), limit), shrink), lambda s: F.struct(

@@ -26,6 +26,8 @@ from .pricing import priced_components, scenarios
 
 #: What the wrapper of one source adds, its label and a missing line feed aside.
 WRAPPER = {"alnum": 17, "other": 8, "space": 3, "wide_space": 0, "non_ascii": 0, "bytes": 28}
+# What a refused verification says, and the sentences of ``_warnings``, which readers match.
+UNSENDABLE = "planned request contains unsupported media and cannot be sent as a partial verification"
 #: (wrapper, runtime) tokens of the overhead profiles.
 PROFILES = {"": (0, 0), "none": (0, 0), "chat": (7, 0), "codex": (12, 1_200)}
 IMAGE, AUDIO = "struct<width:int,height:int,orientation:int,frames:int>", "struct<duration_ms:bigint,codec:string,sample_rate_hz:int,channels:int>"
@@ -36,7 +38,7 @@ DOCUMENT = f"struct<format:string,pages:int,page_meta:{planning.PAGE}>"
 class Options:
     """What an analysis is asked for; invalid values are errors at once."""
 
-    profile: str = "none"
+    profile: str | tuple = "none"
     bound: str = "expected"
     system: str = ""
     tools: str = ""
@@ -51,7 +53,9 @@ class Options:
     require_verify: bool = False
 
     def __post_init__(self):
-        for name, allowed in (("profile", tuple(PROFILES)), ("bound", ("expected", "high")), ("processing", ("native", "normalized-text")), ("image_detail", ("auto", "low", "high", "original")), ("document_detail", ("auto", "low", "high", "original", "text"))):
+        if not self.profiles or not set(self.profiles) <= set(PROFILES) or len(set(self.profiles)) < len(self.profiles):
+            raise ValueError(f"unknown profile {self.profile!r}")
+        for name, allowed in (("bound", ("expected", "high")), ("processing", ("native", "normalized-text")), ("image_detail", ("auto", "low", "high", "original")), ("document_detail", ("auto", "low", "high", "original", "text"))):
             if getattr(self, name) not in allowed:
                 raise ValueError(f"unknown {name} {getattr(self, name)!r}")
         if min(self.cached_tokens, self.reasoning_tokens, *self.output_tokens, 0) < 0 or not self.output_tokens:
@@ -60,6 +64,12 @@ class Options:
             planning.glob_regex(rule.glob)
 
 
+    @property
+    def profiles(self) -> tuple:
+        """One profile, or several, by each of which every request is estimated."""
+        return self.profile if isinstance(self.profile, tuple) else (self.profile,)
+
+
 def text_sources(df: DataFrame, request: Column, label: Column, text: Column, kind: str = "file") -> DataFrame:
     """Sources from a table of texts: one per row, in the order of labels."""
     null = lambda t: F.lit(None).cast(t)
@@ -87,6 +97,7 @@ def request_sums(sources: DataFrame) -> DataFrame:
         added = F.lit(WRAPPER[c]).cast("long") + F.col(f"label_{c}") + (open_end if c in ("space", "bytes") else F.lit(0))
         aggs += [F.coalesce(F.sum(F.when(some, own)), F.lit(0)).alias(f"raw_{c}"), F.coalesce(F.sum(F.when(some, own + added)), F.lit(0)).alias(f"wrapped_{c}")]
     aggs.append(F.coalesce(F.max(F.when(some, F.col("code"))), F.lit(0)).alias("raw_code"))
+    aggs.append(F.coalesce(F.bool_or(~F.is_valid_utf8("text")), F.lit(False)).alias("invalid"))
     out = named.groupBy("request_id").agg(*aggs)
     joints = F.greatest(F.lit(0).cast("long"), F.col("n_texts") - 1)
     return out.withColumns({"raw_space": F.col("raw_space") + joints, "raw_bytes": F.col("raw_bytes") + joints, "wrapped_code": (F.col("n_texts") > 0).cast("int")})
@@ -96,10 +107,18 @@ def assembled(sources: DataFrame) -> DataFrame:
     """Per request: the texts joined by line feeds (``raw``) and each in its labelled wrapper (``wrapped``), by (kind, label)."""
     some = sources.where(F.octet_length("text") > 0)
     wrapped = F.concat(F.lit('<source label="'), F.translate("label", '"', "'"), F.lit('">\n'), F.col("text"), F.when(F.endswith("text", F.lit("\n")), "").otherwise("\n"), F.lit("</source>\n"))
+    # a text is one value of one row, so a request beyond the limit is an error before its texts are gathered
+    size = some.groupBy("request_id").agg(F.sum(F.octet_length("text") + F.octet_length("label") + 32).alias("size"))
+    error = F.raise_error(F.format_string("request %s is too long to be assembled", "request_id")).cast("boolean")
+    some = some.join(size.select("request_id", F.when(F.col("size") > ASSEMBLED_BYTES, error).otherwise(F.lit(True)).alias("fits")), "request_id").where("fits")
     rows = some.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("kind", "label", F.col("text"), wrapped.alias("wrapped")))).alias("s"))
     return rows.select("request_id", F.array_join("s.text", "\n").alias("raw"), F.array_join("s.wrapped", "").alias("wrapped"))
 
 
+#: Bytes of a request's joined text that are assembled at most, for counters that need the whole text.
+ASSEMBLED_BYTES = 512 << 20
+
+
 def _sums(prefix: str) -> dict[str, Column]:
     return {c: F.col(f"{prefix}_{c}") for c in CLASSES}
 
@@ -124,8 +143,17 @@ def _constant_count(counters: Counters, tokenizer: str, text: str) -> Column:
 class Results:
     """What an analysis yields; every part is lazy, and the planned parts are built when asked for."""
 
-    def __init__(self, models: DataFrame, scenarios: DataFrame, plan: Callable[[], DataFrame]):
+    def __init__(self, models: DataFrame, scenarios: DataFrame, plan: Callable[[], DataFrame], both: DataFrame):
         self.models, self.scenarios, self._plan = models, scenarios, plan
+        #: Scenarios with the columns of their model, from one pass over the sources.
+        self.both = both
+
+    def check_verified(self) -> Results:
+        """An error where a verification was required and failed or is missing."""
+        failed = self.models.where("verify_failed").select("request_id", "model").take(1)
+        if failed:
+            raise ValueError(f"request {failed[0][0]!r} is not verified on {failed[0][1]}")
+        return self
 
     @cached_property
     def plan(self) -> DataFrame:
@@ -167,7 +195,7 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
             if extras is None:
                 return _constant_count(counters, tokenizer, getattr(options, what))
             return counters.of_sums(tokenizer, _sums(what)) if counters.additive(tokenizer) else counters.of_text(tokenizer, F.coalesce(c(what), F.lit("")))
-        return counters.of_sums(tokenizer, _sums(what)) if counters.additive(tokenizer) else counters.of_text(tokenizer, c(what))
+        return counters.of_sums(tokenizer, _sums(what), c("invalid")) if counters.additive(tokenizer) else counters.of_text(tokenizer, c(what))
 
     kinds = ("raw", "wrapped", "system", "tools")
     counts = F.array(*[F.struct(F.lit(t).alias("tokenizer"), *[of(t, k).cast(COUNT).alias(f"{k}_count") for k in kinds]) for t in tokenizers])
@@ -175,11 +203,12 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     m = models.select("id", "ordinal", "provider", "tokenizer", "context_window", "max_output", "pricing_date", "pricing_expires", "tiers", "modality_tiers", "max_assets", "max_inline_bytes")
     rows = per.join(F.broadcast(m), "tokenizer").withColumnRenamed("id", "model")
 
-    wrapper, runtime = PROFILES[options.profile]
+    profiles = [F.struct(F.lit(p).alias("profile"), *[F.lit(n).cast("long").alias(k) for k, n in zip(("wrapper", "runtime"), PROFILES[p], strict=True)]) for p in options.profiles]
+    rows = rows.withColumn("p", F.explode(F.array(*profiles))).select("*", "p.*").drop("p")
     rows = rows.withColumns({
-        "wrapper_tokens": F.greatest(zero, c("wrapped_count.tokens") - c("raw_count.tokens")) + wrapper,
+        "wrapper_tokens": F.greatest(zero, c("wrapped_count.tokens") - c("raw_count.tokens")) + c("wrapper"),
         "wrapper_low": F.greatest(zero, c("wrapped_count.low") - c("raw_count.high")), "wrapper_high": F.greatest(zero, c("wrapped_count.high") - c("raw_count.low")),
-        "system_tokens": c("system_count.tokens"), "tool_tokens": c("tools_count.tokens"), "runtime_tokens": F.lit(runtime).cast("long"),
+        "system_tokens": c("system_count.tokens"), "tool_tokens": c("tools_count.tokens"), "runtime_tokens": c("runtime"),
     })
     # components of requests with media; text-only requests count their joined text instead
     def plan_sources() -> DataFrame:
@@ -200,7 +229,7 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     media = c("has_media")
     pick = lambda part, raw: F.when(media, F.coalesce(c(part), zero)).otherwise(c(f"raw_count.{raw}"))
     overhead = c("system_tokens") + c("tool_tokens") + c("wrapper_tokens") + c("runtime_tokens")
-    profile = wrapper + runtime
+    profile = c("wrapper") + c("runtime")
     rows = rows.withColumns({
         "overhead_tokens": overhead,
         "overhead_high": c("system_count.high") + c("tools_count.high") + c("wrapper_high") + profile,
@@ -216,6 +245,10 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
         rows = rows.join(v, ["request_id", "model"], "left")
     else:
         rows = rows.withColumns({"v_tokens": F.lit(None).cast("long"), "v_method": F.lit(None).cast("string"), "v_error": F.lit(None).cast("string")})
+    # a plan with a part that cannot be sent is never verified by what is left of it
+    refused = c("status") == "unsupported"
+    asked = F.lit(verified is not None or options.require_verify)
+    rows = rows.withColumn("v_error", F.when(asked & refused, F.lit(UNSENDABLE)).otherwise(c("v_error")))
     good = F.coalesce((c("v_method") != "") & (F.coalesce("v_error", F.lit("")) == ""), F.lit(False))
     decision = F.when(good, c("v_tokens")).when(F.lit(options.bound == "high"), c("input_high")).otherwise(c("input_tokens"))
     rows = rows.withColumns({"verified": good, "decision_tokens": decision})
@@ -229,10 +262,11 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     # requests with media price their components at the tiers of their modalities, then the overhead at the text rate
     if with_media:
         bound = "high" if options.bound == "high" else "expected"
-        keyed = comps.join(rows.where(media & ~c("verified")).select("request_id", "model", "tiers", "modality_tiers", "decision_tokens", "cached_tokens"), ["request_id", "model"])
-        priced = priced_components(keyed, ["request_id", "model"], ["ordinal", "part_no"], bound, c("cached_tokens"), c("decision_tokens"))
-        spent = priced.groupBy("request_id", "model").agg(F.sum("input_micros").alias("parts_input"), F.sum("cached_micros").alias("parts_cached"), F.sum("cached_n").alias("parts_cached_n"))
-        rows = rows.join(spent, ["request_id", "model"], "left")
+        key = ["request_id", "model", "profile"]
+        keyed = comps.join(rows.where(media & ~c("verified")).select(*key, "tiers", "modality_tiers", "decision_tokens", "cached_tokens"), ["request_id", "model"])
+        priced = priced_components(keyed, key, ["ordinal", "part_no"], bound, c("cached_tokens"), c("decision_tokens"))
+        spent = priced.groupBy(*key).agg(F.sum("input_micros").alias("parts_input"), F.sum("cached_micros").alias("parts_cached"), F.sum("cached_n").alias("parts_cached_n"))
+        rows = rows.join(spent, key, "left")
     else:
         rows = rows.withColumns({k: F.lit(None).cast("long") for k in ("parts_input", "parts_cached", "parts_cached_n")})
     extra = F.when(F.lit(options.bound == "high"), c("overhead_high")).otherwise(c("overhead_tokens"))
@@ -244,21 +278,23 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
         "component_input": F.when(own, F.coalesce("parts_input", zero) + cost_micros(c("_tier.input"), c("_extra") - c("_rest"))),
         "component_cached": F.when(own, F.coalesce("parts_cached", zero) + cost_micros(c("_tier.cached"), c("_rest"))),
     })
+    rows = rows.withColumn("warnings", _warnings(over_assets))
     priced_rows = scenarios(rows, list(options.output_tokens), options.reasoning_tokens)
-    result = rows.select(
+    columns = [
         "request_id", "model", "provider", "tokenizer", "n_sources", "total_bytes", "status", "input_tokens", "input_low", "input_high", "bound", "decision_tokens", "cached_tokens", "system_tokens", "tool_tokens",
         "wrapper_tokens", "runtime_tokens", "overhead_tokens", "context_window", "utilization", "overflow", "confidence", "formula_version", "pricing_date", "stale", "incomplete", "verified", "verify_failed",
-        _warnings(options, over_assets).alias("warnings"),
-    )
-    keep = ["request_id", "model", "scenario", "scenario_no", "decision_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "input_micros", "cached_micros", "output_micros", "reasoning_micros", "cost_micros", "over_output"]
-    return Results(result, priced_rows.select(*keep), plan_sources)
+        "warnings",
+    ]
+    several = ["profile"] if len(options.profiles) > 1 else []
+    keep = several + ["request_id", "model", "scenario", "scenario_no", "decision_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "input_micros", "cached_micros", "output_micros", "reasoning_micros", "cost_micros", "over_output"]
+    return Results(rows.select(*several, *columns), priced_rows.select(*keep), plan_sources, priced_rows.select(*several, *dict.fromkeys([*columns, *keep])))
 
 
-def _warnings(options: Options, over_assets: Column) -> Column:
+def _warnings(over_assets: Column) -> Column:
     c = F.col
     said = [
         F.when(over_assets, F.concat(F.lit("request has "), c("n_assets").cast("string"), F.lit(" media assets; model limit is "), c("max_assets").cast("string"))),
-        F.when(F.lit(options.profile in ("", "none")), F.lit("system, tool, and agent-runtime overhead default to zero unless explicitly supplied")),
+        F.when(c("profile").isin("", "none"), F.lit("system, tool, and agent-runtime overhead default to zero unless explicitly supplied")),
         F.when(c("stale"), F.lit("catalog pricing is stale or past its validity window")),
         F.when(F.coalesce(c("v_error"), F.lit("")) != "", F.concat(F.lit("verification failed: "), c("v_error"))),
         F.when(c("verified") & (c("v_tokens") != c("input_tokens")), F.concat(F.lit("official aggregate differs from local estimate by "), F.format_string("%+d", c("v_tokens") - c("input_tokens")), F.lit(" tokens"))),

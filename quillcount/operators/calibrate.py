@@ -1,7 +1,8 @@
 """Calibration: splits, fitted estimators, residual bounds, metrics and gates.
 
-Everything over samples is an aggregate; the driver only solves systems of at
-most 34 equations and picks among candidates.
+Everything over samples is an aggregate in bounded memory: sums, streamed digests
+and exact quantiles bracketed by approximate ones. The driver only solves systems
+of at most 34 equations and picks among candidates.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from dataclasses import replace
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.counters import Artifact, calibrated
@@ -59,9 +61,29 @@ def adjusted(tokens: Column, baseline: Column) -> Column:
 
 
 def split_digests(rows: DataFrame) -> DataFrame:
-    """Per split: digest of its sorted ``id:sha256:group`` lines."""
+    """Per split: digest of its sorted ``id:sha256:group`` lines.
+
+    A digest is sequential, so a split is one task; its lines are sorted on disk and streamed.
+    """
     line = F.concat_ws(":", "id", "sha256", "grp")
-    return rows.groupBy("split").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n").cast("binary"), 256).alias("digest"))
+
+    def fold(batches):
+        split, running = None, None
+        for batch in batches:
+            done = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if running is None or name != split:
+                    if running is not None:
+                        done.append((split, running.hexdigest()))
+                    split, running = name, hashlib.sha256(text.encode())
+                else:
+                    running.update(b"\n" + text.encode())
+            yield pa.RecordBatch.from_pylist([{"split": k, "digest": v} for k, v in done], schema=schema)
+        if running is not None:
+            yield pa.RecordBatch.from_pylist([{"split": split, "digest": running.hexdigest()}], schema=schema)
+
+    schema = pa.schema([("split", pa.string()), ("digest", pa.string())])
+    return rows.select("split", line.alias("line")).repartition("split").sortWithinPartitions("split", "line").mapInArrow(fold, "split string, digest string")
 
 
 def maximums(train: DataFrame, names: list[str]) -> DataFrame:
@@ -93,16 +115,27 @@ def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return m[:, -1]
 
 
-def fit_linear(rows: DataFrame, names: list[str], y: str, ridge: float = 0.0) -> tuple[float, dict] | None:
-    """Intercept and coefficients by least squares; the ridge leaves the intercept alone."""
+def gram(rows: DataFrame, names: list[str], y: str) -> np.ndarray:
+    """[X'X | X'y] with an intercept in front, from one pass over the rows."""
     n = len(names) + 1
     m = np.zeros((n, n + 1))
     for r in normal_equations(rows, names, y).collect():
         m[r["i"], r["j"]] = r["value"] or 0.0
         if r["j"] < n:
             m[r["j"], r["i"]] = r["value"] or 0.0
-    x = solve(m[:, :n] + np.diag([0.0] + [ridge] * (n - 1)), m[:, n])
-    return None if x is None else (float(x[0]), dict(zip(names, map(float, x[1:]), strict=True)))
+    return m
+
+
+def fit_features(m: np.ndarray, names: list[str], own: list[str], ridge: float = 0.0) -> tuple[float, dict] | None:
+    """Intercept and coefficients of some of a ``gram``'s features; the ridge leaves the intercept alone."""
+    at = [0, *(names.index(n) + 1 for n in own)]
+    x = solve(m[np.ix_(at, at)] + np.diag([0.0] + [ridge] * len(own)), m[at, -1])
+    return None if x is None else (float(x[0]), dict(zip(own, map(float, x[1:]), strict=True)))
+
+
+def fit_linear(rows: DataFrame, names: list[str], y: str, ridge: float = 0.0) -> tuple[float, dict] | None:
+    """Intercept and coefficients by least squares."""
+    return fit_features(gram(rows, names, y), names, names, ridge)
 
 
 def candidates(train: DataFrame, names: list[str], y: str, base: Artifact) -> list[Artifact]:
@@ -111,8 +144,9 @@ def candidates(train: DataFrame, names: list[str], y: str, base: Artifact) -> li
         raise ValueError(f"feature names must be known, unique and some: {unknown}")
     out = [replace(base, version=f"{base.version}:characters", intercept=0.0, coefficients={"rune_count": 0.25})]
     tries = [(f"feature-{n}", [n], 0.0) for n in names] + [("ols", names, 0.0), ("ridge", names, RIDGE)]
+    m = gram(train, names, y)
     for label, own, ridge in tries:
-        if found := fit_linear(train, own, y, ridge):
+        if found := fit_features(m, names, own, ridge):
             out.append(replace(base, version=f"{base.version}:{label}", intercept=found[0], coefficients=found[1]))
     return out
 
@@ -126,15 +160,32 @@ def predicted(artifact: Artifact, features: dict[str, Column]) -> Column:
     return F.floor(F.greatest(F.lit(1.0), value) + F.lit(0.5)).cast("long")
 
 
-def quantile(q: float, column: str) -> Column:
-    """Nearest rank: the value at place ceil(q n)."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
+#: Accuracy of the approximate quantiles that bracket an exact one.
+ACCURACY = 10_000
+
+
+def nearest_rank(rows: DataFrame, key: list[str], column: str, q: float, name: str) -> DataFrame:
+    """(key, name): per key the value at place ceil(q n), exactly.
+
+    Approximate quantiles bracket it; only the distinct values between them are put in order.
+    """
+    rows = rows.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("_v"))
+    quantiles = F.percentile_approx("_v", [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)], ACCURACY)
+    near = rows.groupBy(*key).agg(F.count("*").alias("_n"), quantiles.alias("_q"))
+    both = rows.join(near, key) if key else rows.crossJoin(F.broadcast(near))
+    # what lies below the bracket is one row
+    at = F.when(F.col("_v") < F.col("_q")[0], F.lit(None).cast("double")).otherwise(F.col("_v"))
+    kinds = both.where(F.col("_v") <= F.col("_q")[1]).groupBy(*key, "_n", at.alias("_v")).agg(F.count("*").alias("_m"))
+    place = Window.partitionBy(*key).orderBy(F.col("_v").asc_nulls_first())
+    kinds = kinds.withColumn("_upto", F.sum("_m").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    return kinds.where(F.col("_upto") >= F.ceil(F.lit(q) * F.col("_n"))).groupBy(*key).agg(F.min("_v").alias(name))
 
 
 def residual_bounds(rows: DataFrame, y: str, p: str) -> DataFrame:
     """(low, high): the middle 95 per cent of (y - p) / p, clamped to contain 0."""
     r = rows.where(F.col(p) > 0).select(((F.col(y) - F.col(p)).cast("double") / F.col(p).cast("double")).alias("r"))
-    return r.agg(F.least(F.lit(0.0), quantile(0.025, "r")).alias("low"), F.greatest(F.lit(0.0), quantile(0.975, "r")).alias("high"))
+    low, high = nearest_rank(r, [], "r", 0.025, "low"), nearest_rank(r, [], "r", 0.975, "high")
+    return low.crossJoin(F.broadcast(high)).select(F.least(F.lit(0.0), "low").alias("low"), F.greatest(F.lit(0.0), "high").alias("high"))
 
 
 def metrics(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens", low: str = "low", high: str = "high") -> DataFrame:
@@ -144,8 +195,11 @@ def metrics(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens", lo
     rows = rows.withColumns({"_e": (real(p) - real(y)) / base, "_in": ((F.col(y) >= F.col(low)) & (F.col(y) <= F.col(high))).cast("double"), "_above": (F.col(y) > F.col(high)).cast("double")})
     rows = rows.withColumn("_ape", F.abs("_e"))
     kinds = rows.groupBy(*key, "kind").agg(F.avg("_ape").alias("m")).groupBy(*key).agg(F.avg("m").alias("macro_mape"))
-    whole = rows.groupBy(*key).agg(F.count("*").alias("samples"), F.count_distinct("grp").alias("groups"), F.avg("_ape").alias("mape"), quantile(0.95, "_ape").alias("p95"), F.avg("_e").alias("bias"), F.avg("_in").alias("coverage"), F.avg("_above").alias("above_high"))
-    return whole.join(kinds, key) if key else whole.crossJoin(kinds)
+    whole = rows.groupBy(*key).agg(F.count("*").alias("samples"), F.count_distinct("grp").alias("groups"), F.avg("_ape").alias("mape"), F.avg("_e").alias("bias"), F.avg("_in").alias("coverage"), F.avg("_above").alias("above_high"))
+    p95 = nearest_rank(rows, key, "_ape", 0.95, "p95")
+    for part in (kinds, p95):
+        whole = whole.join(part, key, "left") if key else whole.join(F.broadcast(part), F.lit(True), "left")
+    return whole
 
 
 def with_improvement(own: DataFrame, baseline: DataFrame, key: list[str]) -> DataFrame:
@@ -172,10 +226,14 @@ def fit(rows: DataFrame, names: list[str], base: Artifact, features: dict[str, C
     """
     check_manifest(rows)
     train, validation = (rows.where(F.col("split") == s) for s in ("train", "validation"))
-    scored = []
-    for a in candidates(train, names, "y", base):
-        p = validation.withColumn("tokens", predicted(a, features)).withColumns({"low": F.col("tokens"), "high": F.col("tokens")})
-        scored.append((a, metrics(p, []).first().asDict()))
+    tried = candidates(train, names, "y", base)
+    # all candidates are scored in one pass
+    each = F.explode(F.array(*[F.struct(F.lit(a.version).alias("version"), predicted(a, features).alias("tokens")) for a in tried]))
+    p = validation.select("kind", "grp", "y", each.alias("p")).select("kind", "grp", "y", "p.*").withColumns({"low": F.col("tokens"), "high": F.col("tokens")})
+    found = {r["version"]: r.asDict() for r in metrics(p, ["version"]).collect()}
+    if not found:
+        raise ValueError("the validation split has no samples")
+    scored = [(a, found[a.version]) for a in tried]
     best = select_candidate(scored)
     bounds = residual_bounds(validation.withColumn("tokens", predicted(best, features)), "y", "tokens").first()
     most = {r["feature"]: r["maximum"] for r in maximums(train, [n for n in names]).collect()}

@@ -59,8 +59,14 @@ def exit_codes(results: DataFrame, key: list[str], max_tokens: int = 0, max_cost
     ``results``: decision_tokens, context_window, expected_cost (null without a
     scenario named expected), incomplete, verify_failed.
     """
+    code = exit_code(max_tokens, max_cost_micros, fail_on_overflow, require_complete)
+    return results.groupBy(*key).agg(code.alias("exit_code"))
+
+
+def exit_code(max_tokens: int = 0, max_cost_micros: int = 0, fail_on_overflow: bool = False, require_complete: bool = False) -> Column:
+    """The aggregate of ``exit_codes``, for several thresholds in one pass."""
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
-    code = (
+    return (
         F.when(F.lit(fail_on_overflow) & any_(F.col("decision_tokens") > F.col("context_window")), 3)
         .when(F.lit(max_tokens > 0) & any_(F.col("decision_tokens") > F.lit(max_tokens)), 4)
         .when(F.lit(max_cost_micros > 0) & any_(F.col("expected_cost") > F.lit(max_cost_micros)), 5)
@@ -68,4 +74,3 @@ def exit_codes(results: DataFrame, key: list[str], max_tokens: int = 0, max_cost
         .when(any_(F.col("verify_failed")), 7)
         .otherwise(0)
     )
-    return results.groupBy(*key).agg(code.alias("exit_code"))

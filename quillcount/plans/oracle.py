@@ -273,6 +273,46 @@ SELECT *, (input_micros + cached_micros + output_micros + reasoning_micros)::BIG
   ((input_micros + cached_micros + output_micros + reasoning_micros) // 1000000)::VARCHAR || '.' || lpad(((input_micros + cached_micros + output_micros + reasoning_micros) % 1000000)::VARCHAR, 6, '0') AS usd FROM s"""
 
 
+#: The same bytes in four forms: what their headers say is known from the page.
+_MEDIA_INSPECT = """WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, (coalesce(page_id, 0) % 1500 + 1)::INT AS w FROM pages)
+SELECT page_id, 'plain' AS form, '' AS mime, '' AS source_kind, NULL::INT AS pages, NULL::BIGINT AS extracted_bytes, NULL::BIGINT AS duration_ms, NULL::INT AS width, NULL::INT AS frames, NULL::VARCHAR AS error FROM p
+UNION ALL SELECT page_id, 'pdf', 'application/pdf', 'document', 1, n + 10, NULL, NULL, NULL, NULL FROM p
+UNION ALL SELECT page_id, 'wav', 'audio/wav', 'audio', NULL, NULL, n * 1000 // 8000, NULL, NULL, NULL FROM p
+UNION ALL SELECT page_id, 'gif', 'image/gif', 'image', NULL, NULL, NULL, w, 1, NULL FROM p"""
+
+
+def _media_headers() -> str:
+    none = {"width": "BIGINT", "height": "BIGINT", "orientation": "BIGINT", "frames": "BIGINT", "codec": "VARCHAR", "duration_ms": "BIGINT", "sample_rate_hz": "BIGINT", "channels": "BIGINT",
+            "format": "VARCHAR", "pages": "BIGINT", "extracted_bytes": "BIGINT", "page_meta": "VARCHAR", "text_sha256": "VARCHAR"}
+
+    def row(form: str, mime: str, kind: str, failed: bool = False, **values) -> str:
+        own = [f"({values[c]})::{t} AS {c}" if c in values else f"NULL::{t} AS {c}" for c, t in none.items()]
+        return f"SELECT page_id, '{form}' AS form, '{mime}' AS mime, '{kind}' AS source_kind, {', '.join(own)}, {failed} AS failed FROM p"
+
+    def image(form: str, mime: str, **values) -> str:
+        return row(form, f"image/{mime}", "image", **{"width": "w", "height": "h", "orientation": "0", "frames": "1"} | values)
+
+    def audio(form: str, mime: str, codec: str, ms: str, hz: int) -> str:
+        return row(form, f"audio/{mime}", "audio", codec=f"'{codec}'", duration_ms=ms, sample_rate_hz=str(hz), channels="2")
+
+    def document(form: str, mime: str, pages: int, meta: str, text: str) -> str:
+        return row(form, f"application/{mime}", "document", format=f"'{form}'", pages=str(pages), extracted_bytes=f"strlen({text})", page_meta=meta, text_sha256=f"sha256({text})")
+
+    office, line = "vnd.openxmlformats-officedocument.", "chr(10)"
+    rows = [
+        image("png", "png"), row("png-cut", "image/png", "image", failed=True),
+        image("jpeg", "jpeg", width="CASE WHEN k % 8 + 1 >= 5 THEN h ELSE w END", height="CASE WHEN k % 8 + 1 >= 5 THEN w ELSE h END", orientation="k % 8 + 1"),
+        *[image(f, "webp") for f in ("webp-x", "webp-l", "webp-")],
+        audio("flac", "flac", "flac", "(k * 441 + 441) * 1000 // 44100", 44_100), audio("opus", "ogg", "opus", "k * 7 + 1", 48_000),
+        audio("mp3", "mpeg", "mp3", "(k % 5 + 1) * 1152 * 1000 // 44100", 44_100), audio("m4a", "mp4", "aac/m4a", "(k * 3 + 600) * 1000 // 600", 44_100),
+        document("pdf", "pdf", 4, "'text-bearing|' || w || '|' || h || ',mixed|0|0,image-only|0|0,unknown|' || w || '|' || h", f"'[page 1]' || {line} || 'one' || {line} || '[page 2]' || {line} || 'two' || {line}"),
+        document("docx", office + "wordprocessingml.document", 0, "''", f"'[document document.xml]' || {line} || '[Heading1] Title ' || k || {line}"),
+        document("xlsx", office + "spreadsheetml.sheet", 0, "''", f"'[sheet-part sheet1.xml]' || {line} || 'A1 formula=SUM(B1:B2) cached=' || k || {line} || 'B1' || {line}"),
+        document("pptx", office + "presentationml.presentation", 2, "''", f"'[slide 1]' || {line} || k || {line} || '[slide 2]' || {line} || 'end' || {line}"),
+    ]
+    return "WITH p AS (SELECT page_id, k, k % 1500 + 1 AS w, k % 900 + 2 AS h FROM (SELECT page_id, coalesce(page_id, 0) AS k FROM pages)) " + " UNION ALL ".join(rows)
+
+
 def oracle_sql() -> dict[str, str]:
     f = _features("t")
     ratio = lambda a, b: f"round(CASE WHEN {f[b]} > 0 THEN {f[a]}::DOUBLE / {f[b]}::DOUBLE ELSE 0::DOUBLE END, 9)"
@@ -328,4 +368,6 @@ SELECT coalesce(a.k, b.k) AS source, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k
         "calib_strata": _metrics("stratum"),
         "calib_residual_bounds": f"WITH {_SAMPLES}, r AS (SELECT (y - tokens)::DOUBLE / tokens::DOUBLE AS r FROM s WHERE split = 'validation' AND tokens > 0) SELECT round(least(0::DOUBLE, quantile_disc(r, 0.025)), 9) AS low, round(greatest(0::DOUBLE, quantile_disc(r, 0.975)), 9) AS high FROM r",
         "calib_normal_equations": _equations(),
+        "media_inspect": _MEDIA_INSPECT,
+        "media_headers": _media_headers(),
     }

@@ -15,9 +15,10 @@ from ..operators import analyze as an
 from ..operators import calibrate as cal
 from ..operators import history as hs
 from ..operators import plan as pl
-from ..operators.pricing import exit_codes, priced_components, scenarios
+from ..operators.pricing import exit_code, priced_components, scenarios
 from ..sources import catalog as cat
 from ..sources import collect as co
+from . import media_forms as forms_
 
 NOW = dt.datetime(2026, 9, 1, tzinfo=dt.timezone.utc)
 COMPARED = ["sonnet", "opus", "gemini"]
@@ -33,8 +34,9 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A table of one row group, spread before heavy expressions."""
-    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
+    """A table of fewer partitions than cores, such as one row group, spread before heavy expressions; others as they are."""
+    cores = max(2, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _models(spark: SparkSession, names=None) -> DataFrame:
@@ -129,9 +131,8 @@ def _analysis(spark, d, options: an.Options, models=COMPARED):
 
 def analyze_compare(spark, d):
     r = _analysis(spark, d, an.Options(output_tokens=OUTPUTS, cached_tokens=5_000, now=NOW))
-    costs = r.scenarios.groupBy("request_id", "model").pivot("scenario", ["low", "expected", "high"]).agg(F.first("cost_micros"))
-    rows = r.models.select(*_RESULT, F.round("utilization", 12).alias("utilization"), "stale").join(costs.withColumnsRenamed({"low": "cost_low", "expected": "cost_expected", "high": "cost_high"}), ["request_id", "model"])
-    return rows
+    rows = r.both.groupBy(*_RESULT, F.round("utilization", 12).alias("utilization"), "stale").pivot("scenario", ["low", "expected", "high"]).agg(F.first("cost_micros"))
+    return rows.withColumnsRenamed({"low": "cost_low", "expected": "cost_expected", "high": "cost_high"})
 
 
 def analyze_high_bound(spark, d):
@@ -139,12 +140,8 @@ def analyze_high_bound(spark, d):
 
 
 def analyze_profiles(spark, d):
-    out = None
-    for p in ("none", "chat", "codex"):
-        r = _analysis(spark, d, an.Options(profile=p, system="You are a careful assistant; answer = {short}.", tools="def search(query): ...")).models
-        r = r.select(F.lit(p).alias("profile"), *_RESULT, "system_tokens", "tool_tokens")
-        out = r if out is None else out.unionByName(r)
-    return out
+    r = _analysis(spark, d, an.Options(profile=("none", "chat", "codex"), system="You are a careful assistant; answer = {short}.", tools="def search(query): ..."))
+    return r.models.select("profile", *_RESULT, "system_tokens", "tool_tokens")
 
 
 def conversation_request(spark, d):
@@ -164,11 +161,8 @@ def top_sources(spark, d):
 
 def threshold_exit(spark, d):
     r = _analysis(spark, d, an.Options(output_tokens=OUTPUTS))
-    cost = r.scenarios.where("scenario = 'expected'").select("request_id", "model", F.col("cost_micros").alias("expected_cost"))
-    rows = r.models.join(cost, ["request_id", "model"], "left")
-    first = exit_codes(rows, ["request_id"], max_tokens=40_000).withColumnRenamed("exit_code", "by_tokens")
-    second = exit_codes(rows, ["request_id"], max_cost_micros=300_000, fail_on_overflow=True).withColumnRenamed("exit_code", "by_cost")
-    return first.join(second, "request_id")
+    rows = r.both.withColumn("expected_cost", F.when(F.col("scenario") == "expected", F.col("cost_micros")))
+    return rows.groupBy("request_id").agg(exit_code(max_tokens=40_000).alias("by_tokens"), exit_code(max_cost_micros=300_000, fail_on_overflow=True).alias("by_cost"))
 
 
 def normalize_hash(spark, d):
@@ -212,7 +206,9 @@ def image_patch(spark, d):
     """Parts as images: sides from their key and size, on a model of each formula and every detail."""
     parts = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 37 % 5_000 + 1).cast("int").alias("w"), (F.col("p_partkey") * 101 % 9_000 + F.col("p_size")).cast("int").alias("h"))
     m = _models(spark, ["gpt-5.5", "gpt-5.4-mini", "sonnet", "opus", "gemini"]).select(F.col("id").alias("model"), "image", F.explode(F.array(*[F.lit(x) for x in cat.DETAILS])).alias("detail"))
-    rows = parts.crossJoin(F.broadcast(m)).withColumn("c", image_tokens(F.col("image"), F.col("detail"), F.col("w"), F.col("h")))
+    rows = parts.crossJoin(F.broadcast(m))
+    # exploding binds the formula's result once for all its readers
+    rows = rows.withColumn("c", F.explode(F.array(image_tokens(F.col("image"), F.col("detail"), F.col("w"), F.col("h")))))
     return rows.select("p_partkey", "model", "detail", "w", "h", "c.tokens", "c.planned_w", "c.planned_h", "c.patches", "c.tiles")
 
 
@@ -266,21 +262,22 @@ def media_requests(spark, d):
     return r.models.select("request_id", "model", "status", "input_tokens", "input_low", "input_high", "decision_tokens", "overhead_tokens", "confidence").join(cost, ["request_id", "model"])
 
 
-def _run(spark, d, table: str, label: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(model totals, sources) of a table as one run."""
+def _run(spark, d, table: str, label: str, text: str) -> DataFrame:
+    """Model totals of a table as one run."""
     src = an.text_sources(_spread(_t(spark, d, table).select(label, text)), F.lit("run"), F.col(label), F.col(text))
     r = an.analyze(src, _models(spark, COMPARED), an.Options(), with_media=False)
-    cost = r.scenarios.where("scenario = 'expected'").select("model", F.col("cost_micros").alias("cost"))
-    return r.models.select("model", F.col("input_tokens").alias("tokens")).join(cost, "model"), src
+    return r.both.where("scenario = 'expected'").select("model", F.col("input_tokens").alias("tokens"), F.col("cost_micros").alias("cost"))
 
 
 def diff_models(spark, d):
-    a, _ = _run(spark, d, "documents", "doc_id", "text")
-    b, _ = _run(spark, d, "pages", "page_id", "html")
+    """Documents and pages as two runs; one model is left out of the first, so that one is added."""
+    a = _run(spark, d, "documents", "doc_id", "text")
+    b = _run(spark, d, "pages", "page_id", "html")
     return hs.diff_models(a.where("model <> 'claude-opus-4-7'"), b)
 
 
 def diff_components(spark, d):
+    """Line items as the components of two runs; one flag is left out of the second, so that some are removed."""
     x = _t(spark, d, "lineitem")
     a = x.select(F.col("l_returnflag").alias("modality"), F.col("l_linestatus").alias("unit"), F.col("l_quantity").cast("long").alias("expected"))
     b = x.where("l_returnflag <> 'A'").select(F.col("l_returnflag").alias("modality"), F.col("l_linestatus").alias("unit"), F.col("l_linenumber").cast("long").alias("expected"))
@@ -359,43 +356,12 @@ def bpe_count(spark, d):
     return _spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", c.alias("c")).select("doc_id", "c.tokens", "c.low", "c.high", "c.method")
 
 
-def _little(n: Column, size: int) -> Column:
-    """The lowest ``size`` bytes of a whole number, least first, as hexadecimal digits."""
-    return F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(size)])
-
-
-def _as_pdf(html: Column) -> Column:
-    """A page that shows a text. Brackets become spaces, as the reader's operands hold none; a backslash is escaped."""
-    shown = F.replace(F.translate(html, "()", "  "), F.lit("\\"), F.lit("\\\\"))
-    return F.concat(F.lit("%PDF-1.4\n/Type /Page /MediaBox [0 0 612 792] (").cast("binary"), shown.cast("binary"), F.lit(") Tj").cast("binary"))
-
-
-def _as_wav(raw: Column) -> Column:
-    """Bytes as samples of 8 bits, 8000 a second, on one channel."""
-    n = F.octet_length(raw).cast("long")
-    odd = F.repeat(F.lit("00"), (n % 2).cast("int"))
-    number = lambda x, size: _little(F.lit(x).cast("long"), size)
-    sound = F.concat(number(1, 2), number(1, 2), number(8_000, 4), number(8_000, 4), number(1, 2), number(8, 2))
-    head = F.concat(F.hex(F.lit("RIFF")), _little(n + n % 2 + 36, 4), F.hex(F.lit("WAVEfmt ")), number(16, 4), sound, F.hex(F.lit("data")), _little(n, 4))
-    return F.concat(F.unhex(head), raw, F.unhex(odd))
-
-
-def _as_gif(raw: Column, width: Column) -> Column:
-    """Bytes as the data blocks, of at most 255 bytes, of one frame of height 1."""
-    digits, n = F.hex(raw), F.octet_length(raw)
-    whole = n - n % 255
-    blocks = F.regexp_replace(F.substring(digits, F.lit(1), whole * 2), "(.{510})", "FF$1")
-    rest = F.when(n % 255 > 0, F.concat(_little((n % 255).cast("long"), 1), F.substring(digits, whole * 2 + 1, F.lit(508)))).otherwise(F.lit(""))
-    size = F.concat(_little(width, 2), F.lit("0100"))
-    return F.unhex(F.concat(F.hex(F.lit("GIF89a")), size, F.lit("0000002C00000000"), size, F.lit("0008"), blocks, rest, F.lit("003B")))
-
-
 def media_inspect(spark, d):
     """Inspection of each page's bytes as they are, and whole behind headers that make them a PDF, a WAV and a GIF."""
     html = F.coalesce("html", F.lit(""))
     raw = html.cast("binary")
     width = F.coalesce(F.pmod("page_id", F.lit(1_500)), F.lit(0)).cast("long") + 1
-    forms = {"plain": raw, "pdf": _as_pdf(html), "wav": _as_wav(raw), "gif": _as_gif(raw, width)}
+    forms = {"plain": raw, "pdf": forms_.as_pdf(html), "wav": forms_.as_wav(raw), "gif": forms_.as_gif(raw, width)}
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), c.alias("content")) for k, c in forms.items()]))
     rows = _spread(_t(spark, d, "pages").select("page_id", "html")).select("page_id", each.alias("x")).select("page_id", "x.form", media.inspected(F.col("x.content")).alias("a"))
     return rows.select(
@@ -404,11 +370,24 @@ def media_inspect(spark, d):
     )
 
 
+def media_headers(spark, d):
+    """Inspection of small files of every kind, whose sizes and lengths follow a page's id."""
+    k = F.coalesce("page_id", F.lit(0)).cast("long")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("form"), c.alias("content")) for n, c in forms_.media_files(k).items()]))
+    rows = _spread(_t(spark, d, "pages").select("page_id")).select("page_id", each.alias("x")).select("page_id", "x.form", media.inspected(F.col("x.content")).alias("a"))
+    part = lambda of, *names: [F.col(f"a.{of}.{n}").cast("long" if n != "codec" and n != "format" else "string").alias(n) for n in names]
+    pages = F.array_join(F.transform("a.document.page_meta", lambda p: F.concat_ws("|", p["classification"], p["width_points"].cast("long"), p["height_points"].cast("long"))), ",")
+    return rows.select(
+        "page_id", "form", "a.mime", "a.source_kind", *part("image", "width", "height", "orientation", "frames"), *part("audio", "codec", "duration_ms", "sample_rate_hz", "channels"),
+        *part("document", "format", "pages", "extracted_bytes"), F.when(F.col("a.document").isNotNull(), pages).alias("page_meta"), F.sha2(F.col("a.text").cast("binary"), 256).alias("text_sha256"), F.col("a.error").isNotNull().alias("failed"),
+    )
+
+
 ALL = (
     text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped,
     analyze_compare, analyze_high_bound, analyze_profiles, conversation_request, top_sources, threshold_exit, normalize_hash, generated_filter, ignore_filter, override_last_wins, limit_fold,
     image_patch, audio_duration, media_components, media_requests, diff_models, diff_components, diff_sources, history_topk, calib_split, calib_digests, calib_maximums, calib_metrics, calib_strata,
-    calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect,
+    calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect, media_headers,
 )
 
 

@@ -210,10 +210,11 @@ def fold_limits(files: DataFrame, limits: Limits = Limits(), key: str = "request
     return files.withColumn("sequence", F.col("sequence").cast("long")).join(verdicts, [key, "sequence"]).withColumn("taken", F.col("skip").isNull())
 
 
-def read_files(spark: SparkSession, events: list[tuple], request_id: str = "request") -> DataFrame:
-    """Discovered files with content, inspected media, normalised text and predicates."""
+def read_files(spark: SparkSession, events: list[tuple], request_id: str = "request", most: int | None = None) -> DataFrame:
+    """Discovered files with content, inspected media, normalised text and predicates. Files of
+    more than ``most`` bytes, which no limit would let in, are listed but not opened."""
     listed = spark.createDataFrame([(e[0], e[1], e[2], e[3]) for e in events if e[1] is not None], "sequence long, abs string, label string, size long")
-    names = [e[1] for e in events if e[1] is not None]
+    names = [e[1] for e in events if e[1] is not None and (most is None or e[3] <= most)]
     # Spark's file scans leave out names that start with a dot or an underscore: those few are read here
     hidden = [n for n in names if os.path.basename(n)[0] in "._"]
     content = spark.createDataFrame([(n, open(n, "rb").read()) for n in hidden], "abs string, content binary")
@@ -221,7 +222,7 @@ def read_files(spark: SparkSession, events: list[tuple], request_id: str = "requ
         plain = F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/")
         scan = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?\\,])", r"\\\1", n) for n in shown])
         content = content.unionByName(scan.select(F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))).alias("abs"), "content"))
-    files = listed.join(content, "abs").withColumn("asset", media.inspected(F.col("content")))
+    files = listed.join(content, "abs", "left" if most is not None else "inner").withColumn("content", F.coalesce("content", F.lit(b""))).withColumn("asset", media.inspected(F.col("content")))
     text = normalized(F.col("content").cast("string"))
     is_media = F.col("asset.mime") != ""
     return files.select(
@@ -279,7 +280,7 @@ def collect(spark: SparkSession, root: str, paths: list[str] = (), preset: str =
     texts = [open(p, encoding="utf-8").read() for n in IGNORE_FILES if ignore and os.path.isfile(p := os.path.join(root, n))]
     found = requested_paths(root, list(paths), preset, any(x is not None for x in (prompt, prompt_file, stdin)))
     events = discover(root, found, ignore_rules(*texts), include_hidden)
-    sources, warnings = file_sources(read_files(spark, events), limits)
+    sources, warnings = file_sources(read_files(spark, events, most=max(limits.file, limits.media)), limits)
     if prompt is not None:
         sources = sources.unionByName(inline_source(spark, "prompt", "prompt", prompt, limits.total))
     if prompt_file is not None:

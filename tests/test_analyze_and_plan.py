@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quillcount.functions import counters as cn
 from quillcount.functions.counters import Counters
 from quillcount.functions.images import image_tokens
 from quillcount.operators import analyze as an
@@ -117,3 +118,74 @@ def test_pdf_pages(spark):
     assert c[1].planned_w <= 1_275 and c[0].modality == "text"
     only = an.analyze(src, models(spark, "sonnet"), an.Options(document_detail="text")).components.collect()
     assert [x.modality for x in only] == ["text"]
+
+
+def test_several_profiles_in_one_analysis(spark):
+    df = spark.createDataFrame([("a", "some words here\n"), ("b", "more")], "l string, t string")
+    src = an.text_sources(df, F.lit("r"), F.col("l"), F.col("t"))
+    m = cat.models(spark, cat.default_catalog(), ["sonnet", "gemini"])
+    many = an.analyze(src, m, an.Options(profile=("none", "codex")))
+    for p in ("none", "codex"):
+        one = {r.model: r.asDict() for r in an.analyze(src, m, an.Options(profile=p)).models.collect()}
+        got = {r.model: r.asDict() for r in many.models.where(F.col("profile") == p).drop("profile").collect()}
+        assert got == one and len(got) == 2
+    assert many.both.count() == many.scenarios.count() == 4
+    with pytest.raises(ValueError):
+        an.Options(profile=("none", "none"))
+
+
+def test_invalid_utf8_is_counted_by_bytes(spark):
+    """FF 61 is no UTF-8: a third of the bytes, and bounds that hold."""
+    df = spark.createDataFrame([("x", bytearray(b"\xffa" * 600)), ("y", bytearray(b"ab" * 600))], "l string, b binary")
+    src = an.text_sources(df, F.col("l"), F.col("l"), F.col("b").cast("string"))
+    r = {x.request_id: x for x in an.analyze(src, cat.models(spark, cat.default_catalog(), ["sonnet"]), an.Options()).models.collect()}
+    raw = r["x"].input_tokens - r["x"].wrapper_tokens
+    assert raw == 400 and r["x"].input_low <= r["x"].input_tokens <= r["x"].input_high and r["y"].input_tokens != r["x"].input_tokens
+
+
+def test_unsupported_plans_are_never_verified(spark):
+    audio = F.struct(F.lit(1_000).cast("long").alias("duration_ms"), F.lit("wav").alias("codec"), F.lit(8_000).alias("sample_rate_hz"), F.lit(1).alias("channels")).cast(an.AUDIO)
+    df = spark.createDataFrame([("s.wav", ""), ("t", "text")], "l string, t string")
+    src = an.text_sources(df, F.lit("r"), F.col("l"), F.col("t"))
+    heard = F.col("label") == "s.wav"
+    src = src.withColumns({"kind": F.when(heard, "audio").otherwise("file"), "mime": F.when(heard, "audio/wav").otherwise(""), "audio": F.when(heard, audio), "asset_id": F.when(heard, "asset-1").otherwise("")})
+    m = cat.models(spark, cat.default_catalog(), ["sonnet", "gemini"])
+    ids = {r.id: r.provider for r in m.select("id", "provider").collect()}
+    verified = spark.createDataFrame([("r", i, 5, "official", None) for i in ids], "request_id string, model string, tokens long, method string, error string")
+    r = an.analyze(src, m, an.Options(require_verify=True), verified=verified)
+    got = {x.provider: x for x in r.models.collect()}
+    deaf, hearing = got["anthropic"], next(v for k, v in got.items() if k != "anthropic")
+    assert not deaf.verified and deaf.verify_failed and deaf.decision_tokens == deaf.input_tokens and any("cannot be sent" in w for w in deaf.warnings)
+    assert hearing.verified and hearing.decision_tokens == 5 and not hearing.verify_failed
+    with pytest.raises(ValueError):
+        r.check_verified()
+    # nothing asked, nothing refused
+    assert not any("cannot be sent" in w for x in an.analyze(src, m, an.Options()).models.collect() for w in x.warnings)
+
+
+def test_byte_pair_counter_in_an_analysis(spark, tmp_path):
+    """A rank file of bytes and some pairs stands for a vocabulary that is not on this machine."""
+    import base64
+
+    ranks = [bytes([b]) for b in range(256)] + [b"he", b"ll", b"hell", b"hello", b" w", b"or", b" wor", b"ld", b" world"]
+    path = tmp_path / "r.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(r) + b" " + str(i).encode() for i, r in enumerate(ranks)))
+    v = cn.Vocabulary(str(path), r" ?\p{L}+|\s+|[^\s\p{L}]+")
+    assert len(cn.byte_pair_ids(v, "hello world")) == 2 and cn.byte_pair_ids(v, "") == []
+    assert len(cn.byte_pair_ids(v, " " * 2_000_000)) == 2_000_000
+    df = spark.createDataFrame([("a", "hello world"), ("b", "hello")], "l string, t string")
+    src = an.text_sources(df, F.lit("r"), F.col("l"), F.col("t"))
+    m = cat.models(spark, cat.default_catalog(), ["gpt-5.5"])
+    got = an.analyze(src, m, an.Options(), cn.Counters(vocabularies={"o200k_base": v}), with_media=False).models.first()
+    assert got.input_tokens - got.wrapper_tokens == 2 + 1 + 1 and got.confidence == 1.0
+    with pytest.raises(KeyError):
+        an.analyze(src, m, an.Options())
+
+
+def test_requests_beyond_assembly_are_errors(spark, monkeypatch):
+    monkeypatch.setattr(an, "ASSEMBLED_BYTES", 100)
+    df = spark.createDataFrame([("small", "x"), ("large", "y" * 200)], "l string, t string")
+    src = lambda names: an.text_sources(df.where(F.col("l").isin(names)), F.col("l"), F.col("l"), F.col("t"))
+    assert an.assembled(src(["small"])).count() == 1
+    with pytest.raises(Exception, match="too long"):
+        an.assembled(src(["small", "large"])).collect()

@@ -49,3 +49,21 @@ def test_solver():
 def test_groups_share_a_split(spark):
     df = spark.createDataFrame([("a", "g"), ("b", "g")], "id string, grp string").withColumn("s", cal.split_of("x", F.col("grp")))
     assert df.select("s").distinct().count() == 1
+
+
+def test_nearest_rank_is_exact(spark):
+    """Against percentile_disc: ties, small groups, null values, many rows."""
+    df = spark.range(60_000).select((F.col("id") % 3).cast("string").alias("k"), F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.when(F.col("id") % 3 == 1, F.col("id") % 5).otherwise((F.col("id") * 7919) % 60_013)).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([("few", 1.0), ("few", 3.0), ("one", 9.0), ("none", None)], "k string, v double"))
+    for q in (0.025, 0.5, 0.95, 1.0):
+        want = {r.k: r.v for r in df.groupBy("k").agg(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY v)").alias("v")).collect() if r.v is not None}
+        assert {r.k: r.p for r in cal.nearest_rank(df, ["k"], "v", q, "p").collect()} == want
+    assert cal.nearest_rank(df.where("k = 'few'"), [], "v", 0.5, "p").first().p == 1.0
+
+
+def test_gram_of_all_features_gives_each_fit(spark):
+    rows = spark.createDataFrame([(float(k), float(k * k % 7), 3.0 * k + 2) for k in range(40)], "a double, b double, y double")
+    m = cal.gram(rows, ["a", "b"], "y")
+    for own in (["a"], ["b"], ["a", "b"]):
+        assert cal.fit_features(m, ["a", "b"], own)[0] == pytest.approx(cal.fit_linear(rows, own, "y")[0], rel=1e-9)
+    assert cal.fit_features(m, ["a", "b"], ["a"])[1]["a"] == pytest.approx(3.0)
