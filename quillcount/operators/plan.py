@@ -18,6 +18,20 @@ from pyspark.sql import functions as F
 from ..functions.images import audio_tokens, image_tokens, page_pixels
 from ..sources.catalog import VERSION
 
+# What a plan says of parts that a model cannot take or takes otherwise.
+SAYS = {
+    "image_text": "image normalized-text needs a supplied description",
+    "image": "model does not support image input",
+    "transcript": "normalized audio needs a transcript",
+    "extraction": "document text extraction is unavailable",
+    "pdf": "model does not support native PDF input",
+    "embedded": "embedded text extraction is unavailable",
+    "audio": "model does not support native audio input",
+    "counter": "no counter for the model's tokenizer",
+    "rich": "provider rich-document transformation is modeled as extracted text; embedded images/charts are ignored",
+    "was_unavailable": "embedded text extraction was unavailable",
+}
+
 #: Order of capability states; the worst of a request's sources is the request's.
 STATUS = ("supported", "conditional", "unknown", "unsupported")
 PAGE = "array<struct<number:int,width_points:double,height_points:double,classification:string>>"
@@ -92,14 +106,14 @@ def planned(sources: DataFrame, models: DataFrame, processing: str = "native", i
     refuse = F.concat(F.lit("model does not accept "), F.coalesce("mime", F.lit("")))
     problem = (
         F.when((c("kind") == "image") & ~accepts, refuse)
-        .when((c("kind") == "image") & normal, F.lit("image normalized-text needs a supplied description"))
-        .when((c("kind") == "image") & (~can("image") | c("image_rule").isNull()), F.lit("model does not support image input"))
+        .when((c("kind") == "image") & normal, F.lit(SAYS["image_text"]))
+        .when((c("kind") == "image") & (~can("image") | c("image_rule").isNull()), F.lit(SAYS["image"]))
         .when((c("kind") == "audio") & native & ~accepts, refuse)
-        .when((c("kind") == "audio") & normal & ~has_text, F.lit("normalized audio needs a transcript"))
+        .when((c("kind") == "audio") & normal & ~has_text, F.lit(SAYS["transcript"]))
         .when((c("kind") == "document") & native & ~accepts, refuse)
-        .when((c("kind") == "document") & (~pdf | normal) & ~has_text, F.lit("document text extraction is unavailable"))
-        .when((c("kind") == "document") & pdf & ~normal & ~can("document"), F.lit("model does not support native PDF input"))
-        .when((c("kind") == "document") & pdf & ~normal & ~has_text & (c("document_detail") == "text"), F.lit("embedded text extraction is unavailable"))
+        .when((c("kind") == "document") & (~pdf | normal) & ~has_text, F.lit(SAYS["extraction"]))
+        .when((c("kind") == "document") & pdf & ~normal & ~can("document"), F.lit(SAYS["pdf"]))
+        .when((c("kind") == "document") & pdf & ~normal & ~has_text & (c("document_detail") == "text"), F.lit(SAYS["embedded"]))
     )
     # audio that a model cannot hear still counts a transcript that comes with it
     deaf = (c("kind") == "audio") & native & (~can("audio") | (c("audio_formula") == ""))
@@ -136,9 +150,9 @@ def planned(sources: DataFrame, models: DataFrame, processing: str = "native", i
     )
     said = lambda when, text: F.when(when, F.concat(c("label"), F.lit(": "), text))
     warnings = F.array_compact(F.array(
-        said(c("problem").isNotNull(), c("problem")), said(c("deaf"), F.lit("model does not support native audio input")), said(no_count & c("problem").isNull(), F.lit("no counter for the model's tokenizer")),
-        said(rich & c("problem").isNull(), F.lit("provider rich-document transformation is modeled as extracted text; embedded images/charts are ignored")),
-        said(no_embedded & c("problem").isNull(), F.lit("embedded text extraction was unavailable")),
+        said(c("problem").isNotNull(), c("problem")), said(c("deaf"), F.lit(SAYS["audio"])), said(no_count & c("problem").isNull(), F.lit(SAYS["counter"])),
+        said(rich & c("problem").isNull(), F.lit(SAYS["rich"])),
+        said(no_embedded & c("problem").isNull(), F.lit(SAYS["was_unavailable"])),
     ))
     provider = (
         F.when(c("problem").isNotNull() | (c("deaf") & ~has_text), "unsupported").when(textual | ((c("kind") == "document") & ~native_pdf) | (native_pdf & (c("document_detail") == "text")) | c("deaf") | ((c("kind") == "audio") & normal), "text").otherwise(c("kind"))

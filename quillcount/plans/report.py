@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
 import sys
 
 from pyspark.sql import DataFrame
@@ -91,23 +92,48 @@ def text_report(results: Results, request_id: str) -> str:
     return "\n".join(lines) + "\n"
 
 
-def dashboard(results: Results, request_id: str, requested: list[str], width: int = 80, color: bool | None = None) -> str:
-    """A bar of each requested model's context use, in the order asked for."""
+def terminal_width(asked: int | None = None) -> int:
+    """The asked or the terminal's width, within what a dashboard can use."""
+    return min(max(asked if asked is not None else shutil.get_terminal_size((80, 24)).columns, WIDTHS[0]), WIDTHS[1])
+
+
+def _apart(left: str, right: str, width: int) -> str:
+    """A line with its two ends at the edges."""
+    return left + " " * max(1, width - visible_width(left) - visible_width(right)) + right
+
+
+def dashboard(results: Results, request_id: str, requested: list[str], width: int | None = None, color: bool | None = None, saved_as: str | None = None) -> str:
+    """Each requested model's tokens, bounds, context use and cost, in the order asked for.
+
+    ``saved_as``, the id of a saved run, says where the warnings are kept.
+    """
     if color is None:
         color = "NO_COLOR" not in os.environ and sys.stdout.isatty()
-    width = min(max(width, WIDTHS[0]), WIDTHS[1])
+    width = terminal_width(width)
     paint = (lambda code, s: f"\x1b[{code}m{s}\x1b[0m") if color else (lambda code, s: s)
     place = {m: k for k, m in enumerate(requested)}
     found = sorted(_gathered(results, request_id), key=lambda m: place.get(m["model"], len(place)))
-    lines = ["-" * width]
+    lines = []
+    if found:
+        whole = "" if all(m["status"] == "supported" for m in found) else " (incomplete)"
+        lines.append(_apart(plural(found[0]["n_sources"], "source") + whole, human_bytes(found[0]["total_bytes"]), width))
     for m in found:
-        full = width - 2
-        used = min(full, round(min(1.0, m["utilization"]) * full))
+        full = max(12, width - 2)
+        # a request that has tokens shows at least one mark
+        used = min(full, max(int(m["utilization"] * full), int(m["input_tokens"] > 0)))
         bar = paint("31" if m["overflow"] else "32", "#" * used) + "." * (full - used)
         s = expected_scenario(m["scenarios"])
-        lines += [f"{m['model']}  {plural(m['input_tokens'], 'token')}  {short_usd(s['cost_micros']) if s else ''}", f"[{bar}]"]
-    lines += [f"! {w}" for w in unique_warnings(*[m["warnings"] for m in found])]
-    return "\n".join([*lines, "-" * width]) + "\n"
+        cost = f"{short_usd(s['cost_micros'])} {s['scenario']}" if s else "cost unknown"
+        lines += ["-" * width, _apart(paint("1", m["model"]), plural(m["input_tokens"], "token"), width), f"[{bar}]", _apart(f"{m['utilization']:.2%} of the context", cost, width)]
+        lines.append(f"between {commas(m['input_low'])} and {commas(m['input_high'])}" + (", uncalibrated" if m["confidence"] == 0 else ""))
+        lines += [paint("33", f"! {m['status']}")] if m["status"] != "supported" else []
+    lines.append("-" * width)
+    if warnings := unique_warnings(*[m["warnings"] for m in found]):
+        lines += [f"! {w}" for w in warnings]
+        lines.append(f"{plural(len(warnings), 'warning')}, " + (f"kept with run {saved_as}" if saved_as else "kept if the run is saved"))
+    counted = "counted by an external verifier" if any(m["verified"] for m in found) else "estimated locally"
+    lines.append(f"{counted}; no content is stored" + ("; the run's figures are" if saved_as else ""))
+    return "\n".join(lines) + "\n"
 
 
 def diff_text(models: DataFrame, sources: DataFrame) -> str:

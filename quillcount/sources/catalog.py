@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The catalog's version, the types that models take, the tokenizers and the details of images.
 VERSION = "2026-07-19"
 _OFFICE = ("wordprocessingml.document", "presentationml.presentation", "spreadsheetml.sheet")
 _IMAGES = ("image/png", "image/jpeg", "image/webp", "image/gif")

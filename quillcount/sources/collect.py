@@ -185,6 +185,7 @@ def fold_limits(files: DataFrame, limits: Limits = Limits(), key: str = "request
     item = F.struct("sequence", "label", "size", "text_size", "is_media", "bad", "pages", "duration_ms", "drop")
     start = F.struct(long(0).alias("total"), long(0).alias("media"), F.array().cast("array<struct<sequence:bigint,skip:string,complete:boolean>>").alias("out"))
 
+    # The sentences of skipped files, which readers match
     def step(state: Column, f: Column) -> Column:
         say = lambda text: F.concat(F.lit("skip "), f["label"], F.lit(text))
         limit = (

@@ -59,6 +59,10 @@ def test_reports(spark):
     assert "claude-sonnet-4-6" in text and "uncalibrated" in text and "expected" in text
     board = report.dashboard(r, "r", ["gemini-3.1-pro-preview", "claude-sonnet-4-6"], color=False)
     assert board.index("gemini") < board.index("sonnet") and board.count("system, tool") == 1
+    lines = board.splitlines()
+    assert lines[0].startswith("2 sources") and lines[0].endswith("14 B") and all(len(x) <= 80 for x in lines if not x.startswith("!")) and board.count("[#") == 2 and "uncalibrated" in board
+    assert "kept if the run is saved" in board and "estimated locally" in lines[-1] and "run r-1" in report.dashboard(r, "r", [], 300, False, "r-1")
+    assert report.terminal_width(7) == 44 and report.terminal_width(999) == 120 and "\x1b[1m" in report.dashboard(r, "r", [], 60, True)
     assert len(json.loads(report.to_json(r.models.select("request_id", "model"), ["model"]))) == 2
     assert report.human_bytes(2048) == "2.0 KiB" and report.usd(-1_500_000) == "-1.500000" and report.plural(1, "x") == "1 x" and report.visible_width("\x1b[31mab\x1b[0m") == 2
     assert report.expected_scenario([{"scenario": "scenario-1"}, {"scenario": "scenario-2"}])["scenario"] == "scenario-2"
