@@ -108,9 +108,9 @@ def range_of(value: str, cuts: str) -> Column:
     return F.aggregate(halves, F.lit(0), lambda i, s: F.when((i + s <= F.size(c)) & (F.try_element_at(c, F.greatest(F.lit(1), F.least(i + s, F.size(c)))) <= x), i + s).otherwise(i))
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with ``next_<column>`` of the document that follows by ascending
-    doc_id (after the last, the first).
+def with_next(docs: DataFrame, carried: list[str], computed: dict[str, Column] | None = None) -> DataFrame:
+    """``docs`` (doc_id, text, ...) with the columns ``computed``, and ``next_<column>`` of the document
+    that follows by ascending doc_id (after the last, the first).
 
     Documents are dealt once, by ranges of ids; the first one of a range is also sent to the range
     before it. Null ids come first and are nobody's successor at the end.
@@ -118,7 +118,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     cuts, firsts = id_ranges(docs)
     own = docs.withColumn("_cuts", cuts.scalar()).withColumn("_range", range_of("doc_id", "_cuts")).drop("_cuts")
     guests = docs.join(firsts, F.col("doc_id") == F.col("first")).withColumnRenamed("to", "_range").withColumn("_guest", F.when(F.col("wraps"), F.lit(2)).otherwise(F.lit(1))).drop("first", "wraps")
-    rows = own.withColumn("_guest", F.lit(0)).unionByName(guests)
+    rows = own.withColumn("_guest", F.lit(0)).unionByName(guests).withColumns(computed or {})
     order = Window.partitionBy("_range").orderBy(F.greatest(F.col("_guest"), F.lit(1)), F.col("doc_id").asc_nulls_first(), "_guest")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     return rows.where(F.col("_guest") == 0).drop("_range", "_guest")
@@ -126,7 +126,8 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 
 def op7_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("own", sketch(F.col("text"))), ["text", "own"])
+    # sketches are made behind the join that finds the guests, so once for each row
+    rows = with_next(docs, ["text", "own"], {"own": sketch(F.col("text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     rows = rows.withColumn("edited_text", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
