@@ -371,6 +371,35 @@ def _media_headers() -> str:
     return "WITH p AS (SELECT page_id, k, k % 1500 + 1 AS w, k % 900 + 2 AS h FROM (SELECT page_id, coalesce(page_id, 0) AS k FROM pages)) " + " UNION ALL ".join(rows)
 
 
+def _history_runs() -> str:
+    cost = f"({micros('tin', 'decision_tokens')} + {micros('tout', str(q.OUTPUTS[1]))})::BIGINT"
+    names = ",".join(sorted(default_catalog().resolve(m).id for m in q.COMPARED))
+    return f"""WITH {_assembly()}, {_results(q.COMPARED)}, cat AS ({catalog(q.COMPARED)}), priced AS ({_tiered('res', 'r.decision_tokens')}),
+own AS (SELECT request_id, sha256(string_agg(label || ':' || sha256(t), chr(10) ORDER BY label)) AS sources_sha256 FROM src GROUP BY request_id)
+SELECT request_id AS id, total_bytes, {quoted(names)} AS models, false AS incomplete, false AS leak, sources_sha256, model, input_tokens, {cost} AS cost, 1::INT AS n_components FROM priced JOIN own USING (request_id)"""
+
+
+_SAMPLE_DIGEST = """SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
+  sha256(coalesce(text, '') || chr(0) || coalesce(lang, '') || chr(0) || CASE WHEN doc_id % 2 = 0 THEN '[{"name":"f"}]' ELSE 'null' END) AS request_sha256 FROM documents"""
+
+
+def _fits() -> str:
+    return f"WITH {_SAMPLES}, t AS (SELECT * FROM s WHERE split = 'train') " + " UNION ALL ".join(
+        f"SELECT '{n}' AS feature, round(regr_intercept(y::DOUBLE, {n}::DOUBLE), 6) AS intercept, round(regr_slope(y::DOUBLE, {n}::DOUBLE), 6) AS slope FROM t" for n in ("bytes", "alnum", "space"))
+
+
+def _improvement() -> str:
+    macro = lambda n: f"(SELECT split, avg(m) AS v FROM (SELECT split, kind, avg(abs(({n} - y)::DOUBLE / greatest(1, y)::DOUBLE)) AS m FROM s GROUP BY split, kind) GROUP BY split)"
+    return f"""WITH {_SAMPLES} SELECT split, round(a.v, 9) AS macro_mape, round(b.v, 9) AS baseline_macro_mape, round(CASE WHEN b.v > 0 THEN (b.v - a.v) / b.v ELSE 0 END, 9) AS improvement
+FROM {macro('tokens')} a JOIN {macro('ceil(bytes::DOUBLE / 4)')} b USING (split)"""
+
+
+def _predicted() -> str:
+    a, f = q.ARTIFACT, _features("t")
+    value = f"{a.intercept}::DOUBLE" + "".join(f" + {a.coefficients[k]}::DOUBLE * {f[k]}::DOUBLE" for k in sorted(a.coefficients))
+    return f"SELECT doc_id, floor(greatest(1::DOUBLE, {value}) + 0.5::DOUBLE)::BIGINT AS tokens FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)"
+
+
 def oracle_sql() -> dict[str, str]:
     f = _features("t")
     ratio = lambda a, b: f"round(CASE WHEN {f[b]} > 0 THEN {f[a]}::DOUBLE / {f[b]}::DOUBLE ELSE 0::DOUBLE END, 9)"
@@ -426,6 +455,11 @@ SELECT coalesce(a.k, b.k) AS source, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k
         "calib_strata": _metrics("stratum"),
         "calib_residual_bounds": f"WITH {_SAMPLES}, r AS (SELECT (y - tokens)::DOUBLE / tokens::DOUBLE AS r FROM s WHERE split = 'validation' AND tokens > 0) SELECT round(least(0::DOUBLE, quantile_disc(r, 0.025)), 9) AS low, round(greatest(0::DOUBLE, quantile_disc(r, 0.975)), 9) AS high FROM r",
         "calib_normal_equations": _equations(),
+        "history_runs": _history_runs(),
+        "calib_sample_digest": _SAMPLE_DIGEST,
+        "calib_fits": _fits(),
+        "calib_improvement": _improvement(),
+        "calib_predicted": _predicted(),
         "media_components": _media_components(),
         "media_requests": _media_requests(),
         "media_inspect": _MEDIA_INSPECT,

@@ -294,6 +294,18 @@ def history_topk(spark, d):
     return hs.latest(o, 20).select("id", "total_bytes")
 
 
+def history_runs(spark, d):
+    """Analyses as stored runs, read back from their payloads: what is kept of each model and of the sources."""
+    src = _documents(spark, d)
+    r = an.analyze(src, _models(spark, COMPARED), an.Options(output_tokens=OUTPUTS), with_media=False)
+    runs = hs.runs_of(r, src, F.lit("2026-01-01 00:00:00"), "v1")
+    leaks = hs.leaks(runs).select("id", F.lit(True).alias("leak"))
+    runs = runs.join(leaks, "id", "left").withColumn("run", F.from_json("payload", hs.PAYLOAD))
+    kept = F.sha2(F.array_join(F.transform("run.sources", lambda s: F.concat_ws(":", s["label"], s["sha256"])), "\n").cast("binary"), 256)
+    rows = runs.select("id", "total_bytes", F.array_join("models", ",").alias("models"), "incomplete", F.coalesce("leak", F.lit(False)).alias("leak"), kept.alias("sources_sha256"), F.explode("run.results").alias("r"))
+    return rows.select("id", "total_bytes", "models", "incomplete", "leak", "sources_sha256", "r.model", "r.input_tokens", hs.expected_cost(F.col("r.scenarios")).alias("cost"), F.size("r.components").alias("n_components"))
+
+
 def calib_split(spark, d):
     g = F.concat(F.col("source"), F.lit("-"), F.col("lang"))
     rows = _t(spark, d, "documents").select("doc_id", F.coalesce(g, F.lit("")).alias("grp"))
@@ -347,6 +359,37 @@ def calib_normal_equations(spark, d):
     return eq.select("i", "j", F.col("value").cast("decimal(38,0)").cast("string").alias("value"))
 
 
+def calib_sample_digest(spark, d):
+    """Digests of documents as texts, and as requests with their language as system text and with tools or without."""
+    text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    with_tools = F.when(F.col("doc_id") % 2 == 0, F.lit('[{"name":"f"}]'))
+    return _t(spark, d, "documents").select("doc_id", cal.sample_digest(text).alias("text_sha256"), cal.sample_digest(text, lang, with_tools).alias("request_sha256"))
+
+
+def calib_fits(spark, d):
+    """Least squares of each single feature, all from one matrix of sums."""
+    names = ["bytes", "alnum", "space"]
+    m = cal.gram(_samples(spark, d).where("split = 'train'"), names, "y")
+    fits = [(n, *(cal.fit_features(m, names, [n]) or (None, {n: None}))) for n in names]
+    return spark.createDataFrame([(n, c and round(c, 6), k[n] and round(k[n], 6)) for n, c, k in fits], "feature string, intercept double, slope double")
+
+
+def calib_improvement(spark, d):
+    """How much better the heuristic is than a quarter of the bytes, by split."""
+    rows = _samples(spark, d)
+    quarter = F.ceil(F.col("bytes") / 4).cast("long")
+    base = rows.withColumns({"tokens": quarter, "low": quarter, "high": quarter})
+    m = cal.with_improvement(cal.metrics(rows, ["split"]), cal.metrics(base, ["split"]), ["split"])
+    return m.select("split", *[F.round(c, 9).alias(c) for c in ("macro_mape", "baseline_macro_mape", "improvement")])
+
+
+def calib_predicted(spark, d):
+    """Point predictions of a fixed artifact."""
+    rows = _spread(_t(spark, d, "documents").select("doc_id", "text"))
+    rows = rows.select("doc_id", *[c.alias(n) for n, c in features(F.col("text")).items()])
+    return rows.select("doc_id", cal.predicted(ARTIFACT, cn.vector({n: F.col(n) for n in COUNTERS})).alias("tokens"))
+
+
 def bpe_count(spark, d):
     """Exact byte-pair counts under the vocabulary of this machine, by its own name."""
     import public_tokenizers as P
@@ -388,6 +431,7 @@ ALL = (
     analyze_compare, analyze_high_bound, analyze_profiles, conversation_request, top_sources, threshold_exit, normalize_hash, generated_filter, ignore_filter, override_last_wins, limit_fold,
     image_patch, audio_duration, media_components, media_requests, diff_models, diff_components, diff_sources, history_topk, calib_split, calib_digests, calib_maximums, calib_metrics, calib_strata,
     calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect, media_headers,
+    history_runs, calib_sample_digest, calib_fits, calib_improvement, calib_predicted,
 )
 
 
