@@ -273,6 +273,7 @@ def linked(vectors: DataFrame, cosine: float = LEAST_COSINE) -> DataFrame:
     links = found.groupBy("cid").agg(F.sum("n").alias("n"))
     classes = counts.join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
     classes = staged(classes.select(*key, (F.col("mult") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "cid").alias("component")), "vector-components")
+    discard(counts, blocks, found)
     # rows that take part find their class; others link with nothing
     out = rows.where("able").select("vec_id", *key).join(classes, key, "left").select("vec_id", "n", "component")
     out = out.unionByName(rows.where(~F.col("able")).select("vec_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("component")))
