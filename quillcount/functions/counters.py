@@ -52,6 +52,12 @@ def heuristic(family: str, sums: dict[str, Column], invalid: Column | None = Non
     return _struct(some(n), some(low), some(high), method, version, F.lit(confidence))
 
 
+def no_tokens(family: str) -> Column:
+    """The heuristic count of an empty text."""
+    method, _, _, confidence, version = HEURISTICS[family]
+    return _struct(F.lit(0), F.lit(0), F.lit(0), method, version, F.lit(confidence))
+
+
 @dataclass(frozen=True)
 class Artifact:
     """A calibrated linear estimator over the feature vector."""

@@ -17,7 +17,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.counters import COUNT, FAMILIES, Counters, heuristic
+from ..functions.counters import COUNT, FAMILIES, Counters, heuristic, no_tokens
 from ..functions.money import cost_micros, tier_at
 from ..functions.text import CLASSES, with_classes
 from ..sources.catalog import stale_column
@@ -127,6 +127,8 @@ def _constant_count(counters: Counters, tokenizer: str, text: str) -> Column:
     """Count of one constant text, as an expression (its class sums are folded by Catalyst)."""
     if not counters.additive(tokenizer):
         return counters.of_text(tokenizer, F.lit(text))
+    if not text:
+        return no_tokens(FAMILIES[tokenizer])
     import re
 
     from ..functions.text import KEYWORDS
