@@ -57,7 +57,7 @@ def test_reports(spark):
     r = an.analyze(src, cat.models(spark, cat.default_catalog(), ["sonnet", "gemini"]), an.Options(output_tokens=(1, 2, 3)), with_media=False)
     text = report.text_report(r, "r")
     assert "claude-sonnet-4-6" in text and "uncalibrated" in text and "expected" in text
-    board = report.dashboard(r, "r", ["gemini-3.1-pro-preview", "claude-sonnet-4-6"], color=False)
+    board = report.dashboard(r, "r", ["gemini-3.1-pro-preview", "claude-sonnet-4-6"], width=80, color=False)
     assert board.index("gemini") < board.index("sonnet") and board.count("system, tool") == 1
     lines = board.splitlines()
     assert lines[0].startswith("2 sources") and lines[0].endswith("14 B") and all(len(x) <= 80 for x in lines if not x.startswith("!")) and board.count("[#") == 2 and "uncalibrated" in board
