@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, html_text, licenses, mixing, near_dup, packing, quality, substring, vectors, warc
+from . import fingerprint, html_text, licenses, mixing, near_dup, packing, quality, substring, vectors, warc, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_substring_dedup": substring.op8_substring_dedup,
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
     }
 
 
