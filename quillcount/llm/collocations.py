@@ -45,6 +45,8 @@ SHARD_BYTES = 4 << 20
 #: Bitmap entries that are extended at once.
 GROUP = 1 << 16
 WIDTH = 16
+#: Parts of a language that are ranked apart before they are ranked together.
+PARTS = 64
 
 _OTHER, _SPACE, _CUT = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
@@ -126,7 +128,7 @@ def _popcounts(key: np.ndarray, bits: np.ndarray):
     return ranked[start], n, place
 
 
-def phrases(maps: Bitmaps, words: int, longest: int, pairs: np.ndarray | None = None):
+def phrases(maps: Bitmaps, words: int, longest: int, pairs: np.ndarray | None = None, group: int = GROUP):
     """(words as rows, occurrences) of phrases of 2, or else of 3 up to ``longest`` words, by groups of first words.
 
     ``pairs``: sorted numbers first * words + second of the pairs of which longer phrases may consist.
@@ -136,7 +138,7 @@ def phrases(maps: Bitmaps, words: int, longest: int, pairs: np.ndarray | None =
     ends = np.concatenate((np.flatnonzero(word[1:] != word[:-1]) + 1, [len(word)])) if len(word) else np.empty(0, np.int64)
     at = 0
     while at < len(word):
-        stop = int(ends[max(np.searchsorted(ends, at + GROUP, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        stop = int(ends[max(np.searchsorted(ends, at + group, side="right") - 1, np.searchsorted(ends, at, side="right"))])
         owner, b, m = word[at:stop].astype(np.int64), block[at:stop], bits[at:stop]
         known, last = np.arange(words)[:, None], np.arange(words)
         at = stop
@@ -155,14 +157,14 @@ def phrases(maps: Bitmaps, words: int, longest: int, pairs: np.ndarray | None =
                 yield known, n
 
 
-def _cut(text: bytes):
-    """Parts of a text of at most ``SHARD_BYTES`` that end between pieces, or longer ones where a piece is."""
-    if len(text) <= SHARD_BYTES:
+def _cut(text: bytes, limit: int):
+    """Parts of a text of at most ``limit`` bytes that end between pieces, or longer ones where a piece is."""
+    if len(text) <= limit:
         return [text]
     data = np.frombuffer(text, np.uint8)
     ends, out, at = np.append(np.flatnonzero(_KIND[data] == _CUT) + 1, len(text)), [], 0
     while at < len(text):
-        stop = int(ends[max(np.searchsorted(ends, at + SHARD_BYTES, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        stop = int(ends[max(np.searchsorted(ends, at + limit, side="right") - 1, np.searchsorted(ends, at, side="right"))])
         out.append(text[at:stop])
         at = stop
     return out
@@ -184,10 +186,10 @@ def shard_of(texts: list[bytes]):
     return names, np.bincount(code, minlength=len(names)), Bitmaps.at(position, code.astype(np.int64), len(names))
 
 
-_SHARD = "shard string, lang string, words array<string>, occurrences array<long>, bitmaps binary"
+_SHARD = "shard long, lang string, words array<string>, occurrences array<long>, bitmaps binary"
 
 
-def shards(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+def shards(docs: DataFrame, lang: str = "lang", text: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """A row for each shard: its language, distinct words with their occurrences, and packed bitmaps."""
     configured(docs.sparkSession)
 
@@ -201,14 +203,14 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
             made += 1
             one = pa.array([0, len(words)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f"{task}-{made}"]), pa.array([name]), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(n, pa.int64())), pa.array([maps.packed()], pa.binary())],
+                [pa.array([(task << 32) + made]), pa.array([name]), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(n, pa.int64())), pa.array([maps.packed()], pa.binary())],
                 names=["shard", "lang", "words", "occurrences", "bitmaps"],
             )
 
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), strict=True):
-                for part in _cut(value.as_py()):
-                    if name in held and size[name] + len(part) > SHARD_BYTES:
+                for part in _cut(value.as_py(), limit):
+                    if name in held and size[name] + len(part) > limit:
                         yield from flush(name)
                     held.setdefault(name, []).append(part)
                     size[name] = size.get(name, 0) + len(part) + 1
@@ -219,19 +221,21 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
     return some.mapInArrow(run, _SHARD)
 
 
-_KEPT = "shard string, words array<long>, bitmaps binary"
+_KEPT = "shard long, words array<long>, bitmaps binary"
 
 
 def _kept_bitmaps(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A shard's bitmaps with only the words of ``right`` (place, word), renumbered in its order."""
+    """A shard's bitmaps with only the words of ``right`` (place, word), renumbered in the order of ids."""
     rows = []
     if left.num_rows and right.num_rows:
         place, ids = right.column("place").to_numpy(), right.column("word").to_numpy()
+        order = np.argsort(ids)
+        place, ids = place[order], ids[order]
         maps = Bitmaps.unpacked(left.column("bitmaps")[0].as_py())
         keep, number = np.zeros(int(max(place.max(), maps.word.max(initial=0))) + 1, bool), np.zeros(int(max(place.max(), maps.word.max(initial=0))) + 1, np.int32)
         keep[place], number[place] = True, np.arange(len(place), dtype=np.int32)
         rows = [{"shard": left.column("shard")[0].as_py(), "words": ids.tolist(), "bitmaps": maps.only(keep, number).packed()}]
-    return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.string()), ("words", pa.list_(pa.int64())), ("bitmaps", pa.binary())]))
+    return pa.Table.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("words", pa.list_(pa.int64())), ("bitmaps", pa.binary())]))
 
 
 def _pairs_of(batches):
@@ -240,8 +244,8 @@ def _pairs_of(batches):
             words = ids.values.to_numpy()
             for known, n in phrases(Bitmaps.unpacked(data.as_py()), len(words), 2):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard.as_py()] * len(n)), *[pa.array(known[:, i], pa.int32()) for i in (0, 1)], *[pa.array(words[known[:, i]]) for i in (0, 1)], pa.array(n)],
-                    names=["shard", "p1", "p2", "w1", "w2", "n"],
+                    [pa.array(np.full(len(n), shard.as_py())), *[pa.array(words[known[:, i]]) for i in (0, 1)], pa.array(n)],
+                    names=["shard", "w1", "w2", "n"],
                 )
 
 
@@ -252,7 +256,8 @@ def _longer(longest: int):
         out = []
         if left.num_rows and right.num_rows:
             words = left.column("words")[0].values.to_numpy()
-            pairs = np.sort(right.column("p1").to_numpy().astype(np.int64) * len(words) + right.column("p2").to_numpy())
+            place = [np.searchsorted(words, right.column(w).to_numpy()) for w in ("w1", "w2")]
+            pairs = np.sort(place[0] * len(words) + place[1])
             for known, n in phrases(Bitmaps.unpacked(left.column("bitmaps")[0].as_py()), len(words), longest, pairs):
                 ids = words[known]
                 ids = np.column_stack([ids, np.zeros((len(n), longest - ids.shape[1]), np.int64)])
@@ -271,9 +276,9 @@ class Counted:
     totals: DataFrame
 
 
-def counted(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST) -> Counted:
+def counted(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, limit: int = SHARD_BYTES) -> Counted:
     """Exact counts, by language, of all phrases of up to ``longest`` words with ``least`` occurrences or more."""
-    made = staged(shards(docs, lang, text), "collocation-shards")
+    made = staged(shards(docs, lang, text, limit), "collocation-shards")
     thin = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "occurrences")).alias("place", "x")).select("shard", "lang", "place", "x.words", "x.occurrences")
     sums = thin.groupBy("lang", F.col("words").alias("word")).agg(F.sum("occurrences").alias("f"))
     totals = staged(made.select("lang", F.aggregate("occurrences", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
@@ -283,14 +288,14 @@ def counted(docs: DataFrame, lang: str = "lang", text: str = "text", least: int
     discard(made)
 
     # a pair has a row for each shard, so the sum over all shards and the way back to them are one shuffle
-    pairs = kept.mapInArrow(_pairs_of, "shard string, p1 int, p2 int, w1 long, w2 long, n long")
+    pairs = kept.mapInArrow(_pairs_of, "shard long, w1 long, w2 long, n long")
     pairs = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("w1", "w2"))).where(F.col("f") >= least)
-    pairs = staged(pairs, "collocation-pairs")
+    pairs = staged(pairs.drop("n"), "collocation-pairs")
     zero = [F.lit(0).cast("long").alias(f"w{i}") for i in range(3, longest + 1)]
     found = pairs.groupBy("w1", "w2").agg(F.first("f").alias("f")).select("w1", "w2", *zero, F.lit(2).alias("size"), "f")
     if longest > 2:
         run, schema = _longer(longest)
-        more = kept.groupBy("shard").cogroup(pairs.select("shard", "p1", "p2").groupBy("shard")).applyInArrow(run, schema)
+        more = kept.groupBy("shard").cogroup(pairs.select("shard", "w1", "w2").groupBy("shard")).applyInArrow(run, schema)
         names = [f"w{i}" for i in range(1, longest + 1)]
         more = more.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
         size = sum(((F.col(w) > 0).cast("int") for w in names[1:]), F.lit(1))
@@ -333,8 +338,10 @@ def collocations(c: Counted, phrases: int = PHRASES, absorbed: int = ABSORBED) -
     score = F.call_function("div", wide("a") * F.lit(2_000_000).cast("decimal(10,0)"), wide("l") + wide("r")).cast("long")
     least = parts.withColumn("score", score).groupBy("key").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("x")).select("key", "x.*")
     named = least.join(c.words.select(F.col("id").alias("first"), "lang"), F.col("key")[0] == F.col("first")).drop("first")
-    # ties at the last place stay until phrases are spelled out; ranks are limited in tasks before they are shuffled
-    first = named.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= phrases)
+    # first within parts of a language, so that what one task puts in order is bounded; ties at the last place stay until phrases are spelled out
+    first = named.withColumn("part", F.abs(F.hash("key")) % PARTS)
+    for by in (["lang", "part"], ["lang"]):
+        first = first.withColumn("place", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= phrases)
     spelled = first.select("*", F.posexplode("key").alias("i", "id")).join(c.words.select("id", "word"), "id")
     spelled = spelled.groupBy("key", "lang", "score", "a", "l", "r").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import collocations, fingerprint, html_text, licenses, mixing, near_dup, packing, quality, substring, vectors, warc, whitening
+from . import collocations, fingerprint, html_text, language, licenses, mixing, near_dup, packing, quality, substring, vectors, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_html_extraction": html_text.op9_html_extraction,
         "op10_embedding_near_dedup": vectors.op10_embedding_near_dedup,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_language_id": language.op12_language_id,
         "op13_phrase_collocations": collocations.op13_phrase_collocations,
     }
 
