@@ -331,8 +331,10 @@ def collocations(c: Counted, phrases: int = PHRASES, absorbed: int = ABSORBED) -
             out = out.when(F.col("size") == size, of(size))
         return out
 
-    longer = whole.where(F.col("size") > 2).select(F.explode(by_size(inner, 3)).alias("key"), F.col("f").alias("within")).groupBy("key").agg(F.max("within").alias("within"))
-    kept = whole.join(longer, "key", "left").where(F.col("within").isNull() | (wide("within") * 100 < wide("f") * absorbed))
+    kept = whole
+    if longest > 2:
+        longer = whole.where(F.col("size") > 2).select(F.explode(by_size(inner, 3)).alias("key"), F.col("f").alias("within")).groupBy("key").agg(F.max("within").alias("within"))
+        kept = whole.join(longer, "key", "left").where(F.col("within").isNull() | (wide("within") * 100 < wide("f") * absorbed))
     parts = kept.select("key", F.col("f").alias("a"), F.explode(by_size(cuts, 2)).alias("x")).select("key", "a", "x.*")
     parts = parts.join(counts.select(F.col("key").alias("left"), F.col("f").alias("l")), "left").join(counts.select(F.col("key").alias("right"), F.col("f").alias("r")), "right")
     score = F.call_function("div", wide("a") * F.lit(2_000_000).cast("decimal(10,0)"), wide("l") + wide("r")).cast("long")

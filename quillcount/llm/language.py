@@ -6,9 +6,9 @@ the least hashes (a sample that does not depend on order or place) are put one
 after the other as a raw-content dictionary of at most ``DICTIONARY`` bytes. A
 text is encoded, whole, in blocks of ``BLOCK`` bytes with every dictionary; the
 sum of encoded sizes is least under the predicted language. The score is 1 over
-the sum of 2^-d over all languages, d bytes behind the best; where the margin is
-less than ``MARGIN`` of the text or than ``LEAD`` bytes, the guess is marked as
-rejected.
+the sum of 2^-d over all languages, d bytes behind the best; where the second
+best is less than ``LEAD`` bytes or less than ``MARGIN`` of the best size behind,
+the guess is marked as rejected.
 
 The dictionaries are the one thing that is sampled: 256 pieces to a language at
 least where it has them, ``DICTIONARIES`` bytes in all at most, whatever the
@@ -40,7 +40,7 @@ UNKNOWN = "und"
 PIECE, DICTIONARY, DICTIONARIES, BLOCK = 256, 64 << 10, 32 << 20, 4096
 #: Pieces drawn for each one that a dictionary may hold, so that copies and short pieces leave enough.
 DRAWN = 8
-#: Margins below which a guess is rejected: share of the text's bytes, and bytes.
+#: Margins below which a guess is rejected: share of the least size, and bytes.
 MARGIN, LEAD = 0.01, 2
 LETTER = r"\p{L}"
 
@@ -84,13 +84,14 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
     return Languages(names, tuple(content[k].encode() for k in names))
 
 
-def _guess(sizes: np.ndarray, length: np.ndarray):
+def _guess(sizes: np.ndarray):
     """(index of the least size, score, margin, rejected) of each row of sizes; earlier columns win ties."""
     best = sizes.argmin(axis=1)
-    behind = sizes - sizes.min(axis=1, keepdims=True)
+    least = sizes.min(axis=1)
+    behind = sizes - least[:, None]
     score = 1 / np.exp2(-np.minimum(behind, 1000).astype(float)).sum(axis=1)
-    lead = np.sort(behind, axis=1)[:, 1] if sizes.shape[1] > 1 else length
-    margin = np.minimum(lead / np.maximum(length, 1), 1.0)
+    lead = np.sort(behind, axis=1)[:, 1] if sizes.shape[1] > 1 else least
+    margin = np.minimum(lead / np.maximum(least, 1), 1.0)
     return best, score, margin, (margin < MARGIN) | (lead < LEAD)
 
 
@@ -105,14 +106,13 @@ def identified(docs: DataFrame, model: Languages, text: str = "text") -> DataFra
         encoders, names = shared.value.encoders(), shared.value.names
         for batch in batches:
             column, n = batch.column(len(keep)).cast(pa.large_binary()), batch.num_rows
-            sizes, length = np.zeros((n, max(len(names), 1)), np.int64), np.zeros(n, np.int64)
-            known = np.array([names and v.is_valid for v in column], bool)
+            sizes = np.zeros((n, max(len(names), 1)), np.int64)
+            known = np.array([bool(names) and v.is_valid for v in column], bool)
             for i in np.flatnonzero(known):
                 value = column[i].as_py()
-                length[i] = len(value)
                 for k, encoder in enumerate(encoders):
                     sizes[i, k] = sum(len(encoder.compress(value[at : at + BLOCK])) for at in range(0, len(value), BLOCK))
-            best, score, margin, rejected = _guess(sizes, length)
+            best, score, margin, rejected = _guess(sizes)
             guess = [names[b] if ok else UNKNOWN for b, ok in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(keep))], pa.array(guess, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(np.where(known, margin, 0.0)), pa.array(np.where(known, rejected, True), pa.bool_())],

@@ -50,7 +50,7 @@ def drawn(seed, texts, words=12, marks=". , ; \n \t ! ? : \x0b"):
     for _ in range(texts):
         lang = rng.choice(["en", "en", "en", "de", None, "und"])
         text = "".join(rng.choice([w for k, w in enumerate(vocabulary) for _ in range(words - k)]) + rng.choice([" "] * 12 + ["  ", *marks.split(" ")]) for _ in range(rng.randint(0, 60)))
-        out.append((lang, text))
+        out.append((lang, text + rng.choice([" once upon a TIME", "", " ein zu", " upon", " time"])))
     return out
 
 
