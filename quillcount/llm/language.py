@@ -73,10 +73,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Language
     if not learned:
         return Languages((), ())
     budget = min(DICTIONARY, DICTIONARIES // len(learned))
-    share = F.least(F.lit(1.0), F.lit(float(DRAWN * (budget // PIECE + 1))) / F.col("pieces"))
+    drawn_of = DRAWN * (budget // PIECE + 1)
+    share = F.create_map(*[F.lit(x) for r in learned for x in (r["lang"], min(1.0, drawn_of / r["pieces"]))])[F.col("lang")]
     pieces = rows.select("lang", F.explode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).alias("piece")).withColumn("hash", F.xxhash64("piece"))
     # a hash below the share of the range, so the draw is bounded before anything is shuffled by language
-    drawn = pieces.join(sizes.select("lang", share.alias("share")), "lang").where(F.col("hash") / F.lit(2.0**64) + 0.5 <= F.col("share")).groupBy("lang", "hash", "piece").agg(F.count("*").alias("copies"))
+    drawn = pieces.where(F.col("hash") / F.lit(2.0**64) + 0.5 <= share).groupBy("lang", "hash", "piece").agg(F.count("*").alias("copies"))
     order = Window.partitionBy("lang").orderBy("hash", "piece")
     fits = drawn.withColumn("upto", F.sum(F.octet_length("piece")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") <= budget)
     content = {r["lang"]: r["content"] for r in fits.groupBy("lang").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("hash", "piece"))), lambda x: x["piece"]), "").alias("content")).collect()}
