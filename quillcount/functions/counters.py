@@ -209,6 +209,19 @@ class Counters:
     def additive(self, tokenizer: str) -> bool:
         return tokenizer in FAMILIES and tokenizer not in self.artifacts and tokenizer not in self.custom
 
+    def stateful(self, tokenizer: str) -> bool:
+        """Whether counts follow from the boundary states of a text's parts."""
+        return tokenizer in self.artifacts and tokenizer not in self.custom
+
+    def needed(self, tokenizers: list[str]) -> frozenset:
+        """Features that the artifacts of tokenizers read."""
+        found = [self.artifacts[t] for t in tokenizers]
+        return frozenset(n for a in found for n in (*a.coefficients, *a.ood_maximums))
+
+    def of_counters(self, tokenizer: str, counters: dict[str, Column], invalid: Column | None = None) -> Column:
+        """Count by an artifact from the counters of a text."""
+        return calibrated(self.artifacts[tokenizer], vector(counters, invalid), require_accepted=True)
+
     def of_text(self, tokenizer: str, text: Column) -> Column:
         """Count of a whole text for counters that are not additive."""
         if tokenizer in self.custom:

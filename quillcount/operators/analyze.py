@@ -2,9 +2,9 @@
 
 Heuristic counts are functions of sums over characters, so a request's count
 over its joined texts, with and without the source wrapper, comes from ordinary
-partial sums; no text is ever gathered. Only counters that are not additive
-(byte-pair vocabularies, calibrated artifacts) assemble the strings, one
-bounded request at a time.
+partial sums; calibrated counts come from boundary states, folded in the order
+of sources. No text is gathered for either. Only byte-pair vocabularies and own
+counters assemble the strings, one bounded request at a time.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import states as boundary
 from ..functions.counters import COUNT, FAMILIES, Counters, heuristic, no_tokens
 from ..functions.money import cost_micros, tier_at
 from ..functions.text import CLASSES, with_classes
@@ -103,15 +104,31 @@ def request_sums(sources: DataFrame) -> DataFrame:
     return out.withColumns({"raw_space": F.col("raw_space") + joints, "raw_bytes": F.col("raw_bytes") + joints, "wrapped_code": (F.col("n_texts") > 0).cast("int")})
 
 
+def request_states(sources: DataFrame, features=boundary.COUNTERS) -> DataFrame:
+    """Per request: boundary states of the joined texts (``raw_state``) and of the wrapped ones (``wrapped_state``).
+
+    Sources are in the order (kind, label, digest of the text); only sums that ``features`` need are counted.
+    """
+    needed = boundary.needs(features)
+    of = lambda text: boundary.state(text, needed)
+    text = F.col("text")
+    some = sources.where(F.octet_length(text) > 0).select("request_id", "kind", "label", F.sha2(text.cast("binary"), 256).alias("digest"), of(text).alias("raw_state"), F.endswith(text, F.lit("\n")).alias("ended"), of(F.translate("label", '"', "'")).alias("name"))
+    end = F.when(F.col("ended"), boundary.empty()).otherwise(of(F.lit("\n")))
+    parts = [of(F.lit('<source label="')), F.col("name"), of(F.lit('">\n')), F.col("raw_state"), end, of(F.lit("</source>\n"))]
+    rows = some.withColumn("wrapped_state", boundary.wrapped(parts))
+    order = ["kind", "label", "digest"]
+    return boundary.folded_by(rows, ["request_id"], order, {"raw_state": "\n", "wrapped_state": ""}, needed)
+
+
 def assembled(sources: DataFrame) -> DataFrame:
-    """Per request: the texts joined by line feeds (``raw``) and each in its labelled wrapper (``wrapped``), by (kind, label)."""
+    """Per request: the texts joined by line feeds (``raw``) and each in its labelled wrapper (``wrapped``), by (kind, label, digest)."""
     some = sources.where(F.octet_length("text") > 0)
     wrapped = F.concat(F.lit('<source label="'), F.translate("label", '"', "'"), F.lit('">\n'), F.col("text"), F.when(F.endswith("text", F.lit("\n")), "").otherwise("\n"), F.lit("</source>\n"))
     # a text is one value of one row, so a request beyond the limit is an error before its texts are gathered
     size = some.groupBy("request_id").agg(F.sum(F.octet_length("text") + F.octet_length("label") + 32).alias("size"))
     error = F.raise_error(F.format_string("request %s is too long to be assembled", "request_id")).cast("boolean")
     some = some.join(size.select("request_id", F.when(F.col("size") > ASSEMBLED_BYTES, error).otherwise(F.lit(True)).alias("fits")), "request_id").where("fits")
-    rows = some.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("kind", "label", F.col("text"), wrapped.alias("wrapped")))).alias("s"))
+    rows = some.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("kind", "label", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.col("text"), wrapped.alias("wrapped")))).alias("s"))
     return rows.select("request_id", F.array_join("s.text", "\n").alias("raw"), F.array_join("s.wrapped", "").alias("wrapped"))
 
 
@@ -188,8 +205,11 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     if extras is not None:
         extras = with_classes(with_classes(extras.select("request_id", F.coalesce("system", F.lit("")).alias("system"), F.coalesce("tools", F.lit("")).alias("tools")), "system", "system_"), "tools", "tools_")
         sums = sums.join(extras, "request_id", "left").na.fill(0, [f"{p}_{k}" for p in ("system", "tools") for k in CLASSES])
-    plain = [t for t in tokenizers if not counters.additive(t)]
-    if plain:
+    by_state = [t for t in tokenizers if counters.stateful(t)]
+    if by_state:
+        sums = sums.join(request_states(base, counters.needed(by_state)), "request_id", "left")
+        sums = sums.withColumns({k: F.coalesce(k, boundary.empty()) for k in ("raw_state", "wrapped_state")})
+    if any(not counters.additive(t) and t not in by_state for t in tokenizers):
         sums = sums.join(assembled(base), "request_id", "left").na.fill("", ["raw", "wrapped"])
 
     def of(tokenizer: str, what: str) -> Column:
@@ -197,7 +217,11 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
             if extras is None:
                 return _constant_count(counters, tokenizer, getattr(options, what))
             return counters.of_sums(tokenizer, _sums(what)) if counters.additive(tokenizer) else counters.of_text(tokenizer, F.coalesce(c(what), F.lit("")))
-        return counters.of_sums(tokenizer, _sums(what), c("invalid")) if counters.additive(tokenizer) else counters.of_text(tokenizer, c(what))
+        if counters.additive(tokenizer):
+            return counters.of_sums(tokenizer, _sums(what), c("invalid"))
+        if tokenizer in by_state:
+            return counters.of_counters(tokenizer, boundary.counters(c(f"{what}_state")), c("invalid"))
+        return counters.of_text(tokenizer, c(what))
 
     kinds = ("raw", "wrapped", "system", "tools")
     counts = F.array(*[F.struct(F.lit(t).alias("tokenizer"), *[of(t, k).cast(COUNT).alias(f"{k}_count") for k in kinds]) for t in tokenizers])
@@ -214,7 +238,7 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     })
     # components of requests with media; text-only requests count their joined text instead
     def plan_sources() -> DataFrame:
-        by_tokenizer = F.map_from_entries(F.array(*[F.struct(F.lit(t), (counters.of_sums(t, {k: c("text_bytes" if k == "bytes" else k) for k in CLASSES}) if counters.additive(t) else counters.of_text(t, c("text"))).cast(COUNT)) for t in tokenizers]))
+        by_tokenizer = F.map_from_entries(F.array(*[F.struct(F.lit(t), (counters.of_sums(t, {k: c("text_bytes" if k == "bytes" else k) for k in CLASSES}, ~F.is_valid_utf8("text")) if counters.additive(t) else counters.of_text(t, c("text"))).cast(COUNT)) for t in tokenizers]))
         ordered = base.withColumn("ordinal", F.struct("kind", "label")).withColumn("counts", by_tokenizer)
         return planning.planned(ordered, models, options.processing, options.image_detail, options.document_detail, options.overrides)
 

@@ -1,7 +1,7 @@
 """Calibration: splits, fitted estimators, residual bounds, metrics and gates.
 
 Everything over samples is an aggregate in bounded memory: sums, streamed digests
-and exact quantiles bracketed by approximate ones. The driver only solves systems
+and exact quantiles by radix selection. The driver only solves systems
 of at most 34 equations and picks among candidates.
 """
 
@@ -14,11 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.counters import Artifact, calibrated
+from ..functions.staging import staged
 from ..functions.text import FEATURES
+from .quantiles import nearest_ranks
 
 RIDGE = 1e-6
 #: Values of a split's first digest byte, in hundredths.
@@ -160,46 +162,58 @@ def predicted(artifact: Artifact, features: dict[str, Column]) -> Column:
     return F.floor(F.greatest(F.lit(1.0), value) + F.lit(0.5)).cast("long")
 
 
-#: Accuracy of the approximate quantiles that bracket an exact one.
-ACCURACY = 10_000
-
-
 def nearest_rank(rows: DataFrame, key: list[str], column: str, q: float, name: str) -> DataFrame:
-    """(key, name): per key the value at place ceil(q n), exactly.
-
-    Approximate quantiles bracket it; only the distinct values between them are put in order.
-    """
-    rows = rows.where(F.col(column).isNotNull()).select(*key, F.col(column).alias("_v"))
-    quantiles = F.percentile_approx("_v", [max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY)], ACCURACY)
-    near = rows.groupBy(*key).agg(F.count("*").alias("_n"), quantiles.alias("_q"))
-    both = rows.join(near, key) if key else rows.crossJoin(F.broadcast(near))
-    # what lies below the bracket is one row
-    at = F.when(F.col("_v") < F.col("_q")[0], F.lit(None).cast("double")).otherwise(F.col("_v"))
-    kinds = both.where(F.col("_v") <= F.col("_q")[1]).groupBy(*key, "_n", at.alias("_v")).agg(F.count("*").alias("_m"))
-    place = Window.partitionBy(*key).orderBy(F.col("_v").asc_nulls_first())
-    kinds = kinds.withColumn("_upto", F.sum("_m").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    return kinds.where(F.col("_upto") >= F.ceil(F.lit(q) * F.col("_n"))).groupBy(*key).agg(F.min("_v").alias(name))
+    """(key, name): per key the value at place ceil(q n), exactly."""
+    return nearest_ranks(rows, key, {name: (column, q)})
 
 
 def residual_bounds(rows: DataFrame, y: str, p: str) -> DataFrame:
     """(low, high): the middle 95 per cent of (y - p) / p, clamped to contain 0."""
     r = rows.where(F.col(p) > 0).select(((F.col(y) - F.col(p)).cast("double") / F.col(p).cast("double")).alias("r"))
-    low, high = nearest_rank(r, [], "r", 0.025, "low"), nearest_rank(r, [], "r", 0.975, "high")
-    return low.crossJoin(F.broadcast(high)).select(F.least(F.lit(0.0), "low").alias("low"), F.greatest(F.lit(0.0), "high").alias("high"))
+    ends = nearest_ranks(staged(r, "residuals"), [], {"low": ("r", 0.025), "high": ("r", 0.975)})
+    return ends.select(F.least(F.lit(0.0), "low").alias("low"), F.greatest(F.lit(0.0), "high").alias("high"))
 
 
-def metrics(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens", low: str = "low", high: str = "high") -> DataFrame:
-    """Error metrics per key: samples, groups, MAPE, macro-MAPE over kinds, p95, bias, coverage, share above high."""
+def _errors(rows: DataFrame, key: list[str], y: str, p: str, low: str, high: str) -> DataFrame:
+    """What metrics are made of: keys, kind, grp, the relative error, and whether the bounds hold."""
     real = lambda c: F.col(c).cast("double")
     base = F.greatest(F.lit(1.0), real(y))
-    rows = rows.withColumns({"_e": (real(p) - real(y)) / base, "_in": ((F.col(y) >= F.col(low)) & (F.col(y) <= F.col(high))).cast("double"), "_above": (F.col(y) > F.col(high)).cast("double")})
-    rows = rows.withColumn("_ape", F.abs("_e"))
-    kinds = rows.groupBy(*key, "kind").agg(F.avg("_ape").alias("m")).groupBy(*key).agg(F.avg("m").alias("macro_mape"))
-    whole = rows.groupBy(*key).agg(F.count("*").alias("samples"), F.count_distinct("grp").alias("groups"), F.avg("_ape").alias("mape"), F.avg("_e").alias("bias"), F.avg("_in").alias("coverage"), F.avg("_above").alias("above_high"))
-    p95 = nearest_rank(rows, key, "_ape", 0.95, "p95")
-    for part in (kinds, p95):
-        whole = whole.join(part, key, "left") if key else whole.join(F.broadcast(part), F.lit(True), "left")
-    return whole
+    own = [F.col(k).alias(f"k{i}") for i, k in enumerate(key)]
+    return rows.select(*own, "kind", "grp", ((real(p) - real(y)) / base).alias("e"), (F.col(y).between(F.col(low), F.col(high))).alias("inside"), (F.col(y) > F.col(high)).alias("above"))
+
+
+def macro_mape(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens") -> DataFrame:
+    """Per key, the mean over kinds of the mean absolute relative error."""
+    e = _errors(rows, key, y, p, p, p)
+    own = [f"k{i}" for i in range(len(key))]
+    m = e.groupBy(*own, "kind").agg(F.avg(F.abs("e")).alias("m")).groupBy(*own).agg(F.avg("m").alias("macro_mape"))
+    return m.select(*[F.col(o).alias(k) for o, k in zip(own, key, strict=True)], "macro_mape")
+
+
+def metrics(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens", low: str = "low", high: str = "high") -> DataFrame:
+    """Error metrics per key: samples, groups, MAPE, macro-MAPE over kinds, p95, bias, coverage, share above high.
+
+    ``rows`` is read once, for a staged table of errors. Sums by key, kind and
+    group lead to all but p95, which is selected by radix; a key's two parts
+    meet in an aggregate, so that null keys do too. Nothing is joined to rows
+    but the digits of p95 found so far.
+    """
+    e = staged(_errors(rows, key, y, p, low, high), "errors")
+    own = [f"k{i}" for i in range(len(key))]
+    ape = F.abs("e")
+    total = lambda c: F.sum(c.cast("double"))
+    sums = e.groupBy(*own, "kind", "grp").agg(F.count("*").alias("n"), F.sum(ape).alias("ape"), F.sum("e").alias("bias"), total(F.col("inside")).alias("inside"), total(F.col("above")).alias("above"), *[F.count(c).alias(f"n_{c}") for c in ("e", "inside", "above")])
+    # a group may have several kinds: it is counted once for each key
+    kinds = sums.groupBy(*own, "kind").agg((F.sum("ape") / F.sum("n_e")).alias("m")).groupBy(*own).agg(F.avg("m").alias("macro_mape"))
+    ratio = lambda a, b, name: (F.sum(a) / F.sum(b)).alias(name)
+    whole = sums.groupBy(*own).agg(
+        F.sum("n").alias("samples"), F.count_distinct("grp").alias("groups"), ratio("ape", "n_e", "mape"), ratio("bias", "n_e", "bias"), ratio("inside", "n_inside", "coverage"), ratio("above", "n_above", "above_high"),
+    )
+    p95 = nearest_ranks(e.select(*own, ape.alias("ape")), own, {"p95": ("ape", 0.95)})
+    names = ("samples", "groups", "mape", "macro_mape", "p95", "bias", "coverage", "above_high")
+    parts = whole.unionByName(kinds, allowMissingColumns=True).unionByName(p95, allowMissingColumns=True)
+    out = parts.groupBy(*own).agg(*[F.max(n).alias(n) for n in names]).withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))
+    return out.select(*[F.col(o).alias(k) for o, k in zip(own, key, strict=True)], *names)
 
 
 def with_improvement(own: DataFrame, baseline: DataFrame, key: list[str]) -> DataFrame:
@@ -250,12 +264,12 @@ def evaluate(rows: DataFrame, artifact: Artifact, features: dict[str, Column], h
     counted = own.withColumn("_c", calibrated(artifact, features)).withColumns({k: F.col(f"_c.{k}") for k in ("tokens", "low", "high")})
     base = own.withColumn("_c", heuristic).withColumns({k: F.col(f"_c.{k}") for k in ("tokens", "low", "high")})
     out = {}
-    whole = with_improvement(metrics(counted, []), metrics(base, []), []).first()
+    whole = with_improvement(metrics(counted, []), macro_mape(base, []), []).first()
     if whole is None or not whole["samples"]:
         raise ValueError(f"split {split} has no samples")
     out[split] = whole.asDict()
     stratum = lambda df: df.withColumn("stratum", F.concat_ws("/", "kind", "length_bucket"))
-    for r in with_improvement(metrics(stratum(counted), ["stratum"]), metrics(stratum(base), ["stratum"]), ["stratum"]).collect():
+    for r in with_improvement(metrics(stratum(counted), ["stratum"]), macro_mape(stratum(base), ["stratum"]), ["stratum"]).collect():
         out[f"stratum:{r['stratum']}"] = r.asDict()
     return out
 

@@ -106,6 +106,35 @@ SELECT doc_id, CASE WHEN byte_count = 0 THEN 0 ELSE n END::BIGINT AS tokens,
 FROM p"""
 
 
+def _request_features() -> str:
+    parts = [f"SELECT request_id, '{p}' AS part, {', '.join(f'{x} AS {n}' for n, x in _features(p).items())} FROM req WHERE raw <> ''" for p in ("raw", "wrapped")]
+    return f"WITH {_assembly()} " + " UNION ALL ".join(parts)
+
+
+def _calibrated_requests() -> str:
+    """Counts of joined and wrapped strings by the definition, and what the profile without overhead makes of them."""
+    a = q.REQUEST_ARTIFACT
+
+    def parts(text: str) -> str:
+        f = _features(text)
+        f["average_alphanumeric_run"] = f"(CASE WHEN {f['alphanumeric_runs']} > 0 THEN {f['alphanumeric_runes']}::DOUBLE / {f['alphanumeric_runs']}::DOUBLE ELSE 0::DOUBLE END)"
+        value = f"{a.intercept}::DOUBLE" + "".join(f" + {a.coefficients[k]}::DOUBLE * ({f[k]})::DOUBLE" for k in sorted(a.coefficients))
+        n = f"floor(greatest(1::DOUBLE, {value}) + 0.5::DOUBLE)::BIGINT"
+        return f"{n} AS {text}_x, ({' OR '.join(f'{f[k]} > {v}' for k, v in a.ood_maximums.items())}) AS {text}_ood"
+
+    def ends(text: str) -> str:
+        low = f"(CASE WHEN {text}_ood THEN {a.relative_low * a.ood_multiplier}::DOUBLE ELSE {a.relative_low}::DOUBLE END)"
+        high = f"(CASE WHEN {text}_ood THEN {a.relative_high * a.ood_multiplier}::DOUBLE ELSE {a.relative_high}::DOUBLE END)"
+        some = lambda x: f"(CASE WHEN raw = '' THEN 0 ELSE {x} END)::BIGINT"
+        return f"{some(f'{text}_x')} AS {text}_n, {some(f'greatest(1, floor({text}_x::DOUBLE * (1::DOUBLE + {low})))')} AS {text}_lo, {some(f'greatest({text}_x, ceil({text}_x::DOUBLE * (1::DOUBLE + {high})))')} AS {text}_hi"
+
+    return f"""WITH {_assembly()}, m AS (SELECT DISTINCT id AS model, context_window FROM ({catalog(['sonnet'])})),
+f AS (SELECT *, {parts('raw')}, {parts('wrapped')} FROM req), n AS (SELECT *, {ends('raw')}, {ends('wrapped')}, CASE WHEN raw_ood AND raw <> '' THEN {a.coverage - a.ood_penalty}::DOUBLE ELSE {a.coverage}::DOUBLE END AS confidence FROM f),
+t AS (SELECT *, greatest(0, wrapped_n - raw_n)::BIGINT AS wrapper_tokens, raw_n + greatest(0, wrapped_n - raw_n) AS input_tokens FROM n CROSS JOIN m)
+SELECT request_id, model, n_sources, total_bytes, input_tokens::BIGINT AS input_tokens, (raw_lo + greatest(0, wrapped_lo - raw_hi))::BIGINT AS input_low, (raw_hi + greatest(0, wrapped_hi - raw_lo))::BIGINT AS input_high, input_tokens::BIGINT AS decision_tokens,
+  0::BIGINT AS cached_tokens, wrapper_tokens, 0::BIGINT AS runtime_tokens, wrapper_tokens AS overhead_tokens, greatest(0, input_tokens - context_window)::BIGINT AS overflow, confidence FROM t"""
+
+
 def _assembly(table: str = "documents", request: str = "coalesce(source, '')", label: str = "doc_id::VARCHAR", text: str = "coalesce(text, '')", kind: str = "file") -> str:
     """CTEs that build requests' real strings and count them by the definition."""
     return f"""
@@ -162,7 +191,7 @@ def _profiles() -> str:
 def _conversation() -> str:
     requests = """turns AS (SELECT conv_id::VARCHAR AS request_id, turn, role, coalesce(text, '') AS t FROM conversations),
 sysd AS (SELECT request_id, string_agg(t, chr(10) ORDER BY turn, t) AS s FROM turns WHERE role = 'system' GROUP BY request_id)"""
-    body = _assembly("(SELECT * FROM turns WHERE role <> 'system')", "request_id", "'turn-' || lpad(turn::VARCHAR, 5, '0')", "t", "prompt")
+    body = _assembly("(SELECT * FROM turns WHERE coalesce(role, '') <> 'system')", "request_id", "'turn-' || lpad(turn::VARCHAR, 5, '0')", "t", "prompt")
     joined = "both_ AS (SELECT req.*, coalesce(s, '') AS s FROM req LEFT JOIN sysd USING (request_id))"
     return f"WITH {requests}, {body}, {joined}, {_results(q.COMPARED, profile='chat', system='s', requests='both_')} SELECT {_COLUMNS}, system_tokens FROM res"
 
@@ -426,6 +455,8 @@ w AS (SELECT *, least(tokens, greatest(0, 60000 - coalesce(sum(tokens) OVER (PAR
 r AS (SELECT *, CASE WHEN modality = 'audio' THEN 1000000 ELSE 300000 END AS tin, CASE WHEN modality = 'audio' THEN 100000 ELSE 30000 END AS tc FROM w)
 SELECT l_orderkey, l_linenumber, modality, tokens, cached_n, {micros('tin', 'tokens - cached_n')} AS input_micros, {micros('tc', 'cached_n')} AS cached_micros FROM r""",
         "assemble_wrapped": f"WITH {_assembly()} SELECT request_id, sha256(raw) AS raw_sha256, sha256(wrapped) AS wrapped_sha256, length(wrapped)::BIGINT AS chars FROM req WHERE raw <> ''",
+        "request_features": _request_features(),
+        "analyze_calibrated": _calibrated_requests(),
         "analyze_compare": _compare(),
         "analyze_high_bound": f"WITH {_assembly()}, {_results(q.COMPARED, bound='high')} SELECT {_COLUMNS} FROM res",
         "analyze_profiles": _profiles(),

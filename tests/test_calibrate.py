@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillcount.functions import counters as cn
 from quillcount.functions.text import CLASSES, COUNTERS, features, with_classes
 from quillcount.operators import calibrate as cal
+from quillcount.operators import quantiles
 
 BASE = cn.Artifact("t", "linear", "c1", 0.0, {"byte_count": 1.0}, 0.0, 0.0, 0.95)
 
@@ -67,3 +68,53 @@ def test_gram_of_all_features_gives_each_fit(spark):
     for own in (["a"], ["b"], ["a", "b"]):
         assert cal.fit_features(m, ["a", "b"], own)[0] == pytest.approx(cal.fit_linear(rows, own, "y")[0], rel=1e-9)
     assert cal.fit_features(m, ["a", "b"], ["a"])[1]["a"] == pytest.approx(3.0)
+
+
+def test_sortable_numbers_keep_their_order(spark):
+    import math
+    import random
+    import struct
+
+    rng = random.Random(4)
+    values = [struct.unpack("<d", rng.randbytes(8))[0] for _ in range(4000)] + [s * 2.0**e for e in range(-1074, 1024, 3) for s in (1, -1)]
+    values += [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, float("inf"), float("-inf"), 0.1, 1 / 3, 1.7976931348623157e308, math.nextafter(1, 2), math.nextafter(1, 0), math.nextafter(1024, 0)]
+    values = [v for v in values if not math.isnan(v)] + [float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", quantiles.sortable(F.col("v")).alias("b")).select("v", "b", quantiles.double_of(F.col("b")).alias("back")).collect()
+    for r in rows:
+        if not math.isnan(r["v"]):
+            bits = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+            assert r["b"] == (bits if r["v"] > 0 else -bits) and r["back"] == r["v"]
+    nan = [r for r in rows if math.isnan(r["v"])][0]
+    assert math.isnan(nan["back"]) and nan["b"] > max(r["b"] for r in rows if not math.isnan(r["v"]))
+
+
+def test_quantiles_of_several_columns_and_null_keys(spark):
+    import random
+
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, rng.gauss(0, 3), rng.randint(-3, 3) * 1.0, 1e-300 * rng.random(), -1e200]), rng.random() * 10**6) for _ in range(3000)] + [("only", None, 2.0)]
+    df = spark.createDataFrame(data, "k string, v double, w double").repartition(5)
+    asked = {"lo": ("v", 0.025), "mid": ("w", 0.5), "hi": ("v", 0.975), "first": ("v", 0.0), "last": ("w", 1.0)}
+    got = {r["k"]: r.asDict() for r in quantiles.nearest_ranks(df, ["k"], asked).collect()}
+    for k in ("a", "b", None, "only"):
+        for name, (c, q) in asked.items():
+            own = sorted(r["vw".index(c) + 1] for r in data if r[0] == k and r["vw".index(c) + 1] is not None)
+            assert got[k][name] == (own[max(1, math_ceil(q, len(own))) - 1] if own else None), (k, name)
+    assert quantiles.nearest_ranks(df.limit(0), ["k"], asked).collect() == []
+    assert quantiles.nearest_ranks(df.limit(0), [], asked).collect()[0].asDict() == dict.fromkeys(asked)
+
+
+def math_ceil(q, n):
+    """ceil(q n) as a double product gives it."""
+    import math
+
+    return math.ceil(q * n)
+
+
+def test_metrics_of_null_keys_and_groups_of_several_kinds(spark):
+    rows = [(None, "x", "g1", 10, 12, 9, 13), (None, "y", "g1", 10, 8, 9, 9), ("s", "x", "g2", 0, 1, 1, 1), ("s", "x", "g3", 4, 4, 4, 4)]
+    df = spark.createDataFrame(rows, "split string, kind string, grp string, y long, tokens long, low long, high long")
+    got = {r["split"]: r.asDict() for r in cal.metrics(df, ["split"]).collect()}
+    assert got[None] == {"split": None, "samples": 2, "groups": 1, "mape": pytest.approx(0.2), "macro_mape": pytest.approx(0.2), "p95": pytest.approx(0.2), "bias": pytest.approx(0.0), "coverage": 0.5, "above_high": 0.5}
+    assert got["s"]["groups"] == 2 and got["s"]["p95"] == 1.0 and got["s"]["coverage"] == 0.5
+    assert cal.metrics(df, []).first()["samples"] == 4 and cal.metrics(df.limit(0), []).first()["samples"] == 0 and cal.metrics(df.limit(0), ["split"]).collect() == []
