@@ -41,10 +41,12 @@ from .common import configured, discard, staged, table
 #: Least occurrences of a candidate, most words, share in hundredths that drops a part, phrases for each language.
 LEAST, LONGEST, ABSORBED, PHRASES = 30, 4, 80, 2000
 #: Bytes of text in a shard, unless a single piece is longer.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 #: Bitmap entries that are extended at once.
 GROUP = 1 << 16
 WIDTH = 16
+#: Bits of a shard's number within its task, and of a count that is sent beside it.
+SHARD_BITS, COUNT_BITS = 23, 20
 #: Parts of a language that are ranked apart before they are ranked together.
 PARTS = 64
 
@@ -106,7 +108,7 @@ class Bitmaps:
 
     def packed(self) -> bytes:
         step = np.diff(self.block, prepend=np.int32(0)).astype(np.uint32)
-        return zstandard.ZstdCompressor(level=1).compress(np.array([len(step)], np.int64).tobytes() + step.tobytes() + self.word.tobytes() + self.bits.astype(np.uint16).tobytes())
+        return zstandard.ZstdCompressor(level=3).compress(np.array([len(step)], np.int64).tobytes() + step.tobytes() + self.word.tobytes() + self.bits.astype(np.uint16).tobytes())
 
     @classmethod
     def unpacked(cls, data: bytes) -> Bitmaps:
@@ -177,7 +179,7 @@ def shard_of(texts: list[bytes]):
     inside = kind == _OTHER
     edge = np.diff(np.concatenate(([0], inside.astype(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    piece = np.cumsum(kind == _CUT)[start]
+    piece = np.cumsum(kind == _CUT, dtype=np.int32)[start]
     position = np.arange(len(start)) + (np.concatenate(([0], np.cumsum(piece[1:] != piece[:-1]))) if len(start) else 0)
     offsets = np.concatenate(([0], np.cumsum(end - start))).astype(np.int64)
     found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
@@ -203,7 +205,7 @@ def shards(docs: DataFrame, lang: str = "lang", text: str = "text", limit: int =
             made += 1
             one = pa.array([0, len(words)], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(task << 32) + made]), pa.array([name]), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(n, pa.int64())), pa.array([maps.packed()], pa.binary())],
+                [pa.array([(task << SHARD_BITS) + made]), pa.array([name]), pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, pa.array(n, pa.int64())), pa.array([maps.packed()], pa.binary())],
                 names=["shard", "lang", "words", "occurrences", "bitmaps"],
             )
 
@@ -225,10 +227,10 @@ _KEPT = "shard long, words array<long>, bitmaps binary"
 
 
 def _kept_bitmaps(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A shard's bitmaps with only the words of ``right`` (place, word), renumbered in the order of ids."""
+    """A shard's bitmaps with only the words of ``right`` (place, id), renumbered in the order of ids."""
     rows = []
     if left.num_rows and right.num_rows:
-        place, ids = right.column("place").to_numpy(), right.column("word").to_numpy()
+        place, ids = right.column("place").to_numpy(), right.column("id").to_numpy()
         order = np.argsort(ids)
         place, ids = place[order], ids[order]
         maps = Bitmaps.unpacked(left.column("bitmaps")[0].as_py())
@@ -239,14 +241,16 @@ def _kept_bitmaps(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def _pairs_of(batches):
+    most = (1 << COUNT_BITS) - 1
     for batch in batches:
         for shard, ids, data in zip(*[batch.column(i) for i in range(3)], strict=True):
             words = ids.values.to_numpy()
             for known, n in phrases(Bitmaps.unpacked(data.as_py()), len(words), 2):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), shard.as_py())), *[pa.array(words[known[:, i]]) for i in (0, 1)], pa.array(n)],
-                    names=["shard", "w1", "w2", "n"],
-                )
+                # a count that does not fit is sent in several rows
+                times = -(-n // most)
+                row = np.repeat(np.arange(len(n)), times)
+                part = np.minimum(n[row] - most * (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)), most)
+                yield pa.RecordBatch.from_arrays([*[pa.array(words[known[row, i]]) for i in (0, 1)], pa.array((shard.as_py() << COUNT_BITS) + part)], names=["w1", "w2", "shard_n"])
 
 
 def _longer(longest: int):
@@ -257,7 +261,7 @@ def _longer(longest: int):
         if left.num_rows and right.num_rows:
             words = left.column("words")[0].values.to_numpy()
             place = [np.searchsorted(words, right.column(w).to_numpy()) for w in ("w1", "w2")]
-            pairs = np.sort(place[0] * len(words) + place[1])
+            pairs = np.unique(place[0] * len(words) + place[1])
             for known, n in phrases(Bitmaps.unpacked(left.column("bitmaps")[0].as_py()), len(words), longest, pairs):
                 ids = words[known]
                 ids = np.column_stack([ids, np.zeros((len(n), longest - ids.shape[1]), np.int64)])
@@ -279,18 +283,21 @@ class Counted:
 def counted(docs: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, limit: int = SHARD_BYTES) -> Counted:
     """Exact counts, by language, of all phrases of up to ``longest`` words with ``least`` occurrences or more."""
     made = staged(shards(docs, lang, text, limit), "collocation-shards")
-    thin = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "occurrences")).alias("place", "x")).select("shard", "lang", "place", "x.words", "x.occurrences")
-    sums = thin.groupBy("lang", F.col("words").alias("word")).agg(F.sum("occurrences").alias("f"))
     totals = staged(made.select("lang", F.aggregate("occurrences", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
-    words = staged(sums.where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id() + 1), "collocation-words")
-    known = thin.join(words.select("lang", F.col("word").alias("words"), F.col("id").alias("word")), ["lang", "words"]).select(F.col("shard").alias("of"), "place", "word")
-    kept = staged(made.select("shard", "bitmaps").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_kept_bitmaps, _KEPT), "collocation-bitmaps")
-    discard(made)
+    # a word has a row for each shard; the least of their numbers is its id, so sums and ids are one shuffle
+    thin = made.select("shard", "lang", F.posexplode(F.arrays_zip("words", "occurrences")).alias("place", "x")).select("shard", "lang", "place", F.col("x.words").alias("word"), F.col("x.occurrences").alias("n"))
+    own = Window.partitionBy("lang", "word")
+    known = thin.withColumn("row", F.monotonically_increasing_id() + 1).withColumns({"f": F.sum("n").over(own), "id": F.min("row").over(own)}).where(F.col("f") >= least)
+    known = staged(known.select(F.col("shard").alias("of"), "place", "lang", "word", "f", "id"), "collocation-known")
+    words = staged(known.groupBy("id").agg(F.first("lang").alias("lang"), F.first("word").alias("word"), F.first("f").alias("f")), "collocation-words")
+    kept = made.select("shard", "bitmaps").groupBy("shard").cogroup(known.select("of", "place", "id").groupBy("of"))
+    kept = staged(kept.applyInArrow(_kept_bitmaps, _KEPT), "collocation-bitmaps")
+    discard(made, known)
 
     # a pair has a row for each shard, so the sum over all shards and the way back to them are one shuffle
-    pairs = kept.mapInArrow(_pairs_of, "shard long, w1 long, w2 long, n long")
-    pairs = pairs.withColumn("f", F.sum("n").over(Window.partitionBy("w1", "w2"))).where(F.col("f") >= least)
-    pairs = staged(pairs.drop("n"), "collocation-pairs")
+    pairs = kept.mapInArrow(_pairs_of, "w1 long, w2 long, shard_n long")
+    pairs = pairs.withColumn("f", F.sum(F.col("shard_n").bitwiseAND((1 << COUNT_BITS) - 1)).over(Window.partitionBy("w1", "w2"))).where(F.col("f") >= least)
+    pairs = staged(pairs.select(F.shiftright("shard_n", COUNT_BITS).alias("shard"), "w1", "w2", "f"), "collocation-pairs")
     zero = [F.lit(0).cast("long").alias(f"w{i}") for i in range(3, longest + 1)]
     found = pairs.groupBy("w1", "w2").agg(F.first("f").alias("f")).select("w1", "w2", *zero, F.lit(2).alias("size"), "f")
     if longest > 2:

@@ -113,3 +113,19 @@ def test_scores_are_exact_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 10**14)], "lang string, n long")
     row = co.collocations(co.Counted(words, phrases, totals)).collect()[0]
     assert row["score"] == 2_000_000 * (big - 1) // (3 * big + 1) and 2_000_000 * (big - 1) > 2**63
+
+
+def test_counts_that_do_not_fit_are_sent_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(co, "COUNT_BITS", 3)
+    _, n, maps = co.shard_of([b"a b " * 20 + b". c a b"])
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([[10, 20, 30]]), pa.array([maps.packed()])], names=["shard", "words", "bitmaps"])
+    got = Counter()
+    rows = 0
+    for out in co._pairs_of([batch]):
+        for r in out.to_pylist():
+            assert r["shard_n"] >> 3 == 5 and 0 < r["shard_n"] & 7 <= 7
+            got[r["w1"], r["w2"]] += r["shard_n"] & 7
+            rows += 1
+    assert got == {(10, 20): 21, (20, 10): 19, (30, 10): 1} and rows == 3 + 3 + 1 and n.tolist() == [21, 21, 1]
