@@ -219,8 +219,16 @@ class Counters:
         return frozenset(n for a in found for n in (*a.coefficients, *a.ood_maximums))
 
     def of_counters(self, tokenizer: str, counters: dict[str, Column], invalid: Column | None = None) -> Column:
-        """Count by an artifact from the counters of a text."""
-        return calibrated(self.artifacts[tokenizer], vector(counters, invalid), require_accepted=True)
+        """Count by an artifact from the counters of a text, which are bound once, so that the expression stays small."""
+        artifact = self.artifacts[tokenizer]
+        bound = F.struct(*[c.alias(k) for k, c in counters.items()], (F.lit(False) if invalid is None else invalid).alias("invalid"))
+        count = lambda x: calibrated(artifact, vector({k: x[k] for k in counters}, x["invalid"]), require_accepted=True)
+        return F.transform(F.array(bound), count)[0]
+
+    def of_nothing(self, tokenizer: str) -> Column:
+        """Count of the empty text by an artifact."""
+        a, zero = self.artifacts[tokenizer], F.lit(0)
+        return _struct(zero, zero, zero, f"calibrated:{a.family}:{a.version}", a.version, F.lit(a.coverage))
 
     def of_text(self, tokenizer: str, text: Column) -> Column:
         """Count of a whole text for counters that are not additive."""
@@ -229,7 +237,7 @@ class Counters:
         if tokenizer in self.artifacts:
             from .text import features
 
-            return calibrated(self.artifacts[tokenizer], vector(features(text)), require_accepted=True)
+            return self.of_counters(tokenizer, features(text))
         if tokenizer in self.vocabularies:
             n = byte_pair(self.vocabularies[tokenizer], text)
             return _struct(n, n, n, f"local-bpe:{tokenizer}", tokenizer, F.lit(1.0))

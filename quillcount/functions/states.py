@@ -57,37 +57,46 @@ def state(text: Column, needed: frozenset | None = None) -> Column:
     ).cast(STATE)
 
 
-def _combined_run(a: Column, b: Column, k: str) -> Column:
-    x, y = a[k], b[k]
-    meet = ((x["right"] > 0) & (y["left"] > 0)).cast("long")
-    return F.struct(
-        (x["runs"] + y["runs"] - meet).alias("runs"), F.greatest(x["longest"], y["longest"], x["right"] + y["left"]).alias("longest"),
-        F.when(x["left"] == a["size"], a["size"] + y["left"]).otherwise(x["left"]).alias("left"), F.when(y["right"] == b["size"], b["size"] + x["right"]).otherwise(y["right"]).alias("right"),
-    ).alias(k)
+def _lines(*fields: tuple[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")"
 
 
-def combined(a: Column, b: Column) -> Column:
-    """The state of the text of ``a`` followed by that of ``b``."""
-    joint = F.concat(a["tail"], b["head"])
-    return F.struct(
-        (a["size"] + b["size"]).alias("size"), F.zip_with(a["sums"], b["sums"], lambda x, y: x + y).alias("sums"), *[_combined_run(a, b, k) for k in RUNS],
-        (a["keywords"] + b["keywords"] + F.when(a["word"] | b["word"], F.lit(0).cast("long")).otherwise(_is_keyword(joint))).alias("keywords"),
-        F.when(a["word"], F.left(F.concat(a["head"], b["head"]), F.lit(REACH))).otherwise(a["head"]).alias("head"),
-        F.when(b["word"], F.right(F.concat(a["tail"], b["tail"]), F.lit(REACH))).otherwise(b["tail"]).alias("tail"), (a["word"] & b["word"]).alias("word"),
-    ).cast(STATE)
+def _words(name: str) -> str:
+    return f"{name} IN ({', '.join(repr(w) for w in KEYWORDS)})"
+
+
+def _joined_run(k: str) -> str:
+    """The runs of a class in the text of a followed by that of b."""
+    return _lines(
+        ("runs", f"a.{k}.runs + b.{k}.runs - IF(a.{k}.right > 0 AND b.{k}.left > 0, 1L, 0L)"), ("longest", f"greatest(a.{k}.longest, b.{k}.longest, a.{k}.right + b.{k}.left)"),
+        ("left", f"IF(a.{k}.left = a.size, a.size + b.{k}.left, a.{k}.left)"), ("right", f"IF(b.{k}.right = b.size, b.size + a.{k}.right, b.{k}.right)"),
+    )
+
+
+# SQL text, for expressions of this size are built much faster that way than call by call
+_EMPTY_RUN = _lines(("runs", "0L"), ("longest", "0L"), ("left", "0L"), ("right", "0L"))
+_EMPTY = _lines(("size", "0L"), ("sums", f"array({', '.join(['0L'] * len(SUMS))})"), *[(k, _EMPTY_RUN) for k in RUNS], ("keywords", "0L"), ("head", "''"), ("tail", "''"), ("word", "true"))
+_JOINED = _lines(
+    ("size", "a.size + b.size"), ("sums", "zip_with(a.sums, b.sums, (x, y) -> x + y)"), *[(k, _joined_run(k)) for k in RUNS],
+    # a word that is open on both sides of the joint is closed, unless it is all there is on one of them
+    ("keywords", f"a.keywords + b.keywords + IF(NOT a.word AND NOT b.word AND {_words('concat(a.tail, b.head)')}, 1L, 0L)"),
+    ("head", f"IF(a.word, left(concat(a.head, b.head), {REACH}), a.head)"), ("tail", f"IF(b.word, right(concat(a.tail, b.tail), {REACH}), b.tail)"), ("word", "a.word AND b.word"),
+)
 
 
 def empty() -> Column:
     """The state of the empty text."""
-    zero, none = F.lit(0).cast("long"), F.lit("")
-    run = F.struct(*[zero.alias(k) for k in ("runs", "longest", "left", "right")])
-    whole = F.struct(zero.alias("size"), F.array(*[zero] * len(SUMS)).alias("sums"), *[run.alias(k) for k in RUNS], zero.alias("keywords"), none.alias("head"), none.alias("tail"), F.lit(True).alias("word"))
-    return whole.cast(STATE)
+    return F.expr(f"CAST({_EMPTY} AS {STATE})")
 
 
-def folded(states: Column) -> Column:
-    """The state of the texts of an array of states, one after the other."""
-    return F.aggregate(states, empty(), combined)
+def folded(states: str) -> Column:
+    """The state of the texts of an array of states, given by its name, one after the other."""
+    return F.expr(f"aggregate({states}, CAST({_EMPTY} AS {STATE}), (a, b) -> CAST({_JOINED} AS {STATE}))")
+
+
+def combined(a: str, b: str) -> Column:
+    """The state of the text of ``a`` followed by that of ``b``, both given by name."""
+    return folded(f"array({a}, {b})")
 
 
 def counters(s: Column) -> dict[str, Column]:
@@ -115,23 +124,14 @@ def folded_by(rows: DataFrame, key: list[str], order: list[str], columns: dict[s
     """
     rows = rows.select(*key, *order, *columns).repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).select(*key, F.monotonically_increasing_id().alias("_at"), *columns)
     rows = rows.withColumns({"_range": F.shiftright("_at", 33), "_stretch": F.shiftright("_at", FOLDED_ROWS.bit_length() - 1)})
+    gaps = {c: f"gap_{i}" for i, (c, between) in enumerate(columns.items()) if between}
+    rows = rows.withColumns({g: state(F.lit(columns[c]), needed) for c, g in gaps.items()})
     for by in ([*key, "_range", "_stretch"], [*key, "_range"], key):
-        rows = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", *columns))).alias("_s"), F.min("_at").alias("_at"))
-        rows = rows.select(*by, "_at", *[folded(_apart(F.col("_s")[c], between, needed)).alias(c) for c, between in columns.items()])
-    return rows.drop("_at")
-
-
-def _apart(parts: Column, between: str, needed: frozenset | None) -> Column:
-    """An array of states with that of a constant text between two."""
-    if not between:
-        return parts
-    gap = state(F.lit(between), needed)
-    return F.flatten(F.transform(parts, lambda x, i: F.when(i > 0, F.array(gap, x)).otherwise(F.array(x))))
-
-
-def wrapped(parts: list[Column]) -> Column:
-    """The state of constant texts and states, one after the other."""
-    return folded(F.array(*parts))
+        rows = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", *columns, *gaps.values()))).alias("_s"), F.min("_at").alias("_at"))
+        apart = {c: f"flatten(transform(_s, (x, i) -> IF(i > 0, array(x.{g}, x.{c}), array(x.{c}))))" for c, g in gaps.items()}
+        kept = [F.expr(f"_s[0].{g}").alias(g) for g in gaps.values()]
+        rows = rows.select(*by, "_at", *[folded(apart.get(c, f"transform(_s, x -> x.{c})")).alias(c) for c in columns], *kept)
+    return rows.drop("_at", *gaps.values())
 
 
 def needs(names) -> frozenset:

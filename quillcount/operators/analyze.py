@@ -110,12 +110,11 @@ def request_states(sources: DataFrame, features=boundary.COUNTERS) -> DataFrame:
     Sources are in the order (kind, label, digest of the text); only sums that ``features`` need are counted.
     """
     needed = boundary.needs(features)
-    of = lambda text: boundary.state(text, needed)
-    text = F.col("text")
-    some = sources.where(F.octet_length(text) > 0).select("request_id", "kind", "label", F.sha2(text.cast("binary"), 256).alias("digest"), of(text).alias("raw_state"), F.endswith(text, F.lit("\n")).alias("ended"), of(F.translate("label", '"', "'")).alias("name"))
-    end = F.when(F.col("ended"), boundary.empty()).otherwise(of(F.lit("\n")))
-    parts = [of(F.lit('<source label="')), F.col("name"), of(F.lit('">\n')), F.col("raw_state"), end, of(F.lit("</source>\n"))]
-    rows = some.withColumn("wrapped_state", boundary.wrapped(parts))
+    text = F.coalesce("text", F.lit(""))
+    end = F.when(F.endswith(text, F.lit("\n")), F.lit("")).otherwise(F.lit("\n"))
+    parts = F.array(F.lit('<source label="'), F.translate("label", '"', "'"), F.lit('">\n'), text, end, F.lit("</source>\n"))
+    some = sources.where(F.octet_length("text") > 0).select("request_id", "kind", "label", F.sha2(text.cast("binary"), 256).alias("digest"), F.transform(parts, lambda t: boundary.state(t, needed)).alias("parts"))
+    rows = some.withColumns({"raw_state": F.col("parts")[3], "wrapped_state": boundary.folded("parts")})
     order = ["kind", "label", "digest"]
     return boundary.folded_by(rows, ["request_id"], order, {"raw_state": "\n", "wrapped_state": ""}, needed)
 
@@ -142,6 +141,8 @@ def _sums(prefix: str) -> dict[str, Column]:
 
 def _constant_count(counters: Counters, tokenizer: str, text: str) -> Column:
     """Count of one constant text, as an expression (its class sums are folded by Catalyst)."""
+    if counters.stateful(tokenizer) and not text:
+        return counters.of_nothing(tokenizer)
     if not counters.additive(tokenizer):
         return counters.of_text(tokenizer, F.lit(text))
     if not text:

@@ -33,9 +33,9 @@ def test_a_thousand_cuts(spark):
     df = spark.createDataFrame(rows, "text string, parts array<string>").repartition(4)
     df = df.select("text", F.transform("parts", lambda p: states.state(p)).alias("s"), *[c.alias(f"w_{k}") for k, c in features(F.col("text")).items()])
     # from the left, and by halves
-    half = F.floor(F.size("s") / 2).cast("int")
-    left, halves = states.folded(F.col("s")), states.combined(states.folded(F.slice("s", 1, half)), states.folded(F.slice("s", half + 1, F.size("s"))))
-    df = df.select("*", left.alias("left"), halves.alias("halves"))
+    half = "CAST(floor(size(s) / 2) AS int)"
+    df = df.select("*", states.folded(f"slice(s, 1, {half})").alias("a"), states.folded(f"slice(s, {half} + 1, size(s))").alias("b"))
+    df = df.select("*", states.folded("s").alias("left"), states.combined("a", "b").alias("halves"))
     df = df.select("*", *[c.alias(f"{p}_{k}") for p in ("left", "halves") for k, c in states.counters(F.col(p)).items()])
     for r in df.collect():
         for k in COUNTERS:
