@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import cost_micros, modality_tiers, tier_at
+from .running import ranged, with_before
 
 
 def scenario_names(outputs: int) -> list[str]:
@@ -38,19 +39,25 @@ def scenarios(results: DataFrame, outputs: list[int], reasoning: int = 0) -> Dat
     return rows.withColumn("cost_micros", total).drop("s", "tier", "cached")
 
 
-def priced_components(rows: DataFrame, key: list[str], order: list[str], tokens: str, cached: Column, total: Column, modality: str = "modality") -> DataFrame:
+def priced_components(rows: DataFrame, key: list[str], order: list[str], tokens: str, cached: Column, total: Column, modality: str = "modality", large: bool = False) -> DataFrame:
     """Components with the cached share, in order, and both costs at their modality's tier.
 
     The cached tokens are used up greedily, which is a running sum: a
-    component's share is what is left after all before it.
+    component's share is what is left after all before it. Where requests may
+    be ``large``, the sum is taken in two levels, so that one request is spread
+    over tasks; otherwise a request is one group of a window.
     """
-    before = F.coalesce(F.sum(tokens).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    if large:
+        rows = with_before(ranged(rows, key, order), key, order, {"_before": F.col(tokens)})
+        before = F.col("_before")
+    else:
+        before = F.coalesce(F.sum(tokens).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     rows = rows.withColumn("cached_n", F.least(F.col(tokens), F.greatest(F.lit(0).cast("long"), cached - before)))
     rows = rows.withColumn("tier", tier_at(modality_tiers(F.col("tiers"), F.col("modality_tiers"), F.col(modality)), total))
     return rows.withColumns({
         "input_micros": cost_micros(F.col("tier.input"), F.col(tokens) - F.col("cached_n")),
         "cached_micros": cost_micros(F.col("tier.cached"), F.col("cached_n")),
-    }).drop("tier")
+    }).drop("tier", "_before", "_range")
 
 
 def exit_codes(results: DataFrame, key: list[str], max_tokens: int = 0, max_cost_micros: int = 0, fail_on_overflow: bool = False, require_complete: bool = False) -> DataFrame:

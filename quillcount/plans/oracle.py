@@ -349,6 +349,21 @@ step(r, n, total, doc_id, skip) AS (
 SELECT doc_id, skip IS NULL AS taken, skip FROM step WHERE n > 0"""
 
 
+def _limit_fold_one_request() -> str:
+    """One step for each document; a limit's reason comes before that of the file itself."""
+    say = lambda text: f"'skip ' || f.doc_id || ': {text}'"
+    limit = f"""CASE WHEN f.size > 9000 THEN {say('file is over the limit')} WHEN step.total + f.size > 400000 THEN {say('total input limit reached')} WHEN f.m AND f.size > 5000 THEN {say('media is over the limit')}
+    WHEN f.m AND step.media >= 60 THEN {say('media count limit reached')} WHEN f.m AND f.doc_id % 11 = 5 THEN {say('unreadable')} WHEN f.m AND f.doc_id % 700 > 600 THEN {say('too many pages')} END"""
+    dropped = "CASE WHEN NOT f.m AND f.doc_id % 13 = 6 THEN 'skip generated: ' || f.doc_id END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS size, doc_id % 7 = 3 AS m FROM documents),
+f AS (SELECT *, CASE WHEN m THEN size ELSE size - size % 5 END AS added, row_number() OVER (ORDER BY doc_id) AS n FROM d),
+step(n, total, media, doc_id, skip, complete) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, true
+  UNION ALL SELECT x.n, CASE WHEN x.skip IS NULL THEN x.total + x.added ELSE x.total END, CASE WHEN x.skip IS NULL AND x.m THEN x.media + 1 ELSE x.media END, x.doc_id, x.skip, x.complete
+  FROM (SELECT f.n, step.total, step.media, f.added, f.m, f.doc_id, coalesce({limit}, {dropped}) AS skip, ({limit}) IS NULL AS complete FROM step JOIN f ON f.n = step.n + 1) x)
+SELECT doc_id, skip IS NULL AS taken, skip, complete FROM step WHERE n > 0"""
+
+
 def _scenarios() -> str:
     names = ["gpt", "sonnet", "gemini"]
     parts = []
@@ -454,6 +469,11 @@ SELECT model, modality, sum({micros('tin', 'tokens')})::BIGINT AS input_micros,
 w AS (SELECT *, least(tokens, greatest(0, 60000 - coalesce(sum(tokens) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, tokens, modality ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS cached_n FROM c),
 r AS (SELECT *, CASE WHEN modality = 'audio' THEN 1000000 ELSE 300000 END AS tin, CASE WHEN modality = 'audio' THEN 100000 ELSE 30000 END AS tc FROM w)
 SELECT l_orderkey, l_linenumber, modality, tokens, cached_n, {micros('tin', 'tokens - cached_n')} AS input_micros, {micros('tc', 'cached_n')} AS cached_micros FROM r""",
+        "price_components_one_request": f"""WITH c AS (SELECT l_orderkey, l_linenumber, (l_quantity * 1000)::BIGINT AS tokens, CASE WHEN l_returnflag = 'R' THEN 'audio' ELSE 'text' END AS modality FROM lineitem),
+w AS (SELECT *, least(tokens, greatest(0, 20000500 - coalesce(sum(tokens) OVER (ORDER BY l_orderkey, l_linenumber, tokens, modality ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS cached_n FROM c),
+r AS (SELECT *, CASE WHEN modality = 'audio' THEN 1000000 ELSE 300000 END AS tin, CASE WHEN modality = 'audio' THEN 100000 ELSE 30000 END AS tc FROM w)
+SELECT l_orderkey, l_linenumber, modality, tokens, cached_n, {micros('tin', 'tokens - cached_n')} AS input_micros, {micros('tc', 'cached_n')} AS cached_micros FROM r""",
+        "limit_fold_one_request": _limit_fold_one_request(),
         "assemble_wrapped": f"WITH {_assembly()} SELECT request_id, sha256(raw) AS raw_sha256, sha256(wrapped) AS wrapped_sha256, length(wrapped)::BIGINT AS chars FROM req WHERE raw <> ''",
         "request_features": _request_features(),
         "analyze_calibrated": _calibrated_requests(),

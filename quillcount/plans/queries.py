@@ -120,6 +120,27 @@ def price_components_greedy(spark, d):
     return out.select("l_orderkey", "l_linenumber", "modality", "tokens", "cached_n", "input_micros", "cached_micros")
 
 
+def price_components_one_request(spark, d):
+    """All line items as the components of one request, whose cached tokens run out somewhere among them."""
+    rows = _t(spark, d, "lineitem").select(F.lit("all").alias("request_id"), "l_orderkey", "l_linenumber", (F.col("l_quantity") * 1_000).cast("long").alias("tokens"), F.when(F.col("l_returnflag") == "R", "audio").otherwise("text").alias("modality"))
+    rows = rows.crossJoin(F.broadcast(_models(spark, ["gemini-2.5-flash"]).select("tiers", "modality_tiers")))
+    order = ["l_orderkey", "l_linenumber", "tokens", "modality"]
+    out = priced_components(rows, ["request_id"], order, "tokens", F.lit(20_000_500).cast("long"), F.lit(150_000).cast("long"), large=True)
+    return out.select("l_orderkey", "l_linenumber", "modality", "tokens", "cached_n", "input_micros", "cached_micros")
+
+
+def limit_fold_one_request(spark, d):
+    """The order-dependent limits over all documents as files of one request; every seventh stands for a medium, some are bad or generated."""
+    docs = _t(spark, d, "documents")
+    size, is_media = F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.col("doc_id") % 7 == 3
+    files = docs.select(
+        F.lit("all").alias("request_id"), F.col("doc_id").alias("sequence"), F.col("doc_id").cast("string").alias("label"), size.alias("size"), (size - size % 5).alias("text_size"), is_media.alias("is_media"),
+        F.when(is_media & (F.col("doc_id") % 11 == 5), "unreadable").alias("bad"), (F.col("doc_id") % 700).cast("int").alias("pages"), F.lit(None).cast("long").alias("duration_ms"), F.when(F.col("doc_id") % 13 == 6, "generated").alias("drop"),
+    )
+    out = co.fold_limits(files, co.Limits(file=9_000, total=400_000, media=5_000, media_count=60))
+    return out.select(F.col("sequence").alias("doc_id"), "taken", "skip", "complete")
+
+
 def _documents(spark, d) -> DataFrame:
     docs = _spread(_t(spark, d, "documents").select("doc_id", "source", "text"))
     return an.text_sources(docs, F.coalesce("source", F.lit("")), F.col("doc_id"), F.col("text"))
@@ -448,7 +469,7 @@ def media_headers(spark, d):
 
 
 ALL = (
-    text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, request_features, analyze_calibrated,
+    text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, price_components_one_request, limit_fold_one_request, request_features, analyze_calibrated,
     analyze_compare, analyze_high_bound, analyze_profiles, conversation_request, top_sources, threshold_exit, normalize_hash, generated_filter, ignore_filter, override_last_wins, limit_fold,
     image_patch, audio_duration, media_components, media_requests, diff_models, diff_components, diff_sources, history_topk, calib_split, calib_digests, calib_maximums, calib_metrics, calib_strata,
     calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect, media_headers,

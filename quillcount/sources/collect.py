@@ -14,6 +14,8 @@ import re
 import subprocess
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,41 +176,87 @@ def mismatch(path: Column, mime: Column) -> Column:
     return F.when(wanted.isNotNull() & (wanted != mime), F.concat(path, F.lit(": extension suggests "), wanted, F.lit(" but content is "), mime))
 
 
+#: Files that are composed at once: a stretch that fits, or fails, as a whole is one step.
+COMPOSED = 1024
+
+
+def running_totals(size, added, is_media, free, total: int, media: int, limits: Limits):
+    """(totals before each file, media before each file, total and media after the last) of files in order.
+
+    ``free`` files are taken if the totals let them in; others never are. All
+    free files are first supposed to be taken: that is right up to the first one
+    that does not fit, from which it goes on without those too large ever to fit.
+    """
+    totals, counts = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+    for start in range(0, len(size), COMPOSED):
+        at, stop = start, min(start + COMPOSED, len(size))
+        own = free[start:stop] & (size[start:stop] <= limits.total - total)
+        while at < stop:
+            block = slice(at, stop)
+            on = own[at - start :]
+            t, m = np.where(on, added[block], 0), (on & is_media[block]).astype(np.int64)
+            totals[block], counts[block] = total + np.cumsum(t) - t, media + np.cumsum(m) - m
+            out = np.flatnonzero(on & ((totals[block] + size[block] > limits.total) | (is_media[block] & (counts[block] >= limits.media_count))))
+            if not len(out):
+                total, media = total + int(t.sum()), media + int(m.sum())
+                break
+            at += int(out[0]) + 1
+            total, media = int(totals[at - 1]), int(counts[at - 1])
+            own[at - start :] &= (size[at:stop] <= limits.total - total) & ~(is_media[at:stop] & (media >= limits.media_count))
+    return totals, counts, total, media
+
+
 def fold_limits(files: DataFrame, limits: Limits = Limits(), key: str = "request_id") -> DataFrame:
     """``files`` with ``taken`` and ``skip`` (why not), deciding in ``sequence`` order within each request.
 
     ``files``: size, text_size (of the normalised text), is_media, bad (an error
     or null), pages, duration_ms, drop (binary or generated: warned, no limit).
-    A request's files are one bounded list; requests are spread over tasks.
+    What does not depend on other files is decided natively. The totals before
+    each file are a fold: narrow rows are sorted by request and streamed, in
+    bounded memory however many files a request has.
     """
     long = lambda x: F.lit(x).cast("long")
-    item = F.struct("sequence", "label", "size", "text_size", "is_media", "bad", "pages", "duration_ms", "drop")
-    start = F.struct(long(0).alias("total"), long(0).alias("media"), F.array().cast("array<struct<sequence:bigint,skip:string,complete:boolean>>").alias("out"))
-
+    c = F.col
+    say = lambda text: F.concat(F.lit("skip "), c("label"), F.lit(text))
+    over = c("size") > max(limits.file, limits.media)
     # The sentences of skipped files, which readers match
-    def step(state: Column, f: Column) -> Column:
-        say = lambda text: F.concat(F.lit("skip "), f["label"], F.lit(text))
-        limit = (
-            F.when(f["size"] > max(limits.file, limits.media), say(": file is over the limit"))
-            .when(state["total"] + f["size"] > limits.total, say(": total input limit reached"))
-            .when(f["is_media"] & (f["size"] > limits.media), say(": media is over the limit"))
-            .when(f["is_media"] & (state["media"] >= limits.media_count), say(": media count limit reached"))
-            .when(f["is_media"] & f["bad"].isNotNull(), F.concat(F.lit("skip "), f["label"], F.lit(": "), f["bad"]))
-            .when(f["is_media"] & (F.coalesce(f["pages"], F.lit(0)) > limits.pages), say(": too many pages"))
-            .when(f["is_media"] & (F.coalesce(f["duration_ms"], long(0)) > limits.duration_ms), say(": too long"))
-            .when(~f["is_media"] & (f["size"] > limits.file), say(": text file is over the limit"))
-        )
-        skip = F.coalesce(limit, F.when(~f["is_media"] & f["drop"].isNotNull(), F.concat(F.lit("skip "), f["drop"], F.lit(": "), f["label"])))
-        taken = skip.isNull()
-        added = F.when(taken, F.when(f["is_media"], f["size"]).otherwise(f["text_size"])).otherwise(long(0))
-        return F.struct(
-            (state["total"] + added).alias("total"), (state["media"] + (taken & f["is_media"]).cast("long")).alias("media"),
-            F.concat(state["out"], F.array(F.struct(f["sequence"].cast("long").alias("sequence"), skip.alias("skip"), limit.isNull().alias("complete")))).alias("out"),
-        )
-
-    folded = files.groupBy(key).agg(F.aggregate(F.sort_array(F.collect_list(item)), start, step)["out"].alias("out"))
-    verdicts = folded.select(key, F.inline("out"))
-    return files.withColumn("sequence", F.col("sequence").cast("long")).join(verdicts, [key, "sequence"]).withColumn("taken", F.col("skip").isNull())
+    before_count = F.when(c("is_media") & (c("size") > limits.media), say(": media is over the limit"))
+    after_count = (
+        F.when(c("is_media") & c("bad").isNotNull(), F.concat(F.lit("skip "), c("label"), F.lit(": "), c("bad")))
+        .when(c("is_media") & (F.coalesce("pages", F.lit(0)) > limits.pages), say(": too many pages"))
+        .when(c("is_media") & (F.coalesce("duration_ms", long(0)) > limits.duration_ms), say(": too long"))
+        .when(~c("is_media") & (c("size") > limits.file), say(": text file is over the limit"))
+    )
+    dropped = F.when(~c("is_media") & c("drop").isNotNull(), F.concat(F.lit("skip "), c("drop"), F.lit(": "), c("label")))
+    free = ~over & F.coalesce(before_count, after_count, dropped).isNull()
+    added = F.when(c("is_media"), c("size")).otherwise(c("text_size"))
+    narrow = files.select(c(key).alias("k"), c("sequence").cast("long").alias("s"), c("size").cast("long"), F.coalesce(added, long(0)).cast("long").alias("added"), F.coalesce("is_media", F.lit(False)).alias("m"), F.coalesce(free, F.lit(False)).alias("free"))
+
+    def fold(batches):
+        name, total, media = None, 0, 0
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            size, added, is_media, free = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6))
+            totals, counts = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+            starts = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[a] != name:
+                    name, total, media = keys[a], 0, 0
+                part = slice(a, b)
+                totals[part], counts[part], total, media = running_totals(size[part], added[part], is_media[part], free[part], total, media, limits)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals), pa.array(counts)], names=["_k", "_s", "_total", "_count"])
+
+    kind = narrow.schema["k"].dataType.simpleString()
+    states = narrow.repartition("k").sortWithinPartitions("k", "s").mapInArrow(fold, f"_k {kind}, _s long, _total long, _count long")
+    rows = files.withColumn("sequence", c("sequence").cast("long"))
+    rows = rows.join(states, rows[key].eqNullSafe(c("_k")) & (rows["sequence"] == c("_s")))
+    limit = (
+        F.when(over, say(": file is over the limit"))
+        .when(c("_total") + c("size") > limits.total, say(": total input limit reached"))
+        .otherwise(F.coalesce(before_count, F.when(c("is_media") & (c("_count") >= limits.media_count), say(": media count limit reached")), after_count))
+    )
+    out = rows.select(*[c(x) for x in files.columns], F.coalesce(limit, dropped).alias("skip"), limit.isNull().alias("complete"))
+    return out.withColumn("taken", c("skip").isNull())
 
 
 def read_files(spark: SparkSession, events: list[tuple], request_id: str = "request", most: int | None = None) -> DataFrame:
