@@ -103,7 +103,8 @@ def counted(rows: DataFrame, key: list[str], text: str, vocabulary: Vocabulary)
     parts = rows.select(*own, F.explode_outer(stretches(F.col(text))).alias("part"))
     pieces = parts.select(*names, F.explode_outer(pre_tokens(F.col("part"), vocabulary.pattern)).alias("piece"))
     uses = staged(pieces.groupBy(*names, "piece").agg(F.count("*").alias("n")), "pre-tokens")
-    known = lengths(uses.where("piece IS NOT NULL").select("piece").distinct(), vocabulary)
+    # merging is the costly part: the dictionary, small beside the corpus, is dealt to as many tasks as there are
+    known = lengths(uses.where("piece IS NOT NULL").select("piece").distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), vocabulary)
     total = F.coalesce(F.sum(F.col("n") * F.col("tokens")), F.lit(0).cast("long"))
     out = uses.join(known, "piece", "left").groupBy(*names).agg(total.alias("tokens"))
     return out.select(*[F.col(o).alias(k) for o, k in zip(names, key, strict=True)], "tokens")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.counters import Artifact, calibrated
 from ..functions.staging import staged
 from ..functions.text import FEATURES
-from .quantiles import nearest_ranks
+from .quantiles import nearest_ranks, sortable
 
 RIDGE = 1e-6
 #: Values of a split's first digest byte, in hundredths.
@@ -170,7 +170,8 @@ def nearest_rank(rows: DataFrame, key: list[str], column: str, q: float, name: s
 def residual_bounds(rows: DataFrame, y: str, p: str) -> DataFrame:
     """(low, high): the middle 95 per cent of (y - p) / p, clamped to contain 0."""
     r = rows.where(F.col(p) > 0).select(((F.col(y) - F.col(p)).cast("double") / F.col(p).cast("double")).alias("r"))
-    ends = nearest_ranks(staged(r, "residuals"), [], {"low": ("r", 0.025), "high": ("r", 0.975)})
+    r = staged(r.select(sortable(F.col("r")).alias("r")), "residuals")
+    ends = nearest_ranks(r, [], {"low": ("r", 0.025), "high": ("r", 0.975)}, ready=True)
     return ends.select(F.least(F.lit(0.0), "low").alias("low"), F.greatest(F.lit(0.0), "high").alias("high"))
 
 
@@ -198,9 +199,9 @@ def metrics(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens", lo
     meet in an aggregate, so that null keys do too. Nothing is joined to rows
     but the digits of p95 found so far.
     """
-    e = staged(_errors(rows, key, y, p, low, high), "errors")
-    own = [f"k{i}" for i in range(len(key))]
     ape = F.abs("e")
+    e = staged(_errors(rows, key, y, p, low, high).withColumn("size", sortable(ape)), "errors")
+    own = [f"k{i}" for i in range(len(key))]
     total = lambda c: F.sum(c.cast("double"))
     sums = e.groupBy(*own, "kind", "grp").agg(F.count("*").alias("n"), F.sum(ape).alias("ape"), F.sum("e").alias("bias"), total(F.col("inside")).alias("inside"), total(F.col("above")).alias("above"), *[F.count(c).alias(f"n_{c}") for c in ("e", "inside", "above")])
     # a group may have several kinds: it is counted once for each key
@@ -209,7 +210,7 @@ def metrics(rows: DataFrame, key: list[str], y: str = "y", p: str = "tokens", lo
     whole = sums.groupBy(*own).agg(
         F.sum("n").alias("samples"), F.count_distinct("grp").alias("groups"), ratio("ape", "n_e", "mape"), ratio("bias", "n_e", "bias"), ratio("inside", "n_inside", "coverage"), ratio("above", "n_above", "above_high"),
     )
-    p95 = nearest_ranks(e.select(*own, ape.alias("ape")), own, {"p95": ("ape", 0.95)})
+    p95 = nearest_ranks(e.select(*own, "size"), own, {"p95": ("size", 0.95)}, ready=True)
     names = ("samples", "groups", "mape", "macro_mape", "p95", "bias", "coverage", "above_high")
     parts = whole.unionByName(kinds, allowMissingColumns=True).unionByName(p95, allowMissingColumns=True)
     out = parts.groupBy(*own).agg(*[F.max(n).alias(n) for n in names]).withColumn("samples", F.coalesce("samples", F.lit(0).cast("long")))

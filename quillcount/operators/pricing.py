@@ -45,15 +45,17 @@ def priced_components(rows: DataFrame, key: list[str], order: list[str], tokens:
     The cached tokens are used up greedily, which is a running sum: a
     component's share is what is left after all before it. Where requests may
     be ``large``, the sum is taken in two levels, so that one request is spread
-    over tasks; otherwise a request is one group of a window.
+    over tasks, and the columns tiers and modality_tiers are left out; otherwise
+    a request is one group of a window.
     """
+    rows = rows.withColumn("tier", tier_at(modality_tiers(F.col("tiers"), F.col("modality_tiers"), F.col(modality)), total))
     if large:
-        rows = with_before(ranged(rows, key, order), key, order, {"_before": F.col(tokens)})
+        # what is dealt is written, so the catalog's lists stay behind
+        rows = with_before(ranged(rows.drop("tiers", "modality_tiers"), key, order), key, order, {"_before": F.col(tokens)})
         before = F.col("_before")
     else:
         before = F.coalesce(F.sum(tokens).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     rows = rows.withColumn("cached_n", F.least(F.col(tokens), F.greatest(F.lit(0).cast("long"), cached - before)))
-    rows = rows.withColumn("tier", tier_at(modality_tiers(F.col("tiers"), F.col("modality_tiers"), F.col(modality)), total))
     return rows.withColumns({
         "input_micros": cost_micros(F.col("tier.input"), F.col(tokens) - F.col("cached_n")),
         "cached_micros": cost_micros(F.col("tier.cached"), F.col("cached_n")),

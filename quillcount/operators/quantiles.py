@@ -61,17 +61,18 @@ def _found(own: Column, target: Column) -> Column:
     return F.transform(F.array(there), lambda t: F.struct(target["name"].alias("name"), t["v"].alias("prefix"), (target["place"] - t["before"]).alias("place")))[0]
 
 
-def nearest_ranks(rows: DataFrame, key: list[str], asked: dict[str, tuple[str, float]]) -> DataFrame:
+def nearest_ranks(rows: DataFrame, key: list[str], asked: dict[str, tuple[str, float]], ready: bool = False) -> DataFrame:
     """Per key, a column for each ``asked`` name: of its column the value at place ceil(q n), exactly.
 
     Null values do not count; a key without values has no row, one without
     values of one of the columns a null there. Keys may be null. Without a key
     there is one row. ``rows`` is read four times: stage it if it is costly.
+    Columns that are ``ready`` are ``sortable`` longs already.
     """
     columns = list(dict.fromkeys(c for c, _ in asked.values()))
     own = [F.col(k).alias(f"k{i}") for i, k in enumerate(key)] or [F.lit(0).alias("k0")]
     names = [f"k{i}" for i in range(len(own))] + ["c"]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), sortable(F.col(c)).alias("v")) for i, c in enumerate(columns)]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), (F.col(c) if ready else sortable(F.col(c))).alias("v")) for i, c in enumerate(columns)]))
     values = rows.select(*own, each.alias("x")).select(*names[:-1], "x.c", "x.v").where("v IS NOT NULL")
 
     def wanted(total: Column) -> Column:
