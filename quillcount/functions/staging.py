@@ -1,7 +1,8 @@
-"""Tables written to the folder that driver and executors share."""
+"""Tables written to the folder that driver and executors share, and reports of the driver."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -30,3 +31,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def write_atomic(path: str, text: str) -> None:
+    """A report of the driver, whole or not at all: written beside its place and then moved there."""
+    folder = os.path.dirname(os.path.abspath(path))
+    handle, beside = tempfile.mkstemp(dir=folder, prefix=".report-")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as file:
+            file.write(text)
+        os.replace(beside, path)
+    except BaseException:
+        os.unlink(beside)
+        raise

@@ -52,8 +52,11 @@ class Options:
     overrides: tuple = ()
     now: dt.datetime | None = None
     require_verify: bool = False
+    allow_file_upload: bool = False
 
     def __post_init__(self):
+        if self.allow_file_upload and not self.require_verify:
+            raise ValueError("files are only uploaded for a verification")
         if not self.profiles or not set(self.profiles) <= set(PROFILES) or len(set(self.profiles)) < len(self.profiles):
             raise ValueError(f"unknown profile {self.profile!r}")
         for name, allowed in (("bound", ("expected", "high")), ("processing", ("native", "normalized-text")), ("image_detail", ("auto", "low", "high", "original")), ("document_detail", ("auto", "low", "high", "original", "text"))):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from dataclasses import replace
 from functools import reduce
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.counters import Artifact, calibrated
-from ..functions.staging import staged
+from ..functions.staging import staged, write_atomic
 from ..functions.text import FEATURES
 from .quantiles import nearest_ranks, sortable
 
@@ -312,5 +313,11 @@ def markdown_report(evaluations: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+def write_reports(folder: str, artifact: Artifact, evaluations: dict) -> None:
+    """The artifact as JSON and its evaluations as a table, each file whole or not at all."""
+    write_atomic(os.path.join(folder, f"{artifact.version.replace(':', '-')}.json"), to_json(artifact))
+    write_atomic(os.path.join(folder, f"{artifact.version.replace(':', '-')}.md"), markdown_report(evaluations))
+
+
 def digest(*parts: bytes) -> str:
     return reduce(lambda h, p: (h.update(p), h)[1], parts, hashlib.sha256()).hexdigest()

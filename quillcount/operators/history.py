@@ -6,6 +6,8 @@ travel as one JSON payload built from whitelisted columns.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,14 @@ def private(sources: DataFrame) -> DataFrame:
     return sources.select("request_id", *SOURCE_FIELDS[:-1], mime.alias("detected_mime"))
 
 
-def runs_of(results, sources: DataFrame, created_at: Column, catalog_version: str) -> DataFrame:
-    """One run (RUNS) per request of an analysis."""
+def new_ids(created_at: Column, request_id: Column) -> Column:
+    """Ids of runs: the UTC time and four bytes that are drawn anew for each call and request, and stay when rows are computed again."""
+    time = F.date_format(F.to_utc_timestamp(created_at.cast("timestamp"), F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+    return F.concat(time, F.lit("-"), F.substring(F.sha2(F.concat(F.lit(secrets.token_hex(16)), request_id).cast("binary"), 256), 1, 8))
+
+
+def runs_of(results, sources: DataFrame, created_at: Column, catalog_version: str, fresh_ids: bool = False) -> DataFrame:
+    """One run (RUNS) per request of an analysis; its id is the request's, or a new one where ``fresh_ids`` are asked for."""
     scenario = results.scenarios.groupBy("request_id", "model").agg(F.sort_array(F.collect_list(F.struct("scenario_no", F.col("scenario").alias("name"), "cost_micros"))).alias("s"))
     part = results.components.groupBy("request_id", "model", "modality", "unit").agg(F.sum("expected").alias("expected")).groupBy("request_id", "model").agg(F.sort_array(F.collect_list(F.struct("modality", "unit", "expected"))).alias("components"))
     per = results.models.join(scenario, ["request_id", "model"], "left").join(part, ["request_id", "model"], "left")
@@ -35,7 +43,8 @@ def runs_of(results, sources: DataFrame, created_at: Column, catalog_version: st
     own = private(sources).groupBy("request_id").agg(F.sum("bytes").alias("total_bytes"), F.sort_array(F.collect_list(F.struct(*SOURCE_FIELDS))).alias("sources"))
     rows = per.join(own, "request_id")
     payload = F.to_json(F.struct(F.lit(RUN_SCHEMA).alias("schema"), F.lit(catalog_version).alias("catalog_version"), "sources", "results"))
-    return rows.select(F.col("request_id").alias("id"), created_at.cast("timestamp").alias("created_at"), F.lit(catalog_version).alias("catalog_version"), "models", "total_bytes", "incomplete", payload.alias("payload"))
+    own = new_ids(created_at, F.col("request_id")) if fresh_ids else F.col("request_id")
+    return rows.select(own.alias("id"), created_at.cast("timestamp").alias("created_at"), F.lit(catalog_version).alias("catalog_version"), "models", "total_bytes", "incomplete", payload.alias("payload"))
 
 
 def leaks(runs: DataFrame) -> DataFrame:
@@ -66,8 +75,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def get(runs: DataFrame, run_id: str) -> DataFrame:
-    """The run with its payload parsed; fields that older payloads lack are null."""
-    return runs.where(F.col("id") == run_id).withColumn("run", F.from_json("payload", PAYLOAD))
+    """The run with its payload parsed; fields that older payloads lack are null. An unknown id is an error."""
+    found = runs.where(F.col("id") == run_id)
+    if found.isEmpty():
+        raise KeyError(f"run {run_id!r} not found")
+    return found.withColumn("run", F.from_json("payload", PAYLOAD))
 
 
 def latest(runs: DataFrame, n: int = 20) -> DataFrame:

@@ -13,7 +13,6 @@ import datetime as dt
 import json
 import os
 import secrets
-import tempfile
 import time
 from collections.abc import Callable
 
@@ -21,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import write_atomic  # noqa: F401  (reports of labels are written by it)
 from ..functions.text import FEATURE_SCHEMA
 from .calibrate import adjusted, sample_digest
 
@@ -181,16 +181,3 @@ def new_run_id(now: dt.datetime | None = None) -> str:
     """A run's id where none is given: the UTC time and four random bytes."""
     now = now or dt.datetime.now(dt.timezone.utc)
     return f"{now.astimezone(dt.timezone.utc):%Y%m%dT%H%M%SZ}-{secrets.token_hex(4)}"
-
-
-def write_atomic(path: str, text: str) -> None:
-    """A report of the driver, whole or not at all: written beside its place and then moved there."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, beside = tempfile.mkstemp(dir=folder, prefix=".report-")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as file:
-            file.write(text)
-        os.replace(beside, path)
-    except BaseException:
-        os.unlink(beside)
-        raise
