@@ -74,14 +74,14 @@ class Options:
         return self.profile if isinstance(self.profile, tuple) else (self.profile,)
 
 
-def text_sources(df: DataFrame, request: Column, label: Column, text: Column, kind: str = "file") -> DataFrame:
-    """Sources from a table of texts: one per row, in the order of labels."""
+def text_sources(df: DataFrame, request: Column, label: Column, text: Column, kind: str = "file", keep: tuple = ()) -> DataFrame:
+    """Sources from a table of texts: one per row, in the order of labels; columns to ``keep`` go along."""
     null = lambda t: F.lit(None).cast(t)
     text = F.coalesce(text, F.lit(""))
     return df.select(
         request.cast("string").alias("request_id"), label.cast("string").alias("label"), label.cast("string").alias("path"), F.lit(kind).alias("kind"),
         F.sha2(text.cast("binary"), 256).alias("sha256"), F.octet_length(text).cast("long").alias("bytes"), F.lit("").alias("asset_id"), F.lit("").alias("mime"),
-        text.alias("text"), null(IMAGE).alias("image"), null(AUDIO).alias("audio"), null(DOCUMENT).alias("document"),
+        text.alias("text"), null(IMAGE).alias("image"), null(AUDIO).alias("audio"), null(DOCUMENT).alias("document"), *keep,
     )
 
 
@@ -90,21 +90,33 @@ def countable(sources: DataFrame) -> DataFrame:
     return with_classes(sources.withColumn("text", F.when(F.col("kind") == "image", F.lit("")).otherwise(F.coalesce("text", F.lit("")))), "text")
 
 
-def request_sums(sources: DataFrame) -> DataFrame:
-    """Per request: class sums of the joined texts (``raw_*``) and of the wrapped ones (``wrapped_*``)."""
+#: What ``source_sums`` gives of each source, in the order of a request's sums.
+PARTS = ("n_texts", "n_assets", "source_bytes", "has_media", "code", "invalid", *(f"{p}_{c}" for p in ("raw", "wrapped") for c in WRAPPER))
+
+
+def source_sums(sources: DataFrame) -> DataFrame:
+    """Per source: ``PARTS`` as longs, what it adds to its request's joined (``raw_*``) and wrapped (``wrapped_*``) texts, joints apart."""
     named = with_classes(sources.withColumn("_label", F.translate("label", '"', "'")), "_label", "label_")
     some = F.col("text_bytes") > 0
     open_end = (~F.endswith("text", F.lit("\n"))).cast("long")
-    aggs = [F.count("*").alias("n_sources"), F.sum("source_bytes").alias("total_bytes"), F.bool_or(F.col("kind").isin("image", "audio", "document")).alias("has_media"), F.sum(some.cast("long")).alias("n_texts"), F.sum((F.col("asset_id") != "").cast("long")).alias("n_assets")]
+    out = {"n_texts": some, "n_assets": F.col("asset_id") != "", "has_media": F.col("kind").isin("image", "audio", "document"), "invalid": ~F.is_valid_utf8("text"), "code": F.when(some, F.col("code"))}
     for c in WRAPPER:
         own = F.col("text_bytes") if c == "bytes" else F.col(c)
         added = F.lit(WRAPPER[c]).cast("long") + F.col(f"label_{c}") + (open_end if c in ("space", "bytes") else F.lit(0))
-        aggs += [F.coalesce(F.sum(F.when(some, own)), F.lit(0)).alias(f"raw_{c}"), F.coalesce(F.sum(F.when(some, own + added)), F.lit(0)).alias(f"wrapped_{c}")]
-    aggs.append(F.coalesce(F.max(F.when(some, F.col("code"))), F.lit(0)).alias("raw_code"))
-    aggs.append(F.coalesce(F.bool_or(~F.is_valid_utf8("text")), F.lit(False)).alias("invalid"))
-    out = named.groupBy("request_id").agg(*aggs)
+        out |= {f"raw_{c}": F.when(some, own), f"wrapped_{c}": F.when(some, own + added)}
+    return named.withColumns({k: F.coalesce(c.cast("long"), F.lit(0).cast("long")) for k, c in out.items()})
+
+
+def with_joints(sums: DataFrame) -> DataFrame:
+    """Totals of ``PARTS`` with the line feeds between joined texts and the flags of a request."""
     joints = F.greatest(F.lit(0).cast("long"), F.col("n_texts") - 1)
-    return out.withColumns({"raw_space": F.col("raw_space") + joints, "raw_bytes": F.col("raw_bytes") + joints, "wrapped_code": (F.col("n_texts") > 0).cast("int")})
+    flags = {"has_media": F.col("has_media") > 0, "invalid": F.col("invalid") > 0, "raw_code": (F.col("code") > 0).cast("int"), "wrapped_code": (F.col("n_texts") > 0).cast("int")}
+    return sums.withColumns({"raw_space": F.col("raw_space") + joints, "raw_bytes": F.col("raw_bytes") + joints} | flags).withColumnRenamed("source_bytes", "total_bytes").drop("code")
+
+
+def request_sums(sources: DataFrame) -> DataFrame:
+    """Per request: class sums of the joined texts (``raw_*``) and of the wrapped ones (``wrapped_*``)."""
+    return with_joints(source_sums(sources).groupBy("request_id").agg(F.count("*").alias("n_sources"), *[F.sum(p).alias(p) for p in PARTS]))
 
 
 def request_states(sources: DataFrame, features=boundary.COUNTERS) -> DataFrame:
