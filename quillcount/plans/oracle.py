@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.counters import HEURISTICS
 from ..functions.text import KEYWORDS
+from ..operators.plan import SAYS
 from ..sources.catalog import DETAILS, default_catalog
 from ..sources.collect import ignore_rules
 from . import queries as q
@@ -286,6 +287,25 @@ def _media_components() -> str:
 SELECT model, modality, CASE WHEN modality = 'image' THEN 'auto' ELSE '' END AS detail, count(*) AS n, sum(low)::BIGINT AS low, sum(e)::BIGINT AS expected, sum(high)::BIGINT AS high FROM comps GROUP BY model, modality"""
 
 
+#: Pages in guises on three models, and what becomes of each.
+_GUISED = f"""p AS (SELECT page_id, page_id % 9 AS k, page_id % 2 = 1 AS normal, page_id % 9 IN (0, 3, 5) AND coalesce(html, '') <> '' AS has_text FROM pages),
+m AS (SELECT * FROM (VALUES ('gemini-2.5-flash', true, true, true, true, 100), ('claude-sonnet-4-6', true, false, true, false, 100), ('text-only', false, false, false, true, 2)) v(model, sees, hears, reads, takes_wav, most)),
+a AS (SELECT *, CASE WHEN k = 8 THEN 'model does not accept image/tiff' WHEN k = 4 AND normal THEN {quoted(SAYS['image_text'])} WHEN k = 4 AND NOT sees THEN {quoted(SAYS['image'])}
+  WHEN k IN (5, 6) AND NOT normal AND NOT takes_wav THEN 'model does not accept audio/wav' WHEN k IN (5, 6) AND normal AND NOT has_text THEN {quoted(SAYS['transcript'])}
+  WHEN (k IN (0, 1) OR (k IN (2, 3) AND normal)) AND NOT has_text THEN {quoted(SAYS['extraction'])} WHEN k IN (2, 3) AND NOT normal AND NOT reads THEN {quoted(SAYS['pdf'])} END AS problem FROM p CROSS JOIN m),
+b AS (SELECT *, problem IS NULL AND k IN (5, 6) AND NOT normal AND NOT hears AS deaf FROM a),
+g AS (SELECT page_id, model, k, most, has_text, CASE WHEN problem IS NOT NULL OR deaf THEN 'unsupported' WHEN NOT normal AND (k IN (0, 1) OR (k IN (2, 3) AND NOT has_text)) THEN 'conditional' ELSE 'supported' END AS status,
+  coalesce(page_id || ': ' || CASE WHEN problem IS NOT NULL THEN problem WHEN deaf THEN {quoted(SAYS['audio'])} WHEN k IN (0, 1) AND NOT normal THEN {quoted(SAYS['rich'])} WHEN k IN (2, 3) AND NOT normal AND NOT has_text THEN {quoted(SAYS['was_unavailable'])} END, '') AS said,
+  CASE WHEN problem IS NOT NULL OR (deaf AND NOT has_text) THEN 'unsupported' WHEN k = 7 OR k IN (0, 1) OR (k IN (2, 3) AND normal) OR deaf OR (k IN (5, 6) AND normal) THEN 'text' WHEN k IN (4, 8) THEN 'image' WHEN k IN (5, 6) THEN 'audio' ELSE 'document' END AS provider_type,
+  CASE WHEN problem IS NOT NULL THEN 0 WHEN k IN (4, 7, 8) THEN 1 ELSE CASE WHEN has_text THEN 1 ELSE 0 END + CASE WHEN k IN (2, 3) AND NOT normal THEN 2 WHEN k IN (5, 6) AND NOT normal AND NOT deaf THEN 1 ELSE 0 END END AS n_parts FROM b)"""
+
+
+def _media_limits() -> str:
+    return f"""WITH {_GUISED}, r AS (SELECT 'r' || (page_id % 40) AS request_id, model, count(*) AS n_sources, count(*) FILTER (WHERE k <> 7) AS media, any_value(most) AS most,
+  CASE WHEN bool_or(status = 'unsupported') THEN 'unsupported' WHEN bool_or(status = 'conditional') THEN 'conditional' ELSE 'supported' END AS worst FROM g GROUP BY ALL)
+SELECT request_id, model, CASE WHEN media > most THEN 'unsupported' ELSE worst END AS status, n_sources, CASE WHEN media > most THEN 'request has ' || media || ' media assets; model limit is ' || most ELSE '' END AS said FROM r"""
+
+
 def _media_requests() -> str:
     models = ["gemini-2.5-flash", "sonnet"]
     rates = []
@@ -511,6 +531,8 @@ SELECT coalesce(a.k, b.k) AS source, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k
         "calib_fits": _fits(),
         "calib_improvement": _improvement(),
         "calib_predicted": _predicted(),
+        "media_plans": f"WITH {_GUISED} SELECT page_id, model, status, said, provider_type, n_parts::INT AS n_parts FROM g",
+        "media_limits": _media_limits(),
         "media_components": _media_components(),
         "media_requests": _media_requests(),
         "media_inspect": _MEDIA_INSPECT,

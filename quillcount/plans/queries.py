@@ -304,6 +304,45 @@ def media_requests(spark, d):
     return r.models.select("request_id", "model", "status", "input_tokens", "input_low", "input_high", "decision_tokens", "overhead_tokens", "confidence").join(cost, ["request_id", "model"])
 
 
+_DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+#: What a page stands for, by its number modulo 9: (kind, type, whether its text comes with it).
+_GUISES = (("document", _DOCX, True), ("document", _DOCX, False), ("document", "application/pdf", False), ("document", "application/pdf", True), ("image", "image/png", False), ("audio", "audio/wav", True), ("audio", "audio/wav", False), ("file", "", True), ("image", "image/tiff", False))
+
+
+def _guised(spark, d) -> an.Results:
+    """Pages in nine guises, odd ones to be sent as text, on models with and without media; one takes media but understands text only, two at most."""
+    k = F.col("page_id") % len(_GUISES)
+    pick = lambda i: F.element_at(F.array(*[F.lit(g[i]) for g in _GUISES]), k.cast("int") + 1)
+    pages = _spread(_t(spark, d, "pages").select("page_id", "html"))
+    label = F.col("page_id").cast("string")
+    src = an.text_sources(pages, F.concat(F.lit("r"), F.col("page_id") % 40), label, F.when(pick(2), F.col("html")))
+    media = F.col("kind") != "file"
+    src = src.withColumn("page", F.col("label").cast("long")).withColumn("kind", F.element_at(F.array(*[F.lit(g[0]) for g in _GUISES]), (F.col("page") % len(_GUISES)).cast("int") + 1))
+    src = src.withColumn("mime", F.element_at(F.array(*[F.lit(g[1]) for g in _GUISES]), (F.col("page") % len(_GUISES)).cast("int") + 1))
+    document = F.struct(F.when(F.col("mime") == _DOCX, "docx").otherwise("pdf").alias("format"), F.lit(2).alias("pages"), F.lit(None).cast(pl.PAGE).alias("page_meta"))
+    src = src.withColumns({
+        "path": F.concat(F.when(F.col("page") % 2 == 1, "odd/").otherwise("even/"), "label"), "asset_id": F.when(media, F.concat(F.lit("asset-"), "label")).otherwise(""),
+        "image": F.when(F.col("kind") == "image", F.struct(F.lit(640).alias("width"), F.lit(480).alias("height"), F.lit(0).alias("orientation"), F.lit(1).alias("frames"))),
+        "audio": F.when(F.col("kind") == "audio", F.struct(F.lit(9_000).cast("long").alias("duration_ms"), F.lit("wav").alias("codec"), F.lit(8_000).alias("sample_rate_hz"), F.lit(1).alias("channels"))),
+        "document": F.when(F.col("kind") == "document", document),
+    }).drop("page")
+    models = _models(spark, ["gemini-2.5-flash", "sonnet"])
+    plain = models.where("id = 'gemini-2.5-flash'").withColumns({"id": F.lit("text-only"), "modalities": F.array(F.lit("text")), "max_assets": F.lit(2), "ordinal": F.col("ordinal") + 10})
+    return an.analyze(src, models.unionByName(plain), an.Options(overrides=(pl.Override("odd/**", "normalized-text"),)))
+
+
+def media_plans(spark, d):
+    """State, warning, provider's part and number of components of each page in its guise on each model."""
+    plan = _guised(spark, d).plan
+    return plan.select(F.col("label").cast("long").alias("page_id"), "model", "status", F.array_join("warnings", " | ").alias("said"), "provider_type", F.size("parts").alias("n_parts"))
+
+
+def media_limits(spark, d):
+    """Requests of pages in their guises: the worst state, and whether there are too many media."""
+    r = _guised(spark, d).models
+    return r.select("request_id", "model", "status", "n_sources", F.array_join(F.filter("warnings", lambda w: w.startswith("request has")), "|").alias("said"))
+
+
 def _run(spark, d, table: str, label: str, text: str) -> DataFrame:
     """Model totals of a table as one run."""
     src = an.text_sources(_spread(_t(spark, d, table).select(label, text)), F.lit("run"), F.col(label), F.col(text))
@@ -469,7 +508,7 @@ def media_headers(spark, d):
 
 
 ALL = (
-    text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, price_components_one_request, limit_fold_one_request, request_features, analyze_calibrated,
+    text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, price_components_one_request, limit_fold_one_request, media_plans, media_limits, request_features, analyze_calibrated,
     analyze_compare, analyze_high_bound, analyze_profiles, conversation_request, top_sources, threshold_exit, normalize_hash, generated_filter, ignore_filter, override_last_wins, limit_fold,
     image_patch, audio_duration, media_components, media_requests, diff_models, diff_components, diff_sources, history_topk, calib_split, calib_digests, calib_maximums, calib_metrics, calib_strata,
     calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect, media_headers,
