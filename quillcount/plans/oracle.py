@@ -300,6 +300,28 @@ g AS (SELECT page_id, model, k, most, has_text, CASE WHEN problem IS NOT NULL OR
   CASE WHEN problem IS NOT NULL THEN 0 WHEN k IN (4, 7, 8) THEN 1 ELSE CASE WHEN has_text THEN 1 ELSE 0 END + CASE WHEN k IN (2, 3) AND NOT normal THEN 2 WHEN k IN (5, 6) AND NOT normal AND NOT deaf THEN 1 ELSE 0 END END AS n_parts FROM b)"""
 
 
+def _mime_mismatch() -> str:
+    docx = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
+    return f"""WITH p AS (SELECT page_id, path || list_value('.png', '.PDF', '.jpeg', '.txt', '', '.docx')[page_id % 6 + 1] AS path, list_value('image/png', 'application/pdf', 'image/jpeg', '{docx}')[page_id // 6 % 4 + 1] AS mime,
+  list_value('image/png', 'application/pdf', 'image/jpeg', NULL, NULL, '{docx}')[page_id % 6 + 1] AS wanted FROM ({_PATHS}))
+SELECT page_id, mime, CASE WHEN wanted <> mime THEN path || ': extension suggests ' || wanted || ' but content is ' || mime END AS said FROM p"""
+
+
+def _binary_filter() -> str:
+    """The first 8192 bytes of texts: whether a character is cut there, or a NUL lies before."""
+    return """WITH b AS (SELECT doc_id, doc_id % 5 AS k, strlen(coalesce(text, '')) AS n, substr(hex(encode(coalesce(text, ''))), 2 * 8192 + 1, 2) AS next FROM documents)
+SELECT doc_id, k IN (2, 4) OR (k = 1 AND n < 8192) OR (n > 8192 AND next BETWEEN '80' AND 'BF') AS is_binary FROM b"""
+
+
+def _analyze_verified() -> str:
+    return f"""WITH {_assembly()}, {_results(['sonnet', 'gemini'])},
+v AS (SELECT *, request_id NOT LIKE 'src1%' AND request_id NOT LIKE 'src2%' AS good, request_id LIKE 'src1%' AS failed, (total_bytes // 3)::BIGINT AS counted FROM res),
+w AS (SELECT *, CASE WHEN good THEN counted ELSE input_tokens END AS decided FROM v)
+SELECT request_id, model, input_tokens, decided AS decision_tokens, good AS verified, NOT good AS verify_failed, greatest(0, decided - context_window)::BIGINT AS overflow,
+  concat_ws(' | ', CASE WHEN failed THEN 'verification failed: quota' END, CASE WHEN good AND counted <> input_tokens THEN 'official aggregate differs from local estimate by ' || printf('%+d', counted - input_tokens) || ' tokens' END,
+    CASE WHEN good AND decided > context_window THEN 'officially verified input exceeds context window by ' || (decided - context_window) || ' tokens' END) AS said FROM w"""
+
+
 def _media_limits() -> str:
     return f"""WITH {_GUISED}, r AS (SELECT 'r' || (page_id % 40) AS request_id, model, count(*) AS n_sources, count(*) FILTER (WHERE k <> 7) AS media, any_value(most) AS most,
   CASE WHEN bool_or(status = 'unsupported') THEN 'unsupported' WHEN bool_or(status = 'conditional') THEN 'conditional' ELSE 'supported' END AS worst FROM g GROUP BY ALL)
@@ -533,6 +555,9 @@ SELECT coalesce(a.k, b.k) AS source, CASE WHEN a.k IS NULL THEN 'added' WHEN b.k
         "calib_predicted": _predicted(),
         "media_plans": f"WITH {_GUISED} SELECT page_id, model, status, said, provider_type, n_parts::INT AS n_parts FROM g",
         "media_limits": _media_limits(),
+        "mime_mismatch": _mime_mismatch(),
+        "binary_filter": _binary_filter(),
+        "analyze_verified": _analyze_verified(),
         "media_components": _media_components(),
         "media_requests": _media_requests(),
         "media_inspect": _MEDIA_INSPECT,

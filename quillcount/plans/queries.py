@@ -11,7 +11,7 @@ from ..functions import counters as cn
 from ..functions import media, money
 from ..functions import states as boundary
 from ..functions.images import audio_tokens, image_tokens
-from ..functions.text import CLASSES, COUNTERS, derived, features, is_generated, normalized, with_classes
+from ..functions.text import CLASSES, COUNTERS, derived, features, is_binary, is_generated, normalized, with_classes
 from ..operators import analyze as an
 from ..operators import bytepairs
 from ..operators import calibrate as cal
@@ -343,6 +343,33 @@ def media_limits(spark, d):
     return r.select("request_id", "model", "status", "n_sources", F.array_join(F.filter("warnings", lambda w: w.startswith("request has")), "|").alias("said"))
 
 
+def mime_mismatch(spark, d):
+    """Warnings of pages whose supposed extension suggests another type than they are said to have."""
+    at = lambda values, of: F.element_at(F.array(*[F.lit(v) for v in values]), (F.call_function("div", F.col("page_id"), F.lit(of).cast("long")) % len(values)).cast("int") + 1)
+    rows = _paths(spark, d).withColumns({"path": F.concat("path", at((".png", ".PDF", ".jpeg", ".txt", "", ".docx"), 1)), "mime": at(("image/png", "application/pdf", "image/jpeg", _DOCX), 6)})
+    return rows.select("page_id", "mime", co.mismatch(F.col("path"), F.col("mime")).alias("said"))
+
+
+def binary_filter(spark, d):
+    """Which documents count as binary: as they are, with a NUL behind or before them, with a byte that is no UTF-8."""
+    docs = _spread(_t(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b")))
+    k, byte = F.col("doc_id") % 5, F.lit
+    content = F.when(k == 1, F.concat("b", byte(b"\x00"))).when(k == 2, F.concat(byte(b"\x00"), "b")).when(k == 4, F.concat(byte(b"\xff"), "b")).otherwise(F.col("b"))
+    return docs.select("doc_id", is_binary(content).alias("is_binary"))
+
+
+def analyze_verified(spark, d):
+    """Requests of which some were counted officially, some in vain and some not at all."""
+    sources = _documents(spark, d)
+    counted = sources.groupBy("request_id").agg(F.call_function("div", F.sum("bytes"), F.lit(3).cast("long")).alias("tokens")).where("request_id NOT LIKE 'src2%'")
+    models = _models(spark, ["sonnet", "gemini"])
+    error = F.when(F.col("request_id").like("src1%"), "quota").otherwise("")
+    verified = counted.crossJoin(F.broadcast(models.select(F.col("id").alias("model")))).select("request_id", "model", "tokens", F.lit("official").alias("method"), error.alias("error"))
+    r = an.analyze(sources, models, an.Options(require_verify=True), verified=verified, with_media=False).models
+    said = F.array_join(F.filter("warnings", lambda w: w.contains("verif") | w.contains("official")), " | ")
+    return r.select("request_id", "model", "input_tokens", "decision_tokens", "verified", "verify_failed", "overflow", said.alias("said"))
+
+
 def _run(spark, d, table: str, label: str, text: str) -> DataFrame:
     """Model totals of a table as one run."""
     src = an.text_sources(_spread(_t(spark, d, table).select(label, text)), F.lit("run"), F.col(label), F.col(text))
@@ -508,7 +535,7 @@ def media_headers(spark, d):
 
 
 ALL = (
-    text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, price_components_one_request, limit_fold_one_request, media_plans, media_limits, request_features, analyze_calibrated,
+    text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, price_components_one_request, limit_fold_one_request, media_plans, media_limits, mime_mismatch, binary_filter, analyze_verified, request_features, analyze_calibrated,
     analyze_compare, analyze_high_bound, analyze_profiles, conversation_request, top_sources, threshold_exit, normalize_hash, generated_filter, ignore_filter, override_last_wins, limit_fold,
     image_patch, audio_duration, media_components, media_requests, diff_models, diff_components, diff_sources, history_topk, calib_split, calib_digests, calib_maximums, calib_metrics, calib_strata,
     calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect, media_headers,
