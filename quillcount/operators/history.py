@@ -1,13 +1,17 @@
 """Run history: runs are saved without any content, listed, fetched and compared.
 
-The store is a Parquet table partitioned by day of creation; a run's results
-travel as one JSON payload built from whitelisted columns.
+The store is a Parquet table partitioned by a digest of the id and by day of
+creation; a run's results travel as one JSON payload built from whitelisted
+columns.
 """
 
 from __future__ import annotations
 
 import secrets
+import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,25 +57,101 @@ def leaks(runs: DataFrame) -> DataFrame:
     return runs.where(key("content") | key("text") | key("extracted_text"))
 
 
+#: Parts of the store by a digest of the id; a lookup by id reads one of them.
+BUCKETS = 64
+#: Seconds that a writer waits for others before it gives up.
+PATIENCE = 60
+
+
+def bucket_of(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(BUCKETS)).cast("int")
+
+
 def save(runs: DataFrame, path: str) -> None:
-    """Append runs; an id that is stored already, or twice among the new ones, is an error."""
+    """Add runs; an id that is stored already, or twice among the new ones, is an error, and then nothing is added.
+
+    Runs are written beside the store first. Then the buckets that they fall
+    into are locked, in order, so that of two writers of one id the second sees
+    the first one's; if no id is stored there, the files are moved to their
+    places. Readers see whole files only.
+    """
     spark = runs.sparkSession
     if {"content", "text"} & set(runs.columns):
         raise ValueError("a run must not carry content")
-    if not runs.groupBy("id").count().where("count > 1").isEmpty() or (_exists(spark, path) and not runs.join(load(spark, path).select("id"), "id", "left_semi").isEmpty()):
+    if not runs.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("a run of that id is stored already")
     if not leaks(runs).isEmpty():
         raise ValueError("a payload holds content")
-    runs.withColumn("day", F.to_date("created_at")).write.mode("append").partitionBy("day").parquet(path)
+    files, mark = _files(spark, path), uuid.uuid4().hex
+    beside = f"{path}/_staged/{mark}"
+    # a store that began without buckets goes on without
+    old = bool(files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/day=*")))
+    dated = runs.withColumn("day", F.to_date("created_at"))
+    (dated.write.partitionBy("day") if old else dated.withColumn("bucket", bucket_of(F.col("id"))).write.partitionBy("bucket", "day")).parquet(beside)
+    held = []
+    try:
+        new = spark.read.schema(_STORED).parquet(beside)
+        buckets = sorted(r["b"] for r in new.select(bucket_of(F.col("id")).alias("b")).distinct().collect())  # BUCKETS at most
+        for b in buckets:
+            _lock(spark, f"{path}/_locks/{b}")
+            held.append(f"{path}/_locks/{b}")
+        stored = spark.read.schema(_STORED).parquet(path).where(F.col("bucket").isin(buckets) | F.col("bucket").isNull())
+        if not new.select("id").join(stored.select("id"), "id", "left_semi").isEmpty():
+            raise ValueError("a run of that id is stored already")
+        for folder, name in _parts(spark, files, beside):
+            target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+            files.mkdirs(target)
+            files.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{beside}/{folder}/{name}"), spark._jvm.org.apache.hadoop.fs.Path(target, f"{mark}-{name}"))
+    finally:
+        for lock in held:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(lock), False)
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _parts(spark: SparkSession, files, where: str) -> list[tuple[str, str]]:
+    """(folder from there, file name) of the data files below a folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(where)
+    found, walk = [], files.listFiles(root, True)
+    while walk.hasNext():
+        at = walk.next().getPath()
+        if at.getName().endswith(".parquet"):
+            found.append((at.getParent().toUri().getPath()[len(root.toUri().getPath()) + 1 :], at.getName()))
+    return found
+
+
+def _lock(spark: SparkSession, path: str) -> None:
+    """Create a file that must not be there yet, waiting while another writer has it."""
+    files, there = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path(path)
+    files.mkdirs(there.getParent())
+    local = files.getUri().getScheme() == "file"
+    for _ in range(int(PATIENCE * 10)):
+        try:
+            # the local file system of Hadoop looks before it creates; Java's own creates or fails
+            if spark._jvm.java.io.File(there.toUri().getPath()).createNewFile() if local else files.create(there, False).close() is None:
+                return
+        except Py4JJavaError as error:
+            if not files.exists(there):
+                raise error
+        time.sleep(0.1)
+    raise TimeoutError(f"{path} is locked; if no writer is running, it was left by one that died and may be deleted")
+
+
+_STORED = RUNS + ", bucket int, day date"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_STORED).parquet(path).drop("bucket", "day")
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUNS + ", day date").parquet(path).drop("day")
+def lookup(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """``get`` from a store, reading the bucket of the id only (and what older stores keep without buckets)."""
+    rows = spark.read.schema(_STORED).parquet(path)
+    own = spark.range(1).select(bucket_of(F.lit(run_id)).alias("b")).first()["b"]
+    return get(rows.where((F.col("bucket") == own) | F.col("bucket").isNull()).drop("bucket", "day"), run_id)
 
 
 def get(runs: DataFrame, run_id: str) -> DataFrame:
