@@ -213,6 +213,14 @@ class Counters:
         """Whether counts follow from the boundary states of a text's parts."""
         return tokenizer in self.artifacts and tokenizer not in self.custom
 
+    def paired(self, tokenizer: str) -> bool:
+        """Whether counts are byte pairs of a vocabulary."""
+        return tokenizer in self.vocabularies and tokenizer not in self.artifacts and tokenizer not in self.custom
+
+    def of_pairs(self, tokenizer: str, n: Column) -> Column:
+        """Count of so many ids."""
+        return _struct(n, n, n, f"local-bpe:{tokenizer}", tokenizer, F.lit(1.0))
+
     def needed(self, tokenizers: list[str]) -> frozenset:
         """Features that the artifacts of tokenizers read."""
         found = [self.artifacts[t] for t in tokenizers]
@@ -239,8 +247,7 @@ class Counters:
 
             return self.of_counters(tokenizer, features(text))
         if tokenizer in self.vocabularies:
-            n = byte_pair(self.vocabularies[tokenizer], text)
-            return _struct(n, n, n, f"local-bpe:{tokenizer}", tokenizer, F.lit(1.0))
+            return self.of_pairs(tokenizer, byte_pair(self.vocabularies[tokenizer], text))
         raise KeyError(f"no counter for tokenizer {tokenizer!r}: supply its rank file, an accepted artifact or a counter")
 
     def of_sums(self, tokenizer: str, sums: dict[str, Column], invalid: Column | None = None) -> Column:

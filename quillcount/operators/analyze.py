@@ -3,8 +3,9 @@
 Heuristic counts are functions of sums over characters, so a request's count
 over its joined texts, with and without the source wrapper, comes from ordinary
 partial sums; calibrated counts come from boundary states, folded in the order
-of sources. No text is gathered for either. Only byte-pair vocabularies and own
-counters assemble the strings, one bounded request at a time.
+of sources, and byte-pair counts from parts cut at safe places. No text is
+gathered for any of them. Only own counters assemble the strings, one bounded
+request at a time.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from ..functions.counters import COUNT, FAMILIES, Counters, heuristic, no_tokens
 from ..functions.money import cost_micros, tier_at
 from ..functions.text import CLASSES, with_classes
 from ..sources.catalog import stale_column
+from . import bytepairs
 from . import plan as planning
 from .pricing import priced_components, scenarios
 
@@ -225,7 +227,11 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     if by_state:
         sums = sums.join(request_states(base, counters.needed(by_state)), "request_id", "left")
         sums = sums.withColumns({k: F.coalesce(k, boundary.empty()) for k in ("raw_state", "wrapped_state")})
-    if any(not counters.additive(t) and t not in by_state for t in tokenizers):
+    by_pairs = [t for t in tokenizers if counters.paired(t)]
+    for i, t in enumerate(by_pairs):
+        n = bytepairs.request_counts(base, counters.vocabularies[t])
+        sums = sums.join(n.select("request_id", *[c(w).alias(f"{w}_pairs_{i}") for w in ("raw", "wrapped")]), "request_id", "left").na.fill(0, [f"{w}_pairs_{i}" for w in ("raw", "wrapped")])
+    if any(not counters.additive(t) and t not in (*by_state, *by_pairs) for t in tokenizers):
         sums = sums.join(assembled(base), "request_id", "left").na.fill("", ["raw", "wrapped"])
 
     def of(tokenizer: str, what: str) -> Column:
@@ -235,6 +241,8 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
             return counters.of_sums(tokenizer, _sums(what)) if counters.additive(tokenizer) else counters.of_text(tokenizer, F.coalesce(c(what), F.lit("")))
         if counters.additive(tokenizer):
             return counters.of_sums(tokenizer, _sums(what), c("invalid"))
+        if tokenizer in by_pairs:
+            return counters.of_pairs(tokenizer, c(f"{what}_pairs_{by_pairs.index(tokenizer)}"))
         if tokenizer in by_state:
             return counters.of_counters(tokenizer, boundary.counters(c(f"{what}_state")), c("invalid"))
         return counters.of_text(tokenizer, c(what))

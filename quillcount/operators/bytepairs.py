@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.counters import Vocabulary
 from ..functions.staging import staged
+from .running import ranged, same, with_before
 
 #: Characters after which a long text is cut at the next safe place.
 STRETCH = 1 << 14
@@ -108,3 +109,42 @@ def counted(rows: DataFrame, key: list[str], text: str, vocabulary: Vocabulary)
     total = F.coalesce(F.sum(F.col("n") * F.col("tokens")), F.lit(0).cast("long"))
     out = uses.join(known, "piece", "left").groupBy(*names).agg(total.alias("tokens"))
     return out.select(*[F.col(o).alias(k) for o, k in zip(names, key, strict=True)], "tokens")
+
+
+def request_counts(sources: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(request_id, raw, wrapped): ids of each request's joined texts, and of its wrapped ones, without assembling either.
+
+    Sources (request_id, kind, label, text) are in the order (kind, label,
+    digest). Between a text's first and last safe place it is counted by itself;
+    what is left at its ends goes, through the line feed that joins them, with
+    the ends of its neighbours, and with whole texts that have no such place,
+    such as marks or white space alone; a run of those is one row. A wrapper has
+    a safe place of its own, after its first word.
+    """
+    key, order = ["request_id"], ["kind", "label", "digest"]
+    text = F.col("text")
+    some = sources.where(F.octet_length(text) > 0).select(*key, "kind", "label", F.sha2(text.cast("binary"), 256).alias("digest"), "text")
+    # a letter or number at the end is safe too, for a line feed or nothing comes next
+    begun = F.regexp_extract("text", r"(?Us)^(.*?[\p{L}\p{N}])(?=\s|\z)", 1)
+    until = F.regexp_extract("text", r"(?Us)^(.*[\p{L}\p{N}])(?=\s|\z)", 1)
+    some = some.withColumns({"first": begun, "until": until}).withColumn("cut", (F.octet_length("until") > 0).cast("long"))
+    rows = with_before(ranged(some, key, order), key, order, {"chain": F.col("cut"), "place": F.lit(1).cast("long")})
+    cut, long = F.col("cut") > 0, lambda n: F.lit(n).cast("long")
+    at = lambda chain, place, value: F.struct(chain.alias("chain"), place.alias("place"), value.alias("value"))
+    end = F.substring("text", F.char_length("until") + 1, F.char_length("text"))
+    inner = F.substring("text", F.char_length("first") + 1, F.char_length("until") - F.char_length("first"))
+    loose = F.when(cut, F.array(at(F.col("chain"), F.col("place"), F.col("first")), at(F.col("chain") + 1, F.col("place"), end))).otherwise(F.array(at(F.col("chain"), F.col("place"), text)))
+    ends = rows.select(*key, F.explode(loose).alias("x")).select(*key, "x.*").groupBy(*key, "chain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]), "\n").alias("text"))
+    middle = rows.where(cut).select(*key, inner.alias("text"))
+    # <source| label="..">..</source>\n<source| label=..: cut after the first word of each wrapper
+    name = F.translate("label", '"', "'")
+    line = F.when(F.endswith(text, F.lit("\n")), "").otherwise("\n")
+    opening = F.when(F.col("place") > 0, F.array()).otherwise(F.array(F.lit("<source")))
+    total = some.groupBy(*key).agg((F.count("*") - 1).alias("_last"))
+    own = rows.join(total.withColumnRenamed("request_id", "_of"), same([F.col("request_id")], [F.col("_of")]))
+    body = F.concat(F.lit(' label="'), name, F.lit('">\n'), text, line, F.lit("</source>\n"), F.when(F.col("place") < F.col("_last"), F.lit("<source")).otherwise(F.lit("")))
+    wrapped = own.select(*key, F.explode(F.concat(opening, F.array(body))).alias("text"))
+    parts = [df.select(*key, F.lit(which).alias("which"), "text") for df, which in ((ends, "raw"), (middle, "raw"), (wrapped, "wrapped"))]
+    sums = counted(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["request_id", "which"], "text", vocabulary)
+    one = lambda which: F.coalesce(F.sum(F.when(F.col("which") == which, F.col("tokens"))), long(0)).alias(which)
+    return sums.groupBy(*key).agg(one("raw"), one("wrapped"))

@@ -507,6 +507,13 @@ def bpe_count(spark, d):
     return rows.select("doc_id", "tokens", F.col("tokens").alias("low"), F.col("tokens").alias("high"), F.lit("local-bpe:byte_bpe_50k").alias("method"))
 
 
+def bpe_requests(spark, d):
+    """Exact byte-pair counts of each source's joined and wrapped documents, without assembled texts."""
+    import public_tokenizers as P
+
+    return bytepairs.request_counts(_documents(spark, d), cn.Vocabulary(P.path("byte_bpe_50k.tiktoken"), P.PATTERN))
+
+
 def media_inspect(spark, d):
     """Inspection of each page's bytes as they are, and whole behind headers that make them a PDF, a WAV and a GIF."""
     html = F.coalesce("html", F.lit(""))
@@ -538,7 +545,7 @@ ALL = (
     text_features, text_feature_vector, count_heuristics, count_calibrated_ood, models_list, model_resolve, price_tiers, price_modality, scenario_costs, price_components_greedy, assemble_wrapped, price_components_one_request, limit_fold_one_request, media_plans, media_limits, mime_mismatch, binary_filter, analyze_verified, request_features, analyze_calibrated,
     analyze_compare, analyze_high_bound, analyze_profiles, conversation_request, top_sources, threshold_exit, normalize_hash, generated_filter, ignore_filter, override_last_wins, limit_fold,
     image_patch, audio_duration, media_components, media_requests, diff_models, diff_components, diff_sources, history_topk, calib_split, calib_digests, calib_maximums, calib_metrics, calib_strata,
-    calib_residual_bounds, calib_normal_equations, bpe_count, media_inspect, media_headers,
+    calib_residual_bounds, calib_normal_equations, bpe_count, bpe_requests, media_inspect, media_headers,
     history_runs, calib_sample_digest, calib_fits, calib_improvement, calib_predicted,
 )
 

@@ -52,3 +52,41 @@ def test_whole_tables_against_the_encoder(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = {r["doc_id"]: len(cn.byte_pair_ids(VOCABULARY, r["text"] or "")) for r in df.collect()}
     assert {r["doc_id"]: r["tokens"] for r in bp.counted(df, ["doc_id"], "text", VOCABULARY).collect()} == want
+
+
+def requests_of(spark, seed, pieces, most):
+    rng = random.Random(seed)
+    rows = [(f"r{i}", "file", f"{rng.randint(0, 9)}-{j}" + rng.choice(["", '"', " é"]), rng.choice([drawn(rng, 6), rng.choice(pieces)])) for i in range(8) for j in range(rng.randint(0, most))]
+    return spark.createDataFrame(rows + [("same", "file", "x", "b b"), ("same", "file", "x", "a"), ("none", "file", "x", "")], "request_id string, kind string, label string, text string").repartition(3)
+
+
+@pytest.mark.parametrize("pattern", [P.PATTERN, LATER])
+def test_requests_without_assembly(spark, pattern):
+    from quillcount.operators import analyze as an
+
+    v = cn.Vocabulary(VOCABULARY.rank_file, pattern)
+    sources = requests_of(spark, 5, ["a", " ", "\n", "\n\n", "...", "end.\n", " x", "x ", "12", "word word", "!\n \n", "\t", "a b.", "'s"], 30)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["request_id"]: (r["raw"], r["wrapped"]) for r in bp.request_counts(sources, v).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {r["request_id"]: tuple(len(cn.byte_pair_ids(v, r[p])) for p in ("raw", "wrapped")) for r in an.assembled(sources).collect()}
+    assert got == want and len(want) >= 8
+
+
+def test_analysis_by_a_vocabulary(spark, monkeypatch):
+    from quillcount.operators import analyze as an
+    from quillcount.sources import catalog as cat
+
+    sources = requests_of(spark, 11, ["a", "word\n", "..."], 9)
+    sources = an.text_sources(sources, F.col("request_id"), F.col("label"), F.col("text"))
+    models = cat.models(spark, cat.default_catalog(), ["gpt"])
+    counters = cn.Counters(vocabularies={models.first()["tokenizer"]: VOCABULARY})
+    want = {r["request_id"]: tuple(len(cn.byte_pair_ids(VOCABULARY, r[p])) for p in ("raw", "wrapped")) for r in an.assembled(sources).collect()}
+    monkeypatch.setattr(an, "assembled", None)
+    rows = an.analyze(sources, models, an.Options(), counters, with_media=False).models.collect()
+    assert {r["request_id"] for r in rows} == set(want) | {"none"}
+    for r in rows:
+        raw, wrapped = want.get(r["request_id"], (0, 0))
+        assert r["wrapper_tokens"] == max(0, wrapped - raw) and r["input_tokens"] == raw + r["wrapper_tokens"] and r["confidence"] == 1.0
