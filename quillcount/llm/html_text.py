@@ -4,10 +4,8 @@ The DOMs of one host's pages are merged: elements at the same path of tags,
 classes, ids and places among like siblings are one node of the host's tree,
 menus, footers and adverts included. For each node the tree counts the pages
 that show it, the arrangements of its children (presentation) and the phrases
-of its own text (content). Phrases are the pairs of neighbouring words of which
-the hashes are the ``PHRASES`` least of the text on that page, a sample of its
-whole text that agrees wherever texts do, so a changed word changes little.
-With m pages and a phrase on c of them, the phrase's importance is
+of its own text (content). Phrases are all pairs of neighbouring words of the
+text on that page, each once, so a changed word changes little. With m pages and a phrase on c of them, the phrase's importance is
 1 - log c / log m; a node's content importance is the mean over the occurrences
 of its phrases, and its presentation importance the same of its arrangements.
 
@@ -20,6 +18,11 @@ tenth. A branch whose importance, by that of the important part of its article,
 stays below ``LEAST_IMPORTANCE`` is removed, and the blocks of what is left are
 the text.
 
+Importance decides only on branches with a name or a box's element within an
+article. Where the articles of no page that shows a node have one, its counts
+are never read, and ``deciding`` leaves them out: the texts are the same.
+All phrases of the other nodes are counted.
+
 Pages of a host on which all open nodes are the same, as copies are, count as
 one page: that an article was copied does not make it boilerplate. As branches
 are measured by their article, near copies keep what they share. All counts are
@@ -41,6 +44,7 @@ from functools import lru_cache
 from html.parser import HTMLParser
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -54,8 +58,6 @@ LEAST_IMPORTANCE, MIN_PAGES = 0.2, 8
 PRESENTATION = 0.15
 #: Prior of what names itself something beside the article.
 BESIDE_PRIOR = 0.1
-#: Pairs of words of a node's text on a page that are counted.
-PHRASES = 5
 #: Nodes in doubt of a host that are sent to each of its pages; beyond it, pages look up theirs.
 HOST_NODES = 2_000
 
@@ -205,38 +207,44 @@ def own_text(node: Node) -> str:
     return "\n".join(p for p in node.parts if isinstance(p, str))
 
 
-def phrases(text: str) -> list[int]:
+def phrases(text: str) -> set[int]:
     """Hashes of the phrases of a text."""
-    return _phrases(text.split())
-
-
-def _phrases(words: list[str]) -> list[int]:
-    if len(words) < 2:
-        return [xxhash.xxh3_64_intdigest(w) for w in words]
-    return sorted(set(map(xxhash.xxh3_64_intdigest, map(" ".join, pairwise(words)))))[:PHRASES]
+    words = text.split()
+    return set(map(xxhash.xxh3_64_intdigest, map(" ".join, pairwise(words)) if len(words) > 1 else words))
 
 
-def observations(html: str, host: str) -> tuple[list[tuple[int, int, int]], bytes]:
-    """(node, kind, hash) of a page's arrangements (kind 0, one for each node) and phrases (kind 1),
-    and a digest of what its open nodes show."""
-    seen: set[tuple[int, int, int]] = set()
-    shown = xxhash.xxh3_128()
+def _shown(blocks: list[Node]) -> tuple[list[tuple[Node, str]], bytes]:
+    """The nodes that show something, with their arrangements, and a digest of what the open ones show."""
+    seen: list[tuple[Node, str]] = []
+    shown: list[str] = []
     machine: set[int] = set()
     closed: set[int] = set()
-    for node in parsed(html, host):
+    for node in blocks:
         own, above = id(node), id(node.parent.block) if node.parent is not None else 0
         if node.tag in _MACHINE or above in machine:
             machine.add(own)
             continue
-        style = "".join("#" if isinstance(p, str) else p.step for p in node.parts if not isinstance(p, str) or p.strip())
-        words = own_text(node).split()
-        seen.add((node.key, 0, xxhash.xxh3_64_intdigest(style)))
-        seen.update([(node.key, 1, h) for h in _phrases(words)])
+        style = "".join(["#" if isinstance(p, str) else p.step for p in node.parts if not isinstance(p, str) or p.strip()])
+        seen.append((node, style))
         if node.prior < 1.0 or above in closed:
             closed.add(own)
         else:
-            shown.update(f"{node.key}|{style}|{' '.join(words)}|")
-    return sorted(seen), shown.digest()
+            shown.append(f"{node.key}|{style}|{' '.join(own_text(node).split())}|")
+    return seen, xxhash.xxh3_128_digest("".join(shown))
+
+
+def arrangements(html: str, host: str) -> tuple[list[tuple[int, int, bool]], bytes]:
+    """(node, hash, whether it may decide) of a page's arrangements, one for each node, and the page's digest."""
+    blocks = parsed(html, host)
+    seen, page = _shown(blocks)
+    read = deciding(blocks)
+    return [(n.key, xxhash.xxh3_64_intdigest(style), n.key in read) for n, style in seen], page
+
+
+def contents(html: str, host: str, nodes: dict | None = None) -> tuple[list[tuple[int, int]], bytes]:
+    """(node, hash) of all phrases of a page's ``nodes`` (None: of all), and the page's digest."""
+    seen, page = _shown(parsed(html, host))
+    return [(n.key, h) for n, _ in seen if nodes is None or n.key in nodes for h in phrases(own_text(n))], page
 
 
 def weigh(blocks: list[Node], evidence: dict[int, tuple[float, float]]) -> None:
@@ -288,12 +296,30 @@ def _removed(node: Node, article: Node) -> bool:
     return node.prior * share < LEAST_IMPORTANCE and bool(node.names or node.tag in _BOXES)
 
 
+def deciding(blocks: list[Node]) -> set[int]:
+    """Keys of the nodes whose importance is read when the page's text is taken: the open ones
+    of articles that have a branch which a low importance could remove."""
+    keys: set[int] = set()
+    for article in _articles(blocks):
+        branch, doubt, at = [article], False, 0
+        while at < len(branch):
+            for part in branch[at].parts:
+                if not isinstance(part, str) and part.prior >= LEAST_IMPORTANCE:
+                    branch.append(part)
+                    doubt |= bool(part.names or part.tag in _BOXES)
+            at += 1
+        if doubt:
+            keys.update([node.key for node in branch])
+    return keys
+
+
 def main_text(html: str | None, host: str = "", evidence: dict[int, tuple[float, float]] | None = None) -> str:
     """The article's blocks, joined by empty lines."""
     if not html:
         return ""
     blocks = parsed(html, host)
-    weigh(blocks, evidence or {})
+    if evidence:  # else all are of importance 1
+        weigh(blocks, evidence)
     out: list[str] = []
     line: list[str] = []
 
@@ -332,47 +358,95 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", named)
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content) of the merged trees of pages (host, html)."""
+class _Evidence:
+    """Nodes of an evidence array with their other fields; decoded once for the pages of a host that follow each other."""
+
+    def __init__(self):
+        self.last, self.nodes = None, {}
+
+    def __call__(self, found: pa.ListScalar) -> dict[int, tuple]:
+        if not found.is_valid:
+            return {}
+        values = found.values
+        if self.last is None or not values.equals(self.last):
+            self.last = values
+            node, *more = (values.field(k).to_pylist() for k in range(values.type.num_fields))
+            self.nodes = {n + (1 << 63): v for n, *v in zip(node, *more, strict=True)}
+        return self.nodes
+
+
+def _signed(hashes) -> np.ndarray:
+    return (np.array(hashes, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _distinct(pages: DataFrame, observed, flag: bool = False) -> DataFrame:
+    """(host, node, hash) that ``observed(html, host, evidence)`` sees on each different page of a host, and
+    ``decides`` if it gives a ``flag``. Pages: host, html and, if there is any, evidence."""
     configured(pages.sparkSession)
+    names = ["node", "hash", "decides"]
 
     def run(batches):
         known: set = set()  # digests of a host's htmls and pages that this task has sent
+        evidence = _Evidence()
         for batch in batches:
-            rows = []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            hosts, digests, ends, seen = [], [], [0], []
+            for host, html, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2) if batch.num_columns > 2 else [None] * batch.num_rows, strict=True):
                 html = html.as_py() or ""
                 if (copy := (host, 0, xxhash.xxh3_128_digest(html))) in known:
                     continue
                 known.add(copy)
-                seen, page = observations(html, host)
+                of_page, page = observed(html, host, found if found is None else evidence(found))
                 if (host, 1, page) not in known:
                     known.add((host, 1, page))
-                    rows.append((host, page, [{"node": n - (1 << 63), "kind": k, "hash": h - (1 << 63)} for n, k, h in seen]))
-            kinds = (pa.string(), pa.binary(), pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int8()), ("hash", pa.int64())])))
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["host", "page", "seen"])
-
-    sent = pages.select("host", "html").mapInArrow(run, "host string, page binary, seen array<struct<node:bigint,kind:tinyint,hash:bigint>>")
-    seen = sent.dropDuplicates(["host", "page"]).select("host", F.inline("seen"))
-    # a node's hash is that of its host and path
-    kinds = seen.groupBy("node", "kind", "hash").agg(F.count("*").alias("n"), F.min("host").alias("host"))
-    of = lambda kind, v: F.sum(F.when(F.col("kind") == kind, v))
-    n, spread = F.col("n"), F.col("n") * F.log("n")
-    nodes = kinds.groupBy("node").agg(F.min("host").alias("host"), of(0, n).alias("pages"), of(0, spread).alias("styles"), of(1, n).alias("phrases"), of(1, spread).alias("texts"))
+                    hosts.append(host)
+                    digests.append(page)
+                    seen += of_page
+                    ends.append(len(seen))
+            node, key, *flags = zip(*seen, strict=True) if seen else [()] * (2 + flag)
+            fields = [pa.array(_signed(node)), pa.array(_signed(key)), *(pa.array(f, pa.bool_()) for f in flags)]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names[: len(fields)]))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), lists], names=["host", "page", "seen"])
+
+    sent = pages.mapInArrow(run, f"host string, page binary, seen array<struct<node:bigint,hash:bigint{',decides:boolean' if flag else ''}>>")
+    return sent.dropDuplicates(["host", "page"]).select("host", F.inline("seen"))
+
+
+def _summed(kinds: DataFrame, total: str, spread: str, *more: Column) -> DataFrame:
+    """By node (a hash of its host and path) the sums of n and of n log n."""
+    return kinds.groupBy("node").agg(F.sum("n").alias(total), F.sum(F.col("n") * F.log("n")).alias(spread), *more)
+
+
+def _styles(pages: DataFrame) -> DataFrame:
+    """By node its host, its pages, the sum of n log n of the pages of its arrangements, and whether it may decide."""
+    kinds = _distinct(pages.select("host", "html"), lambda html, host, _: arrangements(html, host), flag=True)
+    more = F.min("host").alias("host"), F.max("decides").alias("decides")
+    return _summed(kinds.groupBy("node", "hash").agg(F.count("*").alias("n"), *more), "pages", "styles", *more)
+
+
+def _weighed(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, node, pages, presentation, content) of ``nodes``, whose phrases on ``pages`` (host, html, evidence:
+    the nodes to look at; all where there is none) are counted."""
+    seen = _distinct(pages, contents)
+    texts = _summed(seen.groupBy("node", "hash").agg(F.count("*").alias("n")), "phrases", "texts")
     # entropies to the base of the number of pages: 0 if all are alike, 1 if all differ
     alike = lambda total, n: F.greatest(F.lit(0.0), F.when((F.col("pages") > 1) & (F.col(n) > 0), 1 - F.col(total) / (F.col(n) * F.log("pages"))).otherwise(F.lit(1.0)))
-    return nodes.select("host", "node", "pages", alike("styles", "pages").alias("presentation"), alike("texts", "phrases").alias("content"))
+    return nodes.join(texts, "node", "left").select("host", "node", "pages", alike("styles", "pages").alias("presentation"), alike("texts", "phrases").alias("content"))
 
 
-def doubtful_nodes(pages: DataFrame) -> DataFrame:
-    """(host, node, presentation, content) of the nodes whose importance may be low."""
-    known = style_trees(pages).where(F.col("pages") >= MIN_PAGES)
-    return known.where("presentation < 1 OR content < 1").select("host", "node", F.col("presentation").cast("float"), F.col("content").cast("float"))
+def style_trees(pages: DataFrame) -> DataFrame:
+    """(host, node, pages, presentation, content) of the merged trees of pages (host, html)."""
+    return _weighed(_styles(pages), pages.select("host", "html"))
 
 
-def _gathered() -> Column:
-    return F.collect_list(F.struct("node", "presentation", "content")).alias("evidence")
+def doubtful_nodes(pages: DataFrame) -> DataFrame:
+    """(host, node, presentation, content) of the nodes whose importance may be low and is read on some page."""
+    nodes = staged(_styles(pages).where((F.col("pages") >= MIN_PAGES) & F.col("decides")), "html-styles")
+    if nodes.isEmpty():
+        known = nodes.select("host", "node", F.lit(1.0).alias("presentation"), F.lit(1.0).alias("content"))
+    else:
+        of_hosts = pages.select("host", "html").join(nodes.select("host").distinct(), "host", "left_semi")
+        known = _weighed(nodes, _attached(of_hosts, nodes, "node").where("evidence IS NOT NULL"))
+    return known.where("presentation < 1 OR content < 1").select("host", "node", F.col("presentation").cast("float"), F.col("content").cast("float"))
 
 
 def _own_nodes(batches):
@@ -382,15 +456,14 @@ def _own_nodes(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(nodes, pa.list_(pa.int64()))], names=["host", "h1", "h2", "nodes"])
 
 
-def with_evidence(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, host, html) with ``evidence``, the nodes in doubt that they may have."""
-    nodes = staged(doubtful_nodes(pages), "html-nodes")
+def _attached(pages: DataFrame, nodes: DataFrame, *fields: str) -> DataFrame:
+    """``pages`` (host, html and others) with ``evidence``, the ``fields`` of the staged ``nodes`` that they may have."""
+    gathered = F.collect_list(F.struct(*fields)).alias("evidence")
     sizes = staged(nodes.groupBy("host").agg(F.count("*").alias("size")), "html-hosts")
-    small = nodes.join(sizes.where(F.col("size") <= HOST_NODES), "host").groupBy("host").agg(_gathered())
+    small = nodes.join(sizes.where(F.col("size") <= HOST_NODES), "host").groupBy("host").agg(gathered)
     small = staged(small, "html-evidence")
     large = sizes.where(F.col("size") > HOST_NODES).select("host")
     if large.isEmpty():
-        discard(nodes)
         return pages.join(small, "host", "left")
     # pages of large hosts: each different page looks up its own nodes
     digests = [F.xxhash64(F.coalesce("html", F.lit(""))).alias("h1"), F.xxhash64(F.lit(7), F.coalesce("html", F.lit(""))).alias("h2")]
@@ -398,11 +471,21 @@ def with_evidence(pages: DataFrame) -> DataFrame:
     distinct = many.groupBy("host", "h1", "h2").agg(F.min("html").alias("html"))
     own = distinct.mapInArrow(_own_nodes, "host string, h1 long, h2 long, nodes array<bigint>")
     own = own.select("host", "h1", "h2", F.explode(F.array_distinct("nodes")).alias("node"))
-    found = staged(own.join(nodes.drop("host"), "node").groupBy("host", "h1", "h2").agg(_gathered()), "html-page-evidence")
+    found = staged(own.join(nodes.drop("host"), "node").groupBy("host", "h1", "h2").agg(gathered), "html-page-evidence")
     of_many = many.join(found, ["host", "h1", "h2"], "left").drop("h1", "h2")
     return pages.join(large, "host", "left_anti").join(small, "host", "left").unionByName(of_many)
 
 
+def with_evidence(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, host, html) with ``evidence``, the nodes in doubt that they may have."""
+    nodes = staged(doubtful_nodes(pages), "html-nodes")
+    if nodes.isEmpty():
+        return pages.withColumn("evidence", F.lit(None).cast("array<struct<node:bigint,presentation:float,content:float>>"))
+    out = _attached(pages, nodes, "node", "presentation", "content")
+    discard(nodes)
+    return out
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id``, ``url``, ``text`` and ``n_chars`` of pages (page_id, url, html)."""
     configured(pages.sparkSession)
@@ -410,18 +493,9 @@ def extracted(pages: DataFrame) -> DataFrame:
     rows = with_evidence(pages).select("page_id", "url", "host", "html", "evidence")
 
     def run(batches):
-        last, evidence = None, {}
+        evidence = _Evidence()
         for batch in batches:
-            texts = []
-            for host, html, found in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True):
-                if not found.is_valid:
-                    texts.append(main_text(html.as_py(), host))
-                    continue
-                values = found.values
-                if last is None or not values.equals(last):
-                    last = values
-                    evidence = {n + (1 << 63): (p, c) for n, p, c in zip(*(values.field(f).to_pylist() for f in ("node", "presentation", "content")), strict=True)}
-                texts.append(main_text(html.as_py(), host, evidence))
+            texts = [main_text(html.as_py(), host, evidence(found)) for host, html, found in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
