@@ -39,10 +39,10 @@ pages each; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 from html.parser import HTMLParser
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,10 @@ LEAST_IMPORTANCE, MIN_PAGES = 0.2, 8
 PRESENTATION = 0.15
 #: Prior of what names itself something beside the article.
 BESIDE_PRIOR = 0.1
+#: Hashes of phrases within a node, and bytes of one.
+HASH, HASH_BYTES = 1 << 48, 6
+#: Phrases that a task holds before it sends them, and characters of a node's texts to a group that counts them.
+HELD, PART_CHARS = 1 << 20, 4_000_000
 #: Nodes in doubt of a host that are sent to each of its pages; beyond it, pages look up theirs.
 HOST_NODES = 2_000
 
@@ -213,9 +217,9 @@ def phrases(text: str) -> set[int]:
     return set(map(xxhash.xxh3_64_intdigest, map(" ".join, pairwise(words)) if len(words) > 1 else words))
 
 
-def _shown(blocks: list[Node]) -> tuple[list[tuple[Node, str]], bytes]:
-    """The nodes that show something, with their arrangements, and a digest of what the open ones show."""
-    seen: list[tuple[Node, str]] = []
+def _shown(blocks: list[Node]) -> tuple[list[tuple[Node, str, str]], int]:
+    """The nodes that show something, with their arrangement and text, and a digest of what the open ones show."""
+    seen: list[tuple[Node, str, str]] = []
     shown: list[str] = []
     machine: set[int] = set()
     closed: set[int] = set()
@@ -225,26 +229,21 @@ def _shown(blocks: list[Node]) -> tuple[list[tuple[Node, str]], bytes]:
             machine.add(own)
             continue
         style = "".join(["#" if isinstance(p, str) else p.step for p in node.parts if not isinstance(p, str) or p.strip()])
-        seen.append((node, style))
+        text = own_text(node)
+        seen.append((node, style, text))
         if node.prior < 1.0 or above in closed:
             closed.add(own)
         else:
-            shown.append(f"{node.key}|{style}|{' '.join(own_text(node).split())}|")
-    return seen, xxhash.xxh3_128_digest("".join(shown))
+            shown.append(f"{node.key}|{style}|{' '.join(text.split())}|")
+    return seen, xxhash.xxh3_64_intdigest("".join(shown))
 
 
-def arrangements(html: str, host: str) -> tuple[list[tuple[int, int, bool]], bytes]:
-    """(node, hash, whether it may decide) of a page's arrangements, one for each node, and the page's digest."""
+def arrangements(html: str, host: str) -> tuple[list[tuple[int, int, int, bool]], int]:
+    """(node, hash, characters, whether it may decide) of a page's arrangements, one for each node, and its digest."""
     blocks = parsed(html, host)
     seen, page = _shown(blocks)
     read = deciding(blocks)
-    return [(n.key, xxhash.xxh3_64_intdigest(style), n.key in read) for n, style in seen], page
-
-
-def contents(html: str, host: str, nodes: dict | None = None) -> tuple[list[tuple[int, int]], bytes]:
-    """(node, hash) of all phrases of a page's ``nodes`` (None: of all), and the page's digest."""
-    seen, page = _shown(parsed(html, host))
-    return [(n.key, h) for n, _ in seen if nodes is None or n.key in nodes for h in phrases(own_text(n))], page
+    return [(n.key, xxhash.xxh3_64_intdigest(style), len(text), n.key in read) for n, style, text in seen], page
 
 
 def weigh(blocks: list[Node], evidence: dict[int, tuple[float, float]]) -> None:
@@ -359,100 +358,157 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 class _Evidence:
-    """Nodes of an evidence array with their other fields; decoded once for the pages of a host that follow each other."""
+    """Nodes of evidence arrays with their other fields; what pages of a host share is decoded once for many of them."""
 
     def __init__(self):
-        self.last, self.nodes = None, {}
+        self.known: dict = {}
 
-    def __call__(self, found: pa.ListScalar) -> dict[int, tuple]:
+    def __call__(self, host: str, found: pa.ListScalar) -> dict[int, tuple]:
         if not found.is_valid:
             return {}
         values = found.values
-        if self.last is None or not values.equals(self.last):
-            self.last = values
+        key = host, xxhash.xxh3_128_digest(values.field(0).to_numpy().tobytes())
+        if key not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
             node, *more = (values.field(k).to_pylist() for k in range(values.type.num_fields))
-            self.nodes = {n + (1 << 63): v for n, *v in zip(node, *more, strict=True)}
-        return self.nodes
+            self.known[key] = {n + (1 << 63): v for n, *v in zip(node, *more, strict=True)}
+        return self.known[key]
 
 
 def _signed(hashes) -> np.ndarray:
     return (np.array(hashes, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def _distinct(pages: DataFrame, observed, flag: bool = False) -> DataFrame:
-    """(host, node, hash) that ``observed(html, host, evidence)`` sees on each different page of a host, and
-    ``decides`` if it gives a ``flag``. Pages: host, html and, if there is any, evidence."""
+def _styles(pages: DataFrame) -> DataFrame:
+    """By node (a hash of its host and path) its host, ``pages`` that show it, the sum of n log n of the pages of its
+    arrangements, its characters and whether it may decide. A page that several rows show counts once, and
+    has a row of its own here, its digest being the node and the number of these rows ``copies``."""
     configured(pages.sparkSession)
-    names = ["node", "hash", "decides"]
 
     def run(batches):
-        known: set = set()  # digests of a host's htmls and pages that this task has sent
-        evidence = _Evidence()
+        known: dict = {}  # page of each html of a host that this task has read
+        sent: set = set()
         for batch in batches:
-            hosts, digests, ends, seen = [], [], [0], []
-            for host, html, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2) if batch.num_columns > 2 else [None] * batch.num_rows, strict=True):
+            rows: Counter = Counter()
+            seen: dict = {}
+            for host, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 html = html.as_py() or ""
-                if (copy := (host, 0, xxhash.xxh3_128_digest(html))) in known:
-                    continue
-                known.add(copy)
-                of_page, page = observed(html, host, found if found is None else evidence(found))
-                if (host, 1, page) not in known:
-                    known.add((host, 1, page))
-                    hosts.append(host)
-                    digests.append(page)
-                    seen += of_page
-                    ends.append(len(seen))
-            node, key, *flags = zip(*seen, strict=True) if seen else [()] * (2 + flag)
-            fields = [pa.array(_signed(node)), pa.array(_signed(key)), *(pa.array(f, pa.bool_()) for f in flags)]
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, names[: len(fields)]))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), lists], names=["host", "page", "seen"])
-
-    sent = pages.mapInArrow(run, f"host string, page binary, seen array<struct<node:bigint,hash:bigint{',decides:boolean' if flag else ''}>>")
-    return sent.dropDuplicates(["host", "page"]).select("host", F.inline("seen"))
-
+                copy = host, xxhash.xxh3_128_digest(html)
+                if copy not in known:
+                    shown, digest = arrangements(html, host)
+                    page = known[copy] = host, digest
+                    if page not in sent:
+                        sent.add(page)
+                        seen[page] = shown
+                rows[known[copy]] += 1
+            node, style, chars, decides = zip(*chain.from_iterable(seen.values()), strict=True) if seen else [()] * 4
+            fields = [pa.array(_signed(node)), pa.array(_signed(style)), pa.array(chars, pa.int64()), pa.array(decides, pa.bool_())]
+            # seen and rows have their pages in one order
+            ends = np.cumsum([0, *(len(seen.get(p, ())) for p in rows)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, ["node", "hash", "chars", "decides"]))
+            columns = [pa.array([h for h, _ in rows], pa.string()), pa.array(_signed([d for _, d in rows])), pa.array(list(rows.values()), pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "page", "rows", "seen"])
+
+    sent = pages.select("host", "html").mapInArrow(run, "host string, page long, rows long, seen array<struct<node:bigint,hash:bigint,chars:bigint,decides:boolean>>")
+    different = sent.groupBy("host", "page").agg(F.sum("rows").alias("copies"), F.first(F.when(F.size("seen") > 0, F.col("seen")), True).alias("seen"))
+    itself = F.struct(F.col("page").alias("node"), F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("chars"), F.lit(False).alias("decides"))
+    seen = F.when(F.col("copies") > 1, F.array_append("seen", itself)).otherwise(F.col("seen"))
+    shown = different.select("host", "page", "copies", F.inline(seen)).withColumn("copies", F.when(F.col("node") == F.col("page"), F.col("copies")))
+    more = F.sum("chars").alias("chars"), F.min("host").alias("host"), F.max("decides").alias("decides"), F.max("copies").alias("copies")
+    kinds = shown.groupBy("node", "hash").agg(F.count("*").alias("n"), *more)
+    return kinds.groupBy("node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("styles"), *more)
+
+
+def _sent(node: int, parts: int, found: list[tuple[np.ndarray, int]]):
+    """(node, part, hashes, counts) of phrases on pages with numbers of copies; no counts where all are 1."""
+    hashes = np.concatenate([h for h, _ in found]) & np.uint64(HASH - 1)
+    if all(copies == 1 for _, copies in found):
+        hashes, counts = np.unique(hashes, return_counts=True)
+    else:  # each copy counts as its share of a page
+        hashes, at = np.unique(hashes, return_inverse=True)
+        counts = np.bincount(at, np.concatenate([np.full(len(h), 1 / copies) for h, copies in found]))
+    of = hashes % np.uint64(parts)
+    for part in np.unique(of):
+        for once in (True, False):
+            own = (of == part) & ((counts == 1) == once)
+            if own.any():
+                narrow = np.ascontiguousarray(hashes[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES])
+                yield node - (1 << 63), int(part), narrow.tobytes(), None if once else counts[own].astype("<f8").tobytes()
+
+
+def _spread(key, found):
+    """The pages of all phrases of a part of a node, and the sum of n log n of them."""
+    hashes, counts = [], []
+    for h, n in zip(found.column("hashes").to_pylist(), found.column("counts").to_pylist(), strict=True):
+        wide = np.zeros((len(h) // HASH_BYTES, 8), np.uint8)
+        wide[:, :HASH_BYTES] = np.frombuffer(h, np.uint8).reshape(-1, HASH_BYTES)
+        hashes.append(wide.view("<u8").ravel())
+        counts.append(np.ones(len(wide)) if n is None else np.frombuffer(n, "<f8"))
+    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    n = np.maximum(1, np.rint(np.bincount(at, np.concatenate(counts))))
+    return pa.table({"node": [key[0].as_py()], "phrases": [int(n.sum())], "texts": [float((n * np.log(n)).sum())]})
 
-def _summed(kinds: DataFrame, total: str, spread: str, *more: Column) -> DataFrame:
-    """By node (a hash of its host and path) the sums of n and of n log n."""
-    return kinds.groupBy("node").agg(F.sum("n").alias(total), F.sum(F.col("n") * F.log("n")).alias(spread), *more)
 
+def _weighed(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """(host, node, pages, presentation, content) of the staged ``nodes`` (as of ``_styles``), whose phrases are
+    counted on ``pages`` (host, html)."""
 
-def _styles(pages: DataFrame) -> DataFrame:
-    """By node its host, its pages, the sum of n log n of the pages of its arrangements, and whether it may decide."""
-    kinds = _distinct(pages.select("host", "html"), lambda html, host, _: arrangements(html, host), flag=True)
-    more = F.min("host").alias("host"), F.max("decides").alias("decides")
-    return _summed(kinds.groupBy("node", "hash").agg(F.count("*").alias("n"), *more), "pages", "styles", *more)
+    def run(batches):
+        evidence = _Evidence()
+        held: dict = defaultdict(list)
+        size = 0
 
+        def flushed():
+            columns = list(zip(*(row for (node, parts), found in held.items() for row in _sent(node, parts, found)), strict=True)) or [[]] * 4
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["node", "part", "hashes", "counts"])
 
-def _weighed(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content) of ``nodes``, whose phrases on ``pages`` (host, html, evidence:
-    the nodes to look at; all where there is none) are counted."""
-    seen = _distinct(pages, contents)
-    texts = _summed(seen.groupBy("node", "hash").agg(F.count("*").alias("n")), "phrases", "texts")
+        for batch in batches:
+            for host, html, found in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                wanted = evidence(host, found)
+                seen, page = _shown(parsed(html.as_py() or "", host))
+                copies = wanted[page][0] if page in wanted else 1
+                for node, _, text in seen:
+                    if node.key in wanted and (of := phrases(text)):
+                        held[node.key, wanted[node.key][1]].append((np.fromiter(of, np.uint64, len(of)), copies))
+                        size += len(of)
+                        if size >= HELD:
+                            yield flushed()
+                            size = 0
+        yield flushed()
+
+    parts = nodes.withColumn("parts", (1 + F.col("chars") / PART_CHARS).cast("int"))
+    shown = _attached(pages.select("host", "html"), parts, "node", "copies", "parts").where("evidence IS NOT NULL")
+    sent = shown.select("host", "html", "evidence").mapInArrow(run, "node long, part int, hashes binary, counts binary")
+    texts = sent.groupBy("node", "part").applyInArrow(_spread, "node long, phrases long, texts double").groupBy("node").agg(F.sum("phrases").alias("phrases"), F.sum("texts").alias("texts"))
     # entropies to the base of the number of pages: 0 if all are alike, 1 if all differ
     alike = lambda total, n: F.greatest(F.lit(0.0), F.when((F.col("pages") > 1) & (F.col(n) > 0), 1 - F.col(total) / (F.col(n) * F.log("pages"))).otherwise(F.lit(1.0)))
-    return nodes.join(texts, "node", "left").select("host", "node", "pages", alike("styles", "pages").alias("presentation"), alike("texts", "phrases").alias("content"))
+    known = nodes.where("copies IS NULL").join(texts, "node", "left")
+    return known.select("host", "node", "pages", alike("styles", "pages").alias("presentation"), alike("texts", "phrases").alias("content"))
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
     """(host, node, pages, presentation, content) of the merged trees of pages (host, html)."""
-    return _weighed(_styles(pages), pages.select("host", "html"))
+    return _weighed(staged(_styles(pages), "html-styles"), pages)
 
 
 def doubtful_nodes(pages: DataFrame) -> DataFrame:
     """(host, node, presentation, content) of the nodes whose importance may be low and is read on some page."""
-    nodes = staged(_styles(pages).where((F.col("pages") >= MIN_PAGES) & F.col("decides")), "html-styles")
-    if nodes.isEmpty():
+    nodes = staged(_styles(pages).where(((F.col("pages") >= MIN_PAGES) & F.col("decides")) | F.col("copies").isNotNull()), "html-styles")
+    hosts = nodes.where("copies IS NULL").select("host").distinct()
+    if hosts.isEmpty():
         known = nodes.select("host", "node", F.lit(1.0).alias("presentation"), F.lit(1.0).alias("content"))
     else:
-        of_hosts = pages.select("host", "html").join(nodes.select("host").distinct(), "host", "left_semi")
-        known = _weighed(nodes, _attached(of_hosts, nodes, "node").where("evidence IS NOT NULL"))
+        known = _weighed(nodes.join(hosts, "host", "left_semi"), pages.join(hosts, "host", "left_semi"))
     return known.where("presentation < 1 OR content < 1").select("host", "node", F.col("presentation").cast("float"), F.col("content").cast("float"))
 
 
 def _own_nodes(batches):
-    """The nodes of pages (host, h1, h2, html)."""
+    """The nodes of pages (host, h1, h2, html), and their digests."""
     for batch in batches:
-        nodes = [[n.key - (1 << 63) for n in parsed(html.as_py() or "", host)] for host, html in zip(batch.column(0).to_pylist(), batch.column(3), strict=True)]
+        pages = [parsed(html.as_py() or "", host) for host, html in zip(batch.column(0).to_pylist(), batch.column(3), strict=True)]
+        nodes = [_signed([_shown(blocks)[1], *(n.key for n in blocks)]) for blocks in pages]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(nodes, pa.list_(pa.int64()))], names=["host", "h1", "h2", "nodes"])
 
 
@@ -495,7 +551,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batches):
         evidence = _Evidence()
         for batch in batches:
-            texts = [main_text(html.as_py(), host, evidence(found)) for host, html, found in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
+            texts = [main_text(html.as_py(), host, evidence(host, found)) for host, html, found in zip(batch.column(2).to_pylist(), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

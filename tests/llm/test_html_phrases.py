@@ -59,3 +59,21 @@ def test_texts_are_those_of_all_counts(spark, monkeypatch, most):
             gone += got[url] != html_text.main_text(html, f"h{host}")
     assert gone == 22
     assert {r.host for r in html_text.doubtful_nodes(html_text.with_host(df)).collect()} == {"h1", "h3"}
+
+
+@pytest.mark.parametrize("held, chars", [(1 << 20, 4_000_000), (40, 90)])
+def test_counts_in_parts_and_of_copies(spark, monkeypatch, held, chars):
+    """Groups of a node in parts, sent many times, and pages that several rows show, count as one whole would."""
+    monkeypatch.setattr(html_text, "HELD", held)
+    monkeypatch.setattr(html_text, "PART_CHARS", chars)
+    rng = np.random.default_rng(6)
+    htmls = [f"<div>{' '.join(rng.choice(['a', 'b', 'c', 'd'], 12))}</div><p>{k}</p>" for k in range(20)]
+    copies = htmls + htmls[:7] * 3 + [f"<script>{k}</script>{h}" for k, h in enumerate(htmls[5:9])] * 2
+    df = spark.createDataFrame([(h,) for h in copies], "html string").select(F.lit("h").alias("host"), "html").repartition(6)
+    got = {r.node + (1 << 63): (r.pages, r.presentation, r.content) for r in html_text.style_trees(df).collect()}
+    different = htmls + copies[-4:]
+    nodes = {n.key for h in htmls for n in html_text.parsed(h, "h")}
+    for key, (presentation, content) in recounted(different, "h").items():
+        if key in nodes:
+            assert got[key][1:] == (pytest.approx(presentation, abs=1e-9), pytest.approx(content, abs=1e-9))
+    assert got[html_text.parsed("<div>", "h")[1].key][0] == 24
