@@ -2,24 +2,37 @@
 
 ``rule`` is a catalog ``image`` struct column. The patch formula scales an image
 to an edge limit, then to a patch limit, and then takes single pixels off the
-larger side (the width when equal) until it fits; the number of those steps is
-found by binary search, as the sides after k steps have a closed form.
+larger side (the width when equal) until it fits; the number of those steps has
+a closed form where patches are square, and is found by binary search elsewhere.
+
+The formula is a list of steps over named values (``_STEPS``). ``image_tokens``
+binds them within one column, ``with_image_rule`` and ``with_image_tokens`` by
+columns of a table, which Spark compiles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Values = Callable[[str], Column]
+
 
 def _long(x) -> Column:
     return F.lit(x).cast("long")
 
 
+def _div(a: Column, b: Column) -> Column:
+    """Whole quotient; divisors below 1 count as 1."""
+    return F.call_function("div", a, F.greatest(b, _long(1)))
+
+
 def ceil_div(a: Column, b: Column) -> Column:
     """Rounded up quotient, 0 unless both are positive."""
     a, b = a.cast("long"), b.cast("long")
-    return F.when((a > 0) & (b > 0), F.call_function("div", a + b - 1, F.greatest(b, _long(1)))).otherwise(_long(0))
+    return F.when((a > 0) & (b > 0), _div(a + b - 1, b)).otherwise(_long(0))
 
 
 def _sides(w: Column, h: Column, k: Column) -> tuple[Column, Column]:
@@ -33,50 +46,107 @@ def _sides(w: Column, h: Column, k: Column) -> tuple[Column, Column]:
     return wide, high
 
 
+def _limits(v: Values) -> dict[str, Column]:
+    """What the rule says of the detail."""
+    d, rule = F.try_element_at(v("rule")["details"], v("detail")), v("rule")
+    return {
+        "kind": rule["kind"], "pw": rule["patch_width"].cast("long"), "ph": rule["patch_height"].cast("long"), "multiplier": rule["multiplier"], "small": rule["small_threshold"].cast("long"), "tile": rule["tile_size"].cast("long"),
+        "per_tile": rule["tokens_per_tile"], "mode": d["mode"], "fixed": d["fixed_tokens"], "edge": d["max_edge"].cast("long"), "most": d["max_patches"],
+    }
+
+
+def _real(c: Column) -> Column:
+    return c.cast("double")
+
+
+def _scaled(side: Column, factor: Column) -> Column:
+    return F.greatest(_long(1), F.floor(_real(side) * factor).cast("long"))
+
+
+def _to_edge(v: Values) -> dict[str, Column]:
+    w, h, edge = v("w"), v("h"), v("edge")
+    factor = F.least(F.try_divide(_real(edge), _real(w)), F.try_divide(_real(edge), _real(h)))
+    over = (edge > 0) & ((w > edge) | (h > edge))
+    return {"w1": F.when(over, _scaled(w, factor)).otherwise(w), "h1": F.when(over, _scaled(h, factor)).otherwise(h)}
+
+
+def _patches(v: Values) -> dict[str, Column]:
+    return {"p1": ceil_div(v("w1"), v("pw")) * ceil_div(v("h1"), v("ph"))}
+
+
+def _to_patches(v: Values) -> dict[str, Column]:
+    factor = F.sqrt(F.try_divide(_real(v("most")), _real(v("p1"))))
+    over = F.coalesce((v("most") > 0) & (v("p1") > v("most")), F.lit(False))
+    return {"over": over} | {f"{x}2": F.when(over, _scaled(v(f"{x}1"), factor)).otherwise(v(f"{x}1")) for x in "wh"}
+
+
+def _taken(v: Values) -> dict[str, Column]:
+    """Pixels that are taken off: first of the larger side until the sides are equal, then of both in turn."""
+    w, h, most = v("w2"), v("h2"), v("most")
+    larger, least = F.greatest(w, h), F.least(w, h)
+    of_larger, of_least = F.when(w > h, v("pw")).otherwise(v("ph")), F.when(w > h, v("ph")).otherwise(v("pw"))
+    # the larger side keeps as many whole patches as the other one leaves it
+    longest = _div(most, ceil_div(least, of_least)) * of_larger
+    # then sides of n and n, or n and n + 1 patches
+    n = F.floor(F.sqrt(_real(most))).cast("long")
+    square = (larger - least) + (least - n * v("pw")) * 2 - F.when(n * (n + 1) <= most, _long(1)).otherwise(_long(0))
+    fits = lambda k: (lambda x, y: ceil_div(x, v("pw")) * ceil_div(y, v("ph")) <= most)(*_sides(w, h, k))
+    search = F.aggregate(F.array(*[_long(1 << i) for i in reversed(range(20))]), _long(0), lambda k, n: F.when((k + n <= w + h) & ~fits(k + n - 1), k + n).otherwise(k))
+    steps = F.when(longest >= least, F.greatest(_long(0), larger - longest)).when(v("pw") == v("ph"), square).otherwise(search)
+    return {"k": F.when(v("over"), steps).otherwise(_long(0))}
+
+
+def _planned(v: Values) -> dict[str, Column]:
+    w, h = _sides(v("w2"), v("h2"), v("k"))
+    return {"w3": w, "h3": h}
+
+
+def _counted(v: Values) -> dict[str, Column]:
+    tiles = F.when((v("w") <= v("small")) & (v("h") <= v("small")), _long(1)).otherwise(ceil_div(v("w"), v("tile")) * ceil_div(v("h"), v("tile")))
+    return {"patches": ceil_div(v("w3"), v("pw")) * ceil_div(v("h3"), v("ph")), "tiles": tiles}
+
+
+def _result(v: Values) -> dict[str, Column]:
+    names = ("tokens", "planned_w", "planned_h", "patches", "tiles")
+    result = lambda *values: F.struct(*[x.cast("long").alias(n) for n, x in zip(names, values, strict=True)])
+    w, h, edge, none = v("w"), v("h"), v("edge"), _long(0)
+    fixed = result(v("fixed"), F.when(edge > 0, edge).otherwise(w), F.when(edge > 0, edge).otherwise(h), F.when(edge > 0, ceil_div(edge, v("pw")) * ceil_div(edge, v("ph"))).otherwise(none), none)
+    out = F.when(v("mode") == "fixed", fixed).when(v("kind") == "gemini-tile", result(v("tiles") * v("per_tile"), w, h, none, v("tiles")))
+    return {"result": out.when(v("kind") == "patch", result(F.ceil(_real(v("patches")) * v("multiplier")), v("w3"), v("h3"), v("patches"), none))}
+
+
+#: Each step adds values to those before it.
+_STEPS = (_limits, _to_edge, _patches, _to_patches, _taken, _planned, _counted, _result)
+
+
 def image_tokens(rule: Column, detail: Column, width: Column, height: Column) -> Column:
-    """struct(tokens, planned_w, planned_h, patches, tiles); null for a detail that the rule lacks."""
-    w, h = width.cast("long"), height.cast("long")
-    d = F.try_element_at(rule["details"], detail)
-    pw, ph = rule["patch_width"], rule["patch_height"]
-    count = lambda x, y: ceil_div(x, pw) * ceil_div(y, ph)
-    edge, most = d["max_edge"].cast("long"), d["max_patches"]
-    scaled = lambda side, factor: F.greatest(_long(1), F.floor(side.cast("double") * factor).cast("long"))
-    real = lambda c: c.cast("double")
-
-    def patch(w: Column, h: Column) -> Column:
-        factor = F.least(F.try_divide(real(edge), real(w)), F.try_divide(real(edge), real(h)))
-        over = (edge > 0) & ((w > edge) | (h > edge))
-        first = F.struct(F.when(over, scaled(w, factor)).otherwise(w).alias("w"), F.when(over, scaled(h, factor)).otherwise(h).alias("h"))
-
-        def limit(s: Column) -> Column:
-            patches = count(s["w"], s["h"])
-            factor = F.sqrt(F.try_divide(real(most), real(patches)))
-            over = (most > 0) & (patches > most)
-            return F.struct(over.alias("over"), F.when(over, scaled(s["w"], factor)).otherwise(s["w"]).alias("w"), F.when(over, scaled(s["h"], factor)).otherwise(s["h"]).alias("h"))
-
-        def shrink(s: Column) -> Column:
-            def fits(k: Column) -> Column:
-                x, y = _sides(s["w"], s["h"], k)
-                return count(x, y) <= most
-
-            steps = F.aggregate(F.array(*[_long(1 << i) for i in reversed(range(20))]), _long(0), lambda k, n: F.when((k + n <= s["w"] + s["h"]) & ~fits(k + n - 1), k + n).otherwise(k))
-            # no step where the image is within the limit
-            taken = F.when(s["over"], steps).otherwise(_long(0))
-            side = lambda k: F.struct(*[x.alias(n) for n, x in zip("wh", _sides(s["w"], s["h"], k), strict=True)])
-            return F.transform(F.array(taken), side)[0]
-
-        # one-element transforms bind each step's struct once
-        return F.transform(F.transform(F.transform(F.array(first), limit), shrink), lambda s: F.struct(
-            F.ceil(real(count(s["w"], s["h"])) * rule["multiplier"]).cast("long").alias("tokens"), s["w"].alias("planned_w"), s["h"].alias("planned_h"), count(s["w"], s["h"]).alias("patches"), _long(0).alias("tiles")))[0]
-
-    def result(tokens, w, h, patches, tiles) -> Column:
-        return F.struct(tokens.cast("long").alias("tokens"), w.cast("long").alias("planned_w"), h.cast("long").alias("planned_h"), patches.cast("long").alias("patches"), tiles.cast("long").alias("tiles"))
-
-    small = rule["small_threshold"]
-    tiles = F.when((w <= small) & (h <= small), _long(1)).otherwise(ceil_div(w, rule["tile_size"]) * ceil_div(h, rule["tile_size"]))
-    fixed = result(d["fixed_tokens"], F.when(edge > 0, edge).otherwise(w), F.when(edge > 0, edge).otherwise(h), F.when(edge > 0, count(edge, edge)).otherwise(_long(0)), _long(0))
-    out = F.when(d["mode"] == "fixed", fixed).when(rule["kind"] == "gemini-tile", result(tiles * rule["tokens_per_tile"], w, h, _long(0), tiles))
-    return out.when(rule["kind"] == "patch", patch(w, h))
+    """struct(tokens, planned_w, planned_h, patches, tiles) as one column, for a few rows; null for a detail that the rule lacks."""
+    values = {"rule": rule, "detail": detail, "w": width.cast("long"), "h": height.cast("long")}
+    bound, names = F.array(F.struct(*[x.alias(n) for n, x in values.items()])), list(values)
+    for step in _STEPS:
+        # one-element transforms bind each step's values once
+        added = lambda s: F.struct(*[s[n].alias(n) for n in names], *[x.alias(n) for n, x in step(lambda n: s[n]).items()])  # noqa: E731, B023
+        bound, names = F.transform(bound, added), [*names, *step(F.col)]
+    return bound[0]["result"]
+
+
+def _own(name: str, value: str) -> str:
+    return f"_{name}_{value}"
+
+
+def with_image_rule(df: DataFrame, name: str, rule: Column, detail: Column) -> DataFrame:
+    """``df`` with what a rule says of a detail, as columns for ``with_image_tokens``; the rule itself need not go on."""
+    return df.withColumns({_own(name, n): c for n, c in _limits({"rule": rule, "detail": detail}.get).items()})
+
+
+def with_image_tokens(df: DataFrame, name: str, width: Column, height: Column) -> DataFrame:
+    """``df`` from ``with_image_rule`` with ``image_tokens`` as the column ``name``; null without a width."""
+    at = lambda n: F.col(_own(name, n))
+    before = [n for n in df.columns if not n.startswith(_own(name, ""))]
+    df = df.withColumns({_own(name, "w"): width.cast("long"), _own(name, "h"): height.cast("long")})
+    for step in _STEPS[1:]:
+        df = df.withColumns({_own(name, n): c for n, c in step(at).items()})
+    return df.select(*before, F.when(at("w").isNotNull(), at("result")).alias(name))
 
 
 def audio_tokens(duration_ms: Column, per_second: Column) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.images import audio_tokens, image_tokens, page_pixels
+from ..functions.images import audio_tokens, page_pixels, with_image_rule, with_image_tokens
 from ..sources.catalog import VERSION
 
 # What a plan says of parts that a model cannot take or takes otherwise.
@@ -78,21 +78,35 @@ def worst_status(status: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.coalesce(F.max(rank), F.lit(1)).cast("int"))
 
 
-def _part(kind: str, method: Column, w=None, h=None, number=None, low_zero=None, confidence=None, formula=None) -> Column:
+def _part(kind: str, method: Column, w=None, h=None, number=None, low_zero=None, confidence=None) -> Column:
     null = lambda t: F.lit(None).cast(t)
     return F.struct(
         F.lit(kind).alias("modality"), method.alias("method"), (w if w is not None else null("long")).alias("w"), (h if h is not None else null("long")).alias("h"),
         (number if number is not None else null("int")).alias("page"), (low_zero if low_zero is not None else F.lit(False)).alias("low_zero"),
-        (confidence if confidence is not None else F.lit(1.0)).alias("confidence"), (formula if formula is not None else F.lit("")).alias("prefix"),
+        (confidence if confidence is not None else F.lit(1.0)).alias("confidence"),
     )
 
 
+_PARTS = "array<struct<modality:string,method:string,w:bigint,h:bigint,page:int,low_zero:boolean,confidence:double>>"
+
+
+def _page(i: Column) -> Column:
+    meta = F.try_element_at("document.page_meta", i)
+    unknown = F.coalesce(meta["classification"] == "unknown", F.lit(False))
+    known = F.coalesce(meta["width_points"] > 0, F.lit(False))
+    w = F.when(known, page_pixels(meta["width_points"], 1275)).otherwise(F.lit(1275).cast("long"))
+    h = F.when(known, F.ceil(meta["height_points"] * F.lit(150.0) / F.lit(72.0)).cast("long")).otherwise(F.lit(1650).cast("long"))
+    return _part("image", F.lit("published image formula"), w, h, i, unknown, F.when(unknown, F.lit(0.65)).otherwise(F.lit(1.0)))
+
+
 def planned(sources: DataFrame, models: DataFrame, processing: str = "native", image_detail: str = "auto", document_detail: str = "auto", overrides: tuple[Override, ...] = ()) -> DataFrame:
     """A row per source and model: status, warnings, provider part, and the components array."""
     s = sources.withColumns({
         "processing": overridden(F.col("path"), processing, "processing", overrides),
         "image_detail": overridden(F.col("path"), image_detail, "image_detail", overrides),
         "document_detail": overridden(F.col("path"), document_detail, "document_detail", overrides),
+        # the same on each model
+        "_pages": F.when(F.col("document.pages") > 0, F.transform(F.sequence(F.lit(1), F.col("document.pages")), _page)).otherwise(F.array().cast(_PARTS)),
     })
     m = models.select(F.col("id").alias("model"), F.col("ordinal").alias("model_ordinal"), "tokenizer", "modalities", "mimes", "max_assets", F.col("image").alias("image_rule"), "audio_tokens_per_second", "audio_formula", "document_formula")
     sm = s.crossJoin(F.broadcast(m))
@@ -129,18 +143,8 @@ def planned(sources: DataFrame, models: DataFrame, processing: str = "native", i
     text_part = F.when(some_text & c("count").isNotNull(), F.array(_part("text", F.concat(why, F.lit(" / "), c("count.method"))))).otherwise(F.array())
     image_part = F.when(c("kind") == "image", F.array(_part("image", F.lit("published image formula"), c("image.width").cast("long"), c("image.height").cast("long")))).otherwise(F.array())
     audio_part = F.when((c("kind") == "audio") & native & ~c("deaf"), F.array(_part("audio", F.lit("published duration formula")))).otherwise(F.array())
-    numbers = F.when(c("document.pages") > 0, F.sequence(F.lit(1), c("document.pages"))).otherwise(F.array().cast("array<int>"))
-
-    def page(i: Column) -> Column:
-        meta = F.try_element_at(c("document.page_meta"), i)
-        unknown = F.coalesce(meta["classification"] == "unknown", F.lit(False))
-        known = F.coalesce(meta["width_points"] > 0, F.lit(False))
-        w = F.when(known, page_pixels(meta["width_points"], 1275)).otherwise(F.lit(1275).cast("long"))
-        h = F.when(known, F.ceil(meta["height_points"] * F.lit(150.0) / F.lit(72.0)).cast("long")).otherwise(F.lit(1650).cast("long"))
-        return _part("image", F.lit("published image formula"), w, h, i, unknown, F.when(unknown, F.lit(0.65)).otherwise(F.lit(1.0)), F.concat("document_formula", F.lit("+")))
-
-    page_parts = F.when(native_pdf & (c("document_detail") != "text"), F.transform(numbers, page)).otherwise(F.array())
-    kind = "array<struct<modality:string,method:string,w:bigint,h:bigint,page:int,low_zero:boolean,confidence:double,prefix:string>>"
+    page_parts = F.when(native_pdf & (c("document_detail") != "text"), c("_pages")).otherwise(F.array())
+    kind = _PARTS
     parts = F.concat(image_part.cast(kind), audio_part.cast(kind), text_part.cast(kind), page_parts.cast(kind))
     parts = F.when(c("problem").isNotNull(), F.array().cast(kind)).otherwise(parts)
     no_count = some_text & c("count").isNull()
@@ -158,21 +162,27 @@ def planned(sources: DataFrame, models: DataFrame, processing: str = "native", i
         F.when(c("problem").isNotNull() | (c("deaf") & ~has_text), "unsupported").when(textual | ((c("kind") == "document") & ~native_pdf) | (native_pdf & (c("document_detail") == "text")) | c("deaf") | ((c("kind") == "audio") & normal), "text").otherwise(c("kind"))
     )
     detail = F.when(c("kind") == "image", c("image_detail")).when(c("kind") == "document", F.when(c("document_detail") == "text", "low").otherwise(c("document_detail")))
-    return sm.withColumns({"status": status, "warnings": warnings, "provider_type": provider, "parts": parts, "detail": detail})
+    return sm.withColumns({"status": status, "warnings": warnings, "provider_type": provider, "parts": parts, "detail": detail}).drop("_pages")
 
 
 def components(plan: DataFrame) -> DataFrame:
     """A row per component of a planned source: token bounds, method, confidence, planned size."""
     c = F.col
-    rows = plan.select("request_id", "model", "tokenizer", "ordinal", "label", "asset_id", "processing", "detail", "count", "image_rule", "audio", "audio_tokens_per_second", "audio_formula", F.posexplode("parts").alias("part_no", "part"))
-    # behind explode, the formula is evaluated once and not copied into each column that reads it
-    rows = rows.withColumn("image_count", F.explode(F.array(F.when(c("part.modality") == "image", image_tokens(c("image_rule"), c("detail"), c("part.w"), c("part.h"))))))
-    audio = F.when(c("part.modality") == "audio", audio_tokens(c("audio.duration_ms"), c("audio_tokens_per_second")))
+    plan = with_image_rule(plan, "image_count", c("image_rule"), c("detail"))
+    limits = [n for n in plan.columns if n.startswith("_image_count_")]
+    # with the outer form no filter by the size of the parts, all their expressions in it, is inferred for the join with the models
+    rows = plan.select(
+        "request_id", "model", "tokenizer", "ordinal", "label", "asset_id", "processing", "detail", "count", c("audio.duration_ms").alias("duration_ms"), "audio_tokens_per_second", "audio_formula", "document_formula",
+        c("image_rule.formula_version").alias("image_formula"), c("image_rule.multiplier").alias("image_multiplier"), *limits, F.posexplode_outer("parts").alias("part_no", "part"),
+    ).where(c("part").isNotNull())
+    image = c("part.modality") == "image"
+    rows = with_image_tokens(rows, "image_count", F.when(image, c("part.w")), F.when(image, c("part.h")))
+    audio = F.when(c("part.modality") == "audio", audio_tokens(c("duration_ms"), c("audio_tokens_per_second")))
     text = c("part.modality") == "text"
     expected = F.when(text, c("count.tokens")).otherwise(F.coalesce("image_count.tokens", audio))
     formula = (
         F.when(text, F.when(c("count.formula_version") == "", F.concat(F.lit(f"{VERSION}:"), c("tokenizer"))).otherwise(c("count.formula_version")))
-        .when(c("part.modality") == "image", F.concat(c("part.prefix"), c("image_rule.formula_version"))).otherwise(c("audio_formula"))
+        .when(image, F.concat(F.when(c("part.page").isNotNull(), F.concat("document_formula", F.lit("+"))).otherwise(""), "image_formula")).otherwise(c("audio_formula"))
     )
     return rows.select(
         "request_id", "model", "ordinal", "part_no", F.when(c("part.page").isNotNull(), F.concat(c("label"), F.lit(" page "), c("part.page").cast("string"))).otherwise(c("label")).alias("source"),
@@ -180,7 +190,7 @@ def components(plan: DataFrame) -> DataFrame:
         F.when(text, c("count.low")).when(c("part.low_zero"), F.lit(0).cast("long")).otherwise(expected).alias("low"), expected.alias("expected"), F.when(text, c("count.high")).otherwise(expected).alias("high"),
         c("part.method").alias("method"), F.when(text, c("count.confidence")).otherwise(c("part.confidence")).alias("confidence"), formula.alias("formula_version"),
         F.when(text, F.lit("normalized-text")).otherwise(c("processing")).alias("processing"), F.when(~text, c("detail")).alias("detail"),
-        c("image_count.planned_w"), c("image_count.planned_h"), c("image_count.patches"), c("image_count.tiles"), F.when(c("part.modality") == "image", c("image_rule.multiplier")).alias("multiplier"),
+        c("image_count.planned_w"), c("image_count.planned_h"), c("image_count.patches"), c("image_count.tiles"), F.when(image, c("image_multiplier")).alias("multiplier"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import counters as cn
 from ..functions import media, money
 from ..functions import states as boundary
-from ..functions.images import audio_tokens, image_tokens
+from ..functions.images import audio_tokens, with_image_rule, with_image_tokens
 from ..functions.text import CLASSES, COUNTERS, derived, features, is_binary, is_generated, normalized, with_classes
 from ..operators import analyze as an
 from ..operators import bytepairs
@@ -47,6 +47,12 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Narrow rows, each of which becomes many, dealt out by a key to several tasks a core, however few and large the files' parts are."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _models(spark: SparkSession, names=None) -> DataFrame:
     return cat.models(spark, cat.default_catalog(), names)
 
@@ -248,9 +254,8 @@ def image_patch(spark, d):
     """Parts as images: sides from their key and size, on a model of each formula and every detail."""
     parts = _t(spark, d, "part").select("p_partkey", (F.col("p_partkey") * 37 % 5_000 + 1).cast("int").alias("w"), (F.col("p_partkey") * 101 % 9_000 + F.col("p_size")).cast("int").alias("h"))
     m = _models(spark, ["gpt-5.5", "gpt-5.4-mini", "sonnet", "opus", "gemini"]).select(F.col("id").alias("model"), "image", F.explode(F.array(*[F.lit(x) for x in cat.DETAILS])).alias("detail"))
-    rows = parts.crossJoin(F.broadcast(m))
-    # exploding binds the formula's result once for all its readers
-    rows = rows.withColumn("c", F.explode(F.array(image_tokens(F.col("image"), F.col("detail"), F.col("w"), F.col("h")))))
+    m = with_image_rule(m, "c", F.col("image"), F.col("detail")).drop("image")
+    rows = with_image_tokens(parts.crossJoin(F.broadcast(m)), "c", F.col("w"), F.col("h"))
     return rows.select("p_partkey", "model", "detail", "w", "h", "c.tokens", "c.planned_w", "c.planned_h", "c.patches", "c.tiles")
 
 
@@ -262,7 +267,7 @@ def audio_duration(spark, d):
 
 def _media_sources(spark, d) -> DataFrame:
     """Orders as requests with a PDF, an image, a recording and a prompt each: derived sizes, real texts none."""
-    o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.dayofmonth("o_orderdate").alias("day"))
+    o = _dealt(_t(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.dayofmonth("o_orderdate").alias("day"), F.col("o_orderkey").cast("string").alias("request_id")), "request_id")
     null = lambda t: F.lit(None).cast(t)
     k = F.col("o_orderkey")
     pages = (F.col("day") % 3 + 1).cast("int")
@@ -275,7 +280,7 @@ def _media_sources(spark, d) -> DataFrame:
         F.lit(mime).alias("mime"), text.alias("text"), i.cast(an.IMAGE).alias("image"), a.cast(an.AUDIO).alias("audio"), x.cast(an.DOCUMENT).alias("document"))
     each = F.array(source("a.pdf", "document", "application/pdf", F.concat(F.lit("order "), F.col("o_orderpriority")), x=document), source("b.png", "image", "image/png", F.lit(""), i=image),
                    source("c.wav", "audio", "audio/wav", F.lit(""), a=audio), source("d", "prompt", "", F.concat(F.lit("Summarise: "), F.col("o_orderpriority"))))
-    return o.select(k.cast("string").alias("request_id"), F.explode(each).alias("s")).select("request_id", "s.*")
+    return o.select("request_id", F.explode(each).alias("s")).select("request_id", "s.*")
 
 
 def media_components(spark, d):
