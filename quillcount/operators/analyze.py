@@ -25,7 +25,7 @@ from ..functions.text import CLASSES, with_classes
 from ..sources.catalog import stale_column
 from . import bytepairs
 from . import plan as planning
-from .pricing import priced_components, scenarios
+from .pricing import MODALITIES, at_level, level_costs, scenarios, with_rates
 
 #: What the wrapper of one source adds, its label and a missing line feed aside.
 WRAPPER = {"alnum": 17, "other": 8, "space": 3, "wide_space": 0, "non_ascii": 0, "bytes": 28}
@@ -206,6 +206,40 @@ class Results:
         return planning.source_totals(self.components)
 
 
+def part_columns(levels: int) -> list[str]:
+    """What ``part_totals`` says of a request's components."""
+    return ["status", "part_tokens", "part_low", "part_high", "part_confidence", "parts_cached_n", *[f"parts_{x}_{k}" for k in range(levels) for x in ("input", "cached")]]
+
+
+def part_totals(plan: DataFrame, sums: tuple, prices: DataFrame, levels: int, bound: str, cached: int) -> DataFrame:
+    """Per request and model: totals of ``part_columns``, the number of sources and, of the columns ``sums``, sums over sources.
+
+    Cached tokens are used up in the order of components. A decision is never
+    below the components' sum, so a request that has fewer tokens than are
+    cached takes all its components from the cache either way, and what is taken
+    needs no total. The costs at each level are summed, and the total chooses.
+    """
+    c, key = F.col, ["request_id", "model"]
+    first = F.coalesce("part_no", F.lit(0)) == 0
+    rows = planning.components(plan, ("status", *sums), every=True)
+    prices = F.broadcast(prices)
+    costs = {f"parts_{x}_{k}": f"{x}_{k}" for k in range(levels) for x in ("input", "cached")} | {"parts_cached_n": "cached_n"}
+    costs = [F.sum(x).alias(k) for k, x in costs.items()]
+    if not cached:
+        rows = level_costs(rows.join(prices, "model"), bound, F.lit(0).cast("long"), levels)
+    totals = rows.groupBy(*key).agg(
+        F.sum(first.cast("long")).alias("n_sources"), *[F.sum(F.when(first, c(p))).alias(p) for p in sums], planning.worst_status(c("status")).alias("status"),
+        F.sum("expected").alias("part_tokens"), F.sum("low").alias("part_low"), F.sum("high").alias("part_high"), F.min("confidence").alias("part_confidence"), *([] if cached else costs),
+    )
+    if not cached:
+        return totals
+    parts = planning.components(plan).select(*key, "ordinal", "part_no", "modality", bound)
+    before = F.coalesce(F.sum(bound).over(Window.partitionBy(*key).orderBy("ordinal", "part_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    left = F.least(c(bound), F.greatest(F.lit(0).cast("long"), F.lit(cached).cast("long") - c("_before")))
+    spent = level_costs(parts.withColumn("_before", before).join(prices, "model"), bound, left, levels).groupBy(*key).agg(*costs)
+    return totals.join(spent, key, "left")
+
+
 def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(), counters: Counters | None = None, extras: DataFrame | None = None, verified: DataFrame | None = None, with_media: bool = True) -> Results:
     """Estimate every request of ``sources`` on every model.
 
@@ -217,9 +251,25 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     """
     counters = counters or Counters()
     c, zero = F.col, F.lit(0).cast("long")
-    tokenizers = [r["tokenizer"] for r in models.select("tokenizer").distinct().collect()]  # of a catalog: a few
+    rated = with_rates(models)
+    known = rated.select("tokenizer", F.size("levels").alias("n")).distinct().collect()  # of a catalog: a few
+    tokenizers, levels = list(dict.fromkeys(r["tokenizer"] for r in known)), max((r["n"] for r in known), default=0)
     base = countable(sources.withColumnRenamed("bytes", "source_bytes")).withColumnRenamed("bytes", "text_bytes")
-    sums = request_sums(base)
+
+    def plan_sources(summed: DataFrame) -> DataFrame:
+        """Components of requests with media; text-only requests count their joined text instead."""
+        by_tokenizer = F.map_from_entries(F.array(*[F.struct(F.lit(t), (counters.of_sums(t, {k: c("text_bytes" if k == "bytes" else k) for k in CLASSES}, ~F.is_valid_utf8("text")) if counters.additive(t) else counters.of_text(t, c("text"))).cast(COUNT)) for t in tokenizers]))
+        ordered = summed.withColumn("ordinal", F.struct("kind", "label")).withColumn("counts", by_tokenizer)
+        return planning.planned(ordered, models, options.processing, options.image_detail, options.document_detail, options.overrides)
+
+    # where all counts follow from sums, a request's sums are taken on each model together with its components, in one pass
+    by_model = with_media and all(counters.additive(t) for t in tokenizers)
+    bound = "high" if options.bound == "high" else "expected"
+    key = ["request_id", "model"]
+    if with_media:
+        prices = rated.select(c("id").alias("model"), *[f"{x}_rates" for x in MODALITIES])
+        totals = part_totals(plan_sources(source_sums(base) if by_model else base), PARTS if by_model else (), prices, levels, bound, options.cached_tokens)
+    sums = with_joints(totals) if by_model else request_sums(base)
     if extras is not None:
         extras = with_classes(with_classes(extras.select("request_id", F.coalesce("system", F.lit("")).alias("system"), F.coalesce("tools", F.lit("")).alias("tools")), "system", "system_"), "tools", "tools_")
         sums = sums.join(extras, "request_id", "left").na.fill(0, [f"{p}_{k}" for p in ("system", "tools") for k in CLASSES])
@@ -249,9 +299,24 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
 
     kinds = ("raw", "wrapped", "system", "tools")
     counts = F.array(*[F.struct(F.lit(t).alias("tokenizer"), *[of(t, k).cast(COUNT).alias(f"{k}_count") for k in kinds]) for t in tokenizers])
-    per = sums.select("request_id", "n_sources", "total_bytes", "has_media", "n_assets", F.explode(counts).alias("x")).select("request_id", "n_sources", "total_bytes", "has_media", "n_assets", "x.*")
-    m = models.select("id", "ordinal", "provider", "tokenizer", "context_window", "max_output", "pricing_date", "pricing_expires", "tiers", "modality_tiers", "max_assets", "max_inline_bytes")
-    rows = per.join(F.broadcast(m), "tokenizer").withColumnRenamed("id", "model")
+    m = rated.select(c("id").alias("model"), "ordinal", "provider", "tokenizer", "context_window", "max_output", "pricing_date", "pricing_expires", "tiers", "modality_tiers", "max_assets", "max_inline_bytes", "levels")
+    own_sums = ["n_sources", "total_bytes", "has_media", "n_assets"]
+    if by_model:
+        rows = sums.join(F.broadcast(m), "model").withColumn("x", F.filter(counts, lambda x: x["tokenizer"] == c("tokenizer"))[0])
+        rows = rows.select("request_id", *own_sums, *m.columns, *[f"x.{k}_count" for k in kinds], *part_columns(levels))
+    else:
+        per = sums.select("request_id", *own_sums, F.explode(counts).alias("x")).select("request_id", *own_sums, "x.*")
+        rows = per.join(F.broadcast(m), "tokenizer")
+        if with_media:
+            rows = rows.join(totals.select(*key, *part_columns(levels)), key, "left")
+        else:
+            none = dict.fromkeys(part_columns(0), "long") | {"status": "string", "part_confidence": "double"}
+            rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in none.items()})
+    if with_media:
+        said = plan_sources(base).groupBy(*key).agg(F.flatten(F.collect_list("warnings")).alias("plan_warnings"))
+        rows = rows.join(said, key, "left")
+    else:
+        rows = rows.withColumn("plan_warnings", F.lit(None).cast("array<string>"))
 
     profiles = [F.struct(F.lit(p).alias("profile"), *[F.lit(n).cast("long").alias(k) for k, n in zip(("wrapper", "runtime"), PROFILES[p], strict=True)]) for p in options.profiles]
     rows = rows.withColumn("p", F.explode(F.array(*profiles))).select("*", "p.*").drop("p")
@@ -260,21 +325,6 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
         "wrapper_low": F.greatest(zero, c("wrapped_count.low") - c("raw_count.high")), "wrapper_high": F.greatest(zero, c("wrapped_count.high") - c("raw_count.low")),
         "system_tokens": c("system_count.tokens"), "tool_tokens": c("tools_count.tokens"), "runtime_tokens": c("runtime"),
     })
-    # components of requests with media; text-only requests count their joined text instead
-    def plan_sources() -> DataFrame:
-        by_tokenizer = F.map_from_entries(F.array(*[F.struct(F.lit(t), (counters.of_sums(t, {k: c("text_bytes" if k == "bytes" else k) for k in CLASSES}, ~F.is_valid_utf8("text")) if counters.additive(t) else counters.of_text(t, c("text"))).cast(COUNT)) for t in tokenizers]))
-        ordered = base.withColumn("ordinal", F.struct("kind", "label")).withColumn("counts", by_tokenizer)
-        return planning.planned(ordered, models, options.processing, options.image_detail, options.document_detail, options.overrides)
-
-    if with_media:
-        plan = plan_sources()
-        comps = planning.components(plan)
-        states = plan.groupBy("request_id", "model").agg(planning.worst_status(c("status")).alias("status"), F.flatten(F.collect_list("warnings")).alias("plan_warnings"))
-        totals = comps.where("unit = 'tokens'").groupBy("request_id", "model").agg(F.sum("expected").alias("part_tokens"), F.sum("low").alias("part_low"), F.sum("high").alias("part_high"), F.min("confidence").alias("part_confidence"))
-        rows = rows.join(states, ["request_id", "model"], "left").join(totals, ["request_id", "model"], "left")
-    else:
-        none = {"status": "string", "plan_warnings": "array<string>", "part_tokens": "long", "part_low": "long", "part_high": "long", "part_confidence": "double"}
-        rows = rows.withColumns({k: F.lit(None).cast(t) for k, t in none.items()})
     over_assets = (c("max_assets") > 0) & (c("n_assets") > c("max_assets"))
     media = c("has_media")
     pick = lambda part, raw: F.when(media, F.coalesce(c(part), zero)).otherwise(c(f"raw_count.{raw}"))
@@ -310,15 +360,8 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     rows = rows.withColumn("stale", stale_column(options.now) if options.now else F.lit(False))
 
     # requests with media price their components at the tiers of their modalities, then the overhead at the text rate
-    if with_media:
-        bound = "high" if options.bound == "high" else "expected"
-        key = ["request_id", "model", "profile"]
-        keyed = comps.join(rows.where(media & ~c("verified")).select(*key, "tiers", "modality_tiers", "decision_tokens", "cached_tokens"), ["request_id", "model"])
-        priced = priced_components(keyed, key, ["ordinal", "part_no"], bound, c("cached_tokens"), c("decision_tokens"))
-        spent = priced.groupBy(*key).agg(F.sum("input_micros").alias("parts_input"), F.sum("cached_micros").alias("parts_cached"), F.sum("cached_n").alias("parts_cached_n"))
-        rows = rows.join(spent, key, "left")
-    else:
-        rows = rows.withColumns({k: F.lit(None).cast("long") for k in ("parts_input", "parts_cached", "parts_cached_n")})
+    of_parts = (lambda x: at_level(f"parts_{x}", levels, c("decision_tokens"))) if with_media else lambda x: F.lit(None).cast("long")
+    rows = rows.withColumns({"parts_input": of_parts("input"), "parts_cached": of_parts("cached")})
     extra = F.when(F.lit(options.bound == "high"), c("overhead_high")).otherwise(c("overhead_tokens"))
     rest = F.least(extra, F.greatest(zero, c("cached_tokens") - F.coalesce("parts_cached_n", zero)))
     text_tier = tier_at(F.coalesce(F.try_element_at("modality_tiers", F.lit("text")), c("tiers")), c("decision_tokens"))
@@ -337,7 +380,7 @@ def analyze(sources: DataFrame, models: DataFrame, options: Options = Options(),
     ]
     several = ["profile"] if len(options.profiles) > 1 else []
     keep = several + ["request_id", "model", "scenario", "scenario_no", "decision_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "input_micros", "cached_micros", "output_micros", "reasoning_micros", "cost_micros", "over_output"]
-    return Results(rows.select(*several, *columns), priced_rows.select(*keep), plan_sources, priced_rows.select(*several, *dict.fromkeys([*columns, *keep])))
+    return Results(rows.select(*several, *columns), priced_rows.select(*keep), lambda: plan_sources(base), priced_rows.select(*several, *dict.fromkeys([*columns, *keep])))
 
 
 def _warnings(over_assets: Column) -> Column:

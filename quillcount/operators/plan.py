@@ -165,16 +165,21 @@ def planned(sources: DataFrame, models: DataFrame, processing: str = "native", i
     return sm.withColumns({"status": status, "warnings": warnings, "provider_type": provider, "parts": parts, "detail": detail}).drop("_pages")
 
 
-def components(plan: DataFrame) -> DataFrame:
-    """A row per component of a planned source: token bounds, method, confidence, planned size."""
+def components(plan: DataFrame, keep: tuple = (), every: bool = False) -> DataFrame:
+    """A row per component of a planned source: token bounds, method, confidence, planned size.
+
+    Columns to ``keep`` go along; with ``every``, a source without components has a row of its own, whose part_no is null.
+    """
     c = F.col
     plan = with_image_rule(plan, "image_count", c("image_rule"), c("detail"))
     limits = [n for n in plan.columns if n.startswith("_image_count_")]
     # with the outer form no filter by the size of the parts, all their expressions in it, is inferred for the join with the models
     rows = plan.select(
         "request_id", "model", "tokenizer", "ordinal", "label", "asset_id", "processing", "detail", "count", c("audio.duration_ms").alias("duration_ms"), "audio_tokens_per_second", "audio_formula", "document_formula",
-        c("image_rule.formula_version").alias("image_formula"), c("image_rule.multiplier").alias("image_multiplier"), *limits, F.posexplode_outer("parts").alias("part_no", "part"),
-    ).where(c("part").isNotNull())
+        c("image_rule.formula_version").alias("image_formula"), c("image_rule.multiplier").alias("image_multiplier"), *limits, *[c(k).alias(f"_kept_{k}") for k in keep],
+        F.posexplode_outer("parts").alias("part_no", "part"),
+    )
+    rows = rows if every else rows.where(c("part").isNotNull())
     image = c("part.modality") == "image"
     rows = with_image_tokens(rows, "image_count", F.when(image, c("part.w")), F.when(image, c("part.h")))
     audio = F.when(c("part.modality") == "audio", audio_tokens(c("duration_ms"), c("audio_tokens_per_second")))
@@ -191,6 +196,7 @@ def components(plan: DataFrame) -> DataFrame:
         c("part.method").alias("method"), F.when(text, c("count.confidence")).otherwise(c("part.confidence")).alias("confidence"), formula.alias("formula_version"),
         F.when(text, F.lit("normalized-text")).otherwise(c("processing")).alias("processing"), F.when(~text, c("detail")).alias("detail"),
         c("image_count.planned_w"), c("image_count.planned_h"), c("image_count.patches"), c("image_count.tiles"), F.when(image, c("image_multiplier")).alias("multiplier"),
+        *[c(f"_kept_{k}").alias(k) for k in keep],
     )
 
 

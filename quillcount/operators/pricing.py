@@ -62,6 +62,40 @@ def priced_components(rows: DataFrame, key: list[str], order: list[str], tokens:
     }).drop("tier", "_before", "_range")
 
 
+#: What components are made of.
+MODALITIES = ("text", "image", "audio")
+
+
+def with_rates(models: DataFrame) -> DataFrame:
+    """Models with ``levels``, the token numbers from which any of their tiers hold, and the rates of each modality at each level."""
+    lists = {m: modality_tiers(F.col("tiers"), F.col("modality_tiers"), F.lit(m)) for m in MODALITIES}
+    levels = F.array_sort(F.array_distinct(F.transform(F.flatten(F.array("tiers", *lists.values())), lambda t: t["above"])))
+
+    def at_levels(tiers: Column) -> Column:
+        """The tier that holds at each level; null below the first one."""
+        return F.transform("levels", lambda level: F.try_element_at(F.filter(tiers, lambda t: level >= t["above"]), F.lit(-1)))
+
+    return models.withColumn("levels", levels).withColumns({f"{m}_rates": at_levels(tiers) for m, tiers in lists.items()})
+
+
+def level_costs(rows: DataFrame, tokens: str, cached: Column, levels: int) -> DataFrame:
+    """Components with both costs at each level of ``with_rates``, for the total that decides is known later: input_0, cached_0, input_1 and so on."""
+    of = F.col("text_rates")
+    for m in MODALITIES[1:]:
+        of = F.when(F.col("modality") == m, F.col(f"{m}_rates")).otherwise(of)
+    rows = rows.withColumns({"_of": of, "cached_n": cached})
+    costs = {}
+    for k in range(levels):
+        rate = F.get("_of", F.lit(k))
+        costs |= {f"input_{k}": cost_micros(rate["input"], F.col(tokens) - F.col("cached_n")), f"cached_{k}": cost_micros(rate["cached"], F.col("cached_n"))}
+    return rows.withColumns(costs).drop("_of")
+
+
+def at_level(costs: str, levels: int, total: Column) -> Column:
+    """Of summed costs at each level, those at the last level that ``total`` reaches."""
+    return F.get(F.array(*[F.col(f"{costs}_{k}") for k in range(levels)]), F.size(F.filter("levels", lambda level: total >= level)) - 1)
+
+
 def exit_codes(results: DataFrame, key: list[str], max_tokens: int = 0, max_cost_micros: int = 0, fail_on_overflow: bool = False, require_complete: bool = False) -> DataFrame:
     """The first threshold that a request breaks: overflow 3, tokens 4, expected cost 5, incomplete 6, verification 7, else 0.
 

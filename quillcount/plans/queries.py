@@ -305,8 +305,8 @@ def _word_counter(text: Column) -> Column:
 def media_requests(spark, d):
     """Requests with media on models that hear and do not hear: states, totals, costs by modality tier."""
     r = an.analyze(_media_sources(spark, d), _models(spark, ["gemini-2.5-flash", "sonnet"]), an.Options(cached_tokens=500, profile="codex"))
-    cost = r.scenarios.select("request_id", "model", "input_micros", "cached_micros", "cost_micros")
-    return r.models.select("request_id", "model", "status", "input_tokens", "input_low", "input_high", "decision_tokens", "overhead_tokens", "confidence").join(cost, ["request_id", "model"])
+    columns = ["request_id", "model", "status", "input_tokens", "input_low", "input_high", "decision_tokens", "overhead_tokens", "confidence", "input_micros", "cached_micros", "cost_micros"]
+    return r.both.where(F.col("request_id").isNotNull()).select(*columns)
 
 
 _DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
